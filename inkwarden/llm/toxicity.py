@@ -42,6 +42,7 @@ IDENTITY = (
 KIND = {w: k for k, ws in enumerate(IDENTITY) for w in ws}
 _WORDS = re.compile(r"[^\W\d_]+")
 MIN_Z = 4.0
+MIN_LIFT = 6.0
 
 
 def features(words: set[str]) -> set[str]:
@@ -65,7 +66,7 @@ def swapped(words: set[str], rng: random.Random) -> tuple[set[str], set[str]] |
     return words, {other.get(w, w) for w in words}
 
 
-def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float = 1e-3, fairness: float = 1.0, steps: int = 400, seed: int = 3) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float = 1e-5, fairness: float = 1.0, steps: int = 400, seed: int = 3) -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias."""
     rng = random.Random(seed)
     sets = [words_of(t) for t, _ in rows]
@@ -81,7 +82,7 @@ def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float
         c0 = count[0][f]
         p = (c1 + c0) / (n1 + n0)
         z = (c1 / n1 - c0 / n0) / math.sqrt(max(1e-9, p * (1 - p) * (1 / n1 + 1 / n0)))
-        if z >= MIN_Z and c1 >= 4:
+        if z >= MIN_Z and c1 >= 4 and c1 / n1 >= MIN_LIFT * c0 / n0:
             scored.append((-z, f))
     ident = sorted(features(set(KIND)))
     names = [f for _, f in sorted(scored)[:max_features] if f not in set(ident)] + ident
@@ -96,10 +97,19 @@ def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float
     x = matrix(sets)
     pairs = [p for s in sets[:: max(1, len(sets) // 2000)] if (p := swapped(s, rng))]
     d = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
-    w, b, mw, mb, vw, vb = np.zeros(len(names), np.float32), math.log(n1 / n0), 0.0, 0.0, 0.0, 0.0
+    # A copy of each toxic text keeps one of its plainest signs only, so that a word that mostly comes beside others counts alone too.
+    odds = np.array([math.log((count[1][f] + 0.5) / (n1 + 1) * (n0 + 1) / (count[0][f] + 0.5)) for f in names[: len(names) - len(ident)]])
+    alone = np.zeros_like(x[y > 0])
+    for k, row in enumerate(x[y > 0]):
+        if len(own := np.flatnonzero(row[: len(odds)])):
+            alone[k, rng.choice(own[odds[own] >= 0.85 * odds[own].max()])] = 1
+    alone = alone[alone.any(1)]
+    x, y = np.concatenate([x, alone]), np.concatenate([y, np.ones(len(alone))])
+    each = np.where(y > 0, 0.5 / y.sum(), 0.5 / n0)  # the classes weigh alike
+    w, b, mw, mb, vw, vb = np.zeros(len(names), np.float32), 0.0, 0.0, 0.0, 0.0, 0.0
     for step in range(1, steps + 1):
-        g = (1 / (1 + np.exp(-(x @ w + b))) - y).astype(np.float32) / len(y)
-        gw, gb = x.T @ g + l2 * w / 10, float(g.sum())
+        g = ((1 / (1 + np.exp(-(x @ w + b))) - y) * each).astype(np.float32)
+        gw, gb = x.T @ g + l2 * w, float(g.sum())
         if len(pairs):
             gw += fairness * d.T @ (d @ w) / len(pairs)
         mw, mb, vw, vb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb, 0.99 * vw + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
