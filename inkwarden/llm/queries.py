@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, jaccard, langid, mixing, packing, quality, search, suffix_dedup, toxicity
+from . import dedup, jaccard, langid, license, mixing, packing, quality, search, suffix_dedup, toxicity
 from .common import boxed, cut_lineage, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return search.top_k(docs, docs.filter(search.every_nth()))
@@ -53,6 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_topk_search": op2_topk_search,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
