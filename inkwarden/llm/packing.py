@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -56,10 +57,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.old: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         # A byte-level model sees printable bytes as themselves and the others as the characters from 256 on.
         shown = {b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = {b: 256 + k for k, b in enumerate(hidden)}
+        self.tokenize = self.tok.model.tokenize
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -68,15 +71,15 @@ class Encoder:
         """Ids of letters, maybe behind a space, which are one token to the pre-tokeniser; of anything else by the long way."""
         if text.lstrip(" ").isalpha():
             shown = text.encode().decode("latin-1").translate(self.bytes)
-            return np.array([t.id for t in self.tok.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = [t.id for t in self.tokenize(shown)]
+            return struct.pack(f"<{len(ids)}I", *ids)
         return self.whole(text)
 
     def miss(self, memo: dict[str, bytes], lead: str, word: str) -> bytes:
         if word[-1:] in _POINTS and word[:-1].isalpha():  # a point behind letters is a token of its own
-            if (ids := memo.get(word[:-1])) is None:
-                ids = memo[word[:-1]] = self.piece(lead + word[:-1])
-            return ids + self.points[word[-1]]
-        ids = memo[word] = self.piece(lead + word)
+            base = word[:-1]
+            return (memo.get(base) or self.miss(memo, lead, base)) + self.points[word[-1]]
+        ids = memo[word] = self.old[lead].get(word) or self.piece(lead + word)
         return ids
 
     @cached_property
@@ -87,9 +90,10 @@ class Encoder:
         if _TWO_SPACES.search(text):
             return self.whole(text)
         out, first, later, miss = [], self.first, self.later, self.miss
-        if len(first) + len(later) > MEMO:
-            first.clear()
-            later.clear()
+        if len(first) + len(later) > MEMO:  # what is in use comes back from the old pieces, the rest goes with them
+            self.old = {"": first, " ": later}
+            first = self.first = {}
+            later = self.later = {}
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             for word in ("\n", words[0]) if k else words[:1]:
@@ -109,8 +113,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, queue, end
         out, weight = [], 0
         narrow = np.uint16 if encode.tok.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc, q, text = (batch.column(c)[k].as_py() for c in range(3))
+            for doc, q, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(encode(text or "") + end, "<u4").astype(narrow).tobytes()
                 n, before = len(ids) // narrow().itemsize, sent.get(q, 0)
                 sent[q] = before + n
