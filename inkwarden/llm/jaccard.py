@@ -4,18 +4,22 @@ Two texts link when the Jaccard similarity of their sets of word shingles is at
 least ``numerator / denominator``. No link is lost:
 
 1. Texts with equal sets become one node.
-2. A node's shingles are ordered by how common they are (a count sketch of fixed
-   size over all texts), then by hash. Linked sets share one of their first
-   ``n - ceil(t n) + 1``, so nodes meet in the buckets of those; what is in a
-   third of all texts comes last in that order and is no bucket.
+2. A node's shingles are ordered by how common they are (the power of two of
+   their count over all texts), then by hash. Linked sets share one of their first
+   ``n - ceil(t n) + 1``, so nodes meet in the buckets of those of them that more
+   than one text has; what is in a third of all texts comes last in that order.
 3. Each bucket's smallest node is tested against the others, a number of tests
-   linear in the rows; the links' components join most of a large group.
+   linear in the rows; the links' components join most of a large group. Sizes
+   and bitmaps drop most pairs before the whole sets are looked at.
 4. Buckets that hold more than one component go through a signature tree: its
    nodes hold OR-combined bitmaps of shingles, size ranges and the component, if
    it is one; the traversal of the tree with itself drops pairs of nodes whose
    largest possible overlap is too small for their smallest sizes, or which are
    one component already. The pairs left are tested on the whole sets.
 
+Counts come from shards of texts: a shard sends its shingles' hashes by range
+and gets a level for each back.
+
 A bucket over ``block`` rows is split into blocks, and pairs of blocks are traversed
 by tasks of their own.
 
@@ -27,6 +31,7 @@ an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut_lineage, shuffle_parts, unboxed
+from .common import boxed, cut_lineage, release, shuffle_parts, small, unboxed
 from .graph import components
 from .shingles import shingle_sets
 
-SKETCH_BITS = 18
-CHUNK = 4096
+SHARD_BYTES = 2_000_000
+BROADCAST_IDS = 200_000
 BITS = 1024
 LEAF, FAN = 16, 8
 
@@ -56,59 +61,81 @@ def _batches(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[in
             some, weight, first = [], 0, k + 1
 
 
-def commonness(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """How many shingles of all texts fall in each of 2 ** SKETCH_BITS cells (at most 2 ** 32 - 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        for batch in batches:
-            for _, sets in _batches(batch, 0, size):
-                cells += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-        yield from chunks(cells)
-
-    def chunks(cells: np.ndarray) -> Iterator[pa.RecordBatch]:
-        parts = [(k // CHUNK, cells[k : k + CHUNK].tobytes()) for k in range(0, len(cells), CHUNK) if cells[k : k + CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["k", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = np.minimum(total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64), (1 << 32) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.uint32).tobytes() for v in total.values()], pa.binary())], names=["k", "cells"])
-
-    schema = "k int, cells binary"
-    summed = docs.select(text_col).mapInArrow(run, schema).repartition(16, "k").mapInArrow(add, schema)
-    cells = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-    for k, x in summed.collect():  # 2 ** SKETCH_BITS counters, whatever the input
-        cells[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(x, np.uint32)
-    return cells
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     return n + (-num * n // den) + 1
 
 
-def nodes(docs: DataFrame, id_col: str, text_col: str, size: int, cells: np.ndarray, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest and tokens (those of the prefix) of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_t"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ns, digests, tokens = [], [], []
-            for _, sets in _batches(batch, 1, size):
-                for s in sets:
-                    ns.append(len(s))
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    if not len(s):
-                        tokens.append([])
-                        continue
-                    order = np.lexsort((s, cells[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    tokens.append(s[order[: prefix_length(len(s), num, den)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], schema=arrow)
-
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, tokens array<long>")
+def _shard_sets(table: pa.Table, size: int) -> list[np.ndarray]:
+    return shingle_sets(table.column("text").to_pylist(), size)
+
+
+def _cut(h: np.ndarray, width: int) -> np.ndarray:
+    return h >> np.uint64(64 - 8 * width)
+
+
+def nodes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, shard_bytes: int) -> DataFrame:
+    """doc_id, mark (of the text), n, digest, bitmap and tokens (those of the prefix that more than one text may have) of each row."""
+    total = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    shards, parts, width = max(1, -(-total // shard_bytes)), max(1, total // (4 * shard_bytes)), 5
+    while width < 8 and total > 1 << (8 * width - 6):
+        width += 1
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+
+    def ranges(short: np.ndarray) -> np.ndarray:
+        cuts = np.array([(k << 8 * width) // parts for k in range(1, parts)], dtype=np.uint64)
+        return np.concatenate([[0], np.searchsorted(short, cuts), [len(short)]])
+
+    def known(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_cut(np.concatenate(sets), width), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def first(table: pa.Table) -> pa.Table:
+        short, counts = known(_shard_sets(table, size))
+        cut, s = ranges(short), table.column("shard")[0].as_py()
+        some = [k for k in range(parts) if cut[k] < cut[k + 1]]
+        raw = [np.ascontiguousarray(short[cut[k] : cut[k + 1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() for k in some]
+        n = [zlib.compress(np.minimum(counts[cut[k] : cut[k + 1]], 65535).astype(np.uint16).tobytes(), 1) for k in some]
+        return pa.table([pa.array(some, pa.int64()), pa.array([s] * len(some), pa.int64()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], names=["part", "shard", "raw", "n"])
+
+    def level(table: pa.Table) -> pa.Table:
+        shorts, sizes = [], []
+        for raw in table.column("raw").to_pylist():
+            out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+            out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+            shorts.append(out.view("<u8").ravel())
+            sizes.append(len(out))
+        n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint16) for x in table.column("n").to_pylist()])
+        _, which = np.unique(np.concatenate(shorts), return_inverse=True)
+        levels = np.log2(np.bincount(which, weights=n)).astype(np.uint8)[which]
+        back = [zlib.compress(x.tobytes(), 1) for x in np.split(levels, np.cumsum(sizes)[:-1])]
+        return pa.table([table.column("part"), table.column("shard"), pa.array(back, pa.binary())], names=["part", "shard", "levels"])
+
+    met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, raw binary, n binary")
+    levels = cut_lineage(met.groupBy("part").applyInArrow(level, "part long, shard long, levels binary"))
+    del met
+    release(docs.sparkSession)
+    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+
+    def second(key, table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return arrow.empty_table()
+        sets = _shard_sets(table, size)
+        short, _ = known(sets)
+        cut, of = ranges(short), np.zeros(len(short), dtype=np.uint8)
+        for part, raw in zip(told.column("part").to_pylist(), told.column("levels").to_pylist(), strict=True):
+            of[cut[part] : cut[part + 1]] = np.frombuffer(zlib.decompress(raw), np.uint8)
+        tokens = []
+        for s in sets:
+            own = of[np.searchsorted(short, _cut(s, width))]
+            first = np.lexsort((s, own))[: prefix_length(len(s), num, den) if len(s) else 0]
+            tokens.append(s[first[own[first] > 0]].view(np.int64))
+        return pa.table([table.column("doc_id"), table.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], schema=arrow)
+
+    return rows.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(second, "doc_id long, mark long, n long, digest binary, bitmap binary, tokens array<long>")
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -118,20 +145,44 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """digest, set (sorted uint64) and bitmap of each row."""
-    arrow = pa.schema([("digest", pa.binary()), ("set", pa.binary()), ("bitmap", pa.binary())])
+    """digest and set (sorted uint64) of each row."""
+    arrow = pa.schema([("digest", pa.binary()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _batches(batch, 0, size):
-                raw = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow)
+
+    return docs.select(text_col).mapInArrow(run, "digest binary, set binary")
+
+
+def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out; ``marks`` has uid, n and bitmap."""
+    of = lambda side: marks.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("bitmap").alias(f"bits_{side}"))
+    near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    both = pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
+            inside = np.bitwise_count(x & y).sum(1).astype(np.int64)
+            most = np.minimum(n - (np.bitwise_count(x).sum(1).astype(np.int64) - inside), m - (np.bitwise_count(y).sum(1).astype(np.int64) - inside))
+            keep = pa.array(np.flatnonzero((num + den) * most >= num * (n + m)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
-    return docs.select(text_col).mapInArrow(run, "digest binary, set binary, bitmap binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; the sets are made anew, for the texts that have a pair."""
+    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    wanted = cut_lineage(rows.select("uid", "doc_id", "digest").join(wanted, "uid", "left_semi"))
+    ids = small(wanted.select(F.col("doc_id").alias("_wid")).distinct(), BROADCAST_IDS)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(ids, F.col("_id").eqNullSafe(F.col("_wid")), "left_semi")
+    sets = cut_lineage(whole_sets(texts, "_t", size).join(wanted.select("digest", "uid"), "digest").dropDuplicates(["uid"]).select("uid", "set"))
     of = lambda side: sets.select(F.col("uid").alias(side), F.col("set").alias(f"set_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -256,35 +307,35 @@ def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 2000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    cells = commonness(docs, text_col, size)
-    rows = cut_lineage(nodes(docs, id_col, text_col, size, cells, num, den).withColumn("uid", F.monotonically_increasing_id()))
-    first = rows.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id"))
-    first = cut_lineage(first)
-    nodes_ = rows.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("tokens").alias("token"))
-    buckets = cut_lineage(nodes_.groupBy("token").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).filter("size > 1"))
-    shared = cut_lineage(nodes_.join(buckets, "token").select("token", "size", "pivot", "uid", "n"))
-    wanted = shared.select("uid").distinct().join(rows.select("uid", "doc_id", "digest"), "uid")
-    wanted = cut_lineage(wanted)
-    ids = wanted.select(F.col("doc_id").alias("_wid")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(ids, F.col("_id").eqNullSafe(F.col("_wid")), "left_semi")
-    found = whole_sets(texts, "_t", size).join(wanted.select("digest", "uid"), "digest").dropDuplicates(["uid"]).select("uid", "set", "bitmap")
-    sets = cut_lineage(found)
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 500, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number of the group, null without words) and mark (a hash of the text)."""
+    spark = docs.sparkSession
+    rows = cut_lineage(nodes(docs, id_col, text_col, size, num, den, shard_bytes).withColumn("uid", F.monotonically_increasing_id()))
+    release(spark)
+    first = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")))
+    marks = rows.select("uid", "n", "bitmap")
+    tokens = rows.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("tokens").alias("token"))
+    buckets = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).filter("size > 1"))
+    shared = cut_lineage(tokens.join(buckets, "token").select("token", "size", "pivot", "uid", "n"))
+    release(spark)
     pairs = shared.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, sets, num, den))
-    comps = cut_lineage(components(links))
-    placed = shared.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component")
-    placed = cut_lineage(placed)
+    pairs = cut_lineage(plausible(pairs, marks, num, den))
+    links = cut_lineage(verified(pairs, docs, rows, id_col, text_col, size, num, den))
+    release(spark)
+    comps = components(links)
+    placed = shared.filter("size > 2").join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
+    placed = cut_lineage(placed.select("token", "size", "uid", "n", "comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    open_rows = placed.join(mixed, "token", "left_semi").join(sets.select("uid", "bitmap"), "uid").select("token", "size", "uid", "n", "bitmap", "comp")
-    more = candidates(open_rows, num, den, block).join(pairs, ["a", "b"], "left_anti")
-    links = cut_lineage(links.unionByName(verified(more, sets, num, den)))
+    open_rows = placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "size", "uid", "n", "bitmap", "comp")
+    more = cut_lineage(candidates(open_rows, num, den, block).join(pairs, ["a", "b"], "left_anti"))
+    release(spark)
+    links = cut_lineage(links.unionByName(verified(more, docs, rows, id_col, text_col, size, num, den)))
+    release(spark)
     comps = components(links)
     members = first.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     names = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = members.join(names, "component").select("digest", "component_id")
-    return _named(rows, named)
+    named = members.join(names, "component").select("digest", "component_id", "component")
+    return _named(rows.select("doc_id", "mark", "n", "digest"), named)
 
 
 def _named(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -293,16 +344,24 @@ def _named(rows: DataFrame, named: DataFrame) -> DataFrame:
     hot = rows.filter("n > 0").groupBy("digest").count().filter(F.col("count") >= max(2, total // 10_000)).select("digest")
     hot = F.broadcast(cut_lineage(hot.join(named, "digest")))  # at most 10,000 rows
     known = rows.filter("n > 0").join(hot, "digest", "left")
-    cold = known.filter("component_id IS NULL").drop("component_id").join(named, "digest", "left")
-    warm = known.filter("component_id IS NOT NULL")
-    none = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    cold = known.filter("component IS NULL").drop("component_id", "component").join(named, "digest", "left")
+    warm = known.filter("component IS NOT NULL")
+    none = rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "mark"]
     return warm.select(*cols).unionByName(cold.select(*cols)).unionByName(none.select(*cols))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with one row of each group of linked texts, that with the smallest id; rows without words stay."""
-    linked = link(docs, id_col, text_col, **kw)
-    drop = cut_lineage(linked.filter("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_did")).distinct())
-    keyed = docs.select(boxed(docs), F.col(id_col).cast("long").alias("_id"))
-    return unboxed(keyed.join(drop, F.col("_id").eqNullSafe(F.col("_did")), "left_anti"), docs.columns)
+    """``docs`` with one row of each group of linked texts, that with the smallest id; rows without words stay.
+
+    Rows that are the same in id and text go or stay together.
+    """
+    linked = cut_lineage(link(docs, id_col, text_col, **kw).filter("n_shingles > 0"))
+    order = F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "mark")
+    best = linked.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1").select(F.struct("best.doc_id", "best.mark").alias("best"))
+    stays = cut_lineage(best)
+    single = linked.groupBy("component").agg(F.count("*").alias("rows")).filter("rows > 1").select("component")
+    grouped = linked.join(single, "component", "left_semi").select("doc_id", "mark").distinct()
+    drop = grouped.join(stays, F.struct("doc_id", "mark").eqNullSafe(F.col("best")), "left_anti").select(F.col("doc_id").alias("_did"), F.col("mark").alias("_dmark"))
+    keyed = docs.select(boxed(docs), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark"))
+    return unboxed(keyed.join(cut_lineage(drop), F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_mark") == F.col("_dmark")), "left_anti"), docs.columns)

@@ -34,7 +34,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+    return jaccard.link(table(spark, sf_dir, "documents"), size=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
