@@ -91,10 +91,12 @@ def automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(SYMBOLS, dtype=np.int32)
+    # A symbol that the language hasn't got is a phrase of its own; whatever follows it starts another.
+    root = np.full(SYMBOLS, len(nxt), dtype=np.int32)
     for c, s in nxt[0].items():
         root[c] = s
-    table = np.tile(root + BREAK, (len(nxt), 1))
+    table = np.tile(root + BREAK, (len(nxt) + 1, 1))
+    table[0] = root
     for s, out in enumerate(nxt):
         for c, t in out.items():
             table[s, c] = t
@@ -117,7 +119,7 @@ class Parser:
         trained = [self.squeeze(t) for t in texts.values()]
         tables = [automaton(t.tolist()) for t in trained]
         self.roots = np.cumsum([0] + [len(t) for t in tables])[:-1].astype(np.int32)
-        self.table = np.concatenate([t + r for t, r in zip(tables, self.roots, strict=True)]).ravel()
+        self.table = np.zeros(0, np.int32) if not tables else np.concatenate([t + r for t, r in zip(tables, self.roots, strict=True)]).ravel()
         self.bits = np.log2(np.array([max(2, len(t)) for t in trained]))
 
     def squeeze(self, text: str) -> np.ndarray:
