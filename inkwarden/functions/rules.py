@@ -19,6 +19,9 @@ class Rule:
     score: int
     patterns: dict[str, tuple[str, ...]]
 
+    def __hash__(self) -> int:
+        return hash((self.rule_id, self.score))
+
 
 #: Identifiers, titles, severities, categories, scores and patterns by language, in catalogue order.
 RULES: tuple[Rule, ...] = (

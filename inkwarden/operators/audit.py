@@ -87,6 +87,11 @@ def tail(log: DataFrame, n: int = 100_000) -> DataFrame:
     return log.orderBy(F.col("sequence").desc()).limit(min(n, 100_000))
 
 
+def export(log: DataFrame, path: str, n: int = 100_000) -> None:
+    """The last events as one JSON file; ``n`` is at most 100,000, so that one task writes them."""
+    tail(log, n).coalesce(1).write.mode("overwrite").json(path)
+
+
 def event_types(log: DataFrame) -> DataFrame:
     return log.select("event_type").distinct().orderBy("event_type")
 

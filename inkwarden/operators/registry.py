@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.policy import VERDICTS
+from ..plans.policy import VERDICTS, rank, severity_of
 
 SEARCHED = ("filename", "source_path", "sha256")
 LONGEST_QUERY = 300
@@ -73,8 +73,6 @@ def histogram(reports: DataFrame) -> DataFrame:
 
 def inconsistent(reports: DataFrame) -> DataFrame:
     """Reports that contradict themselves: severity isn't the worst finding's, or a score without a finding."""
-    from ..plans.policy import rank, severity_of
-
     worst = F.coalesce(F.array_max(F.transform("findings", lambda f: rank(f["severity"]))), F.lit(0))
     bad = (F.col("severity") != severity_of(worst)) | ((F.size("findings") == 0) & (F.col("risk_score") != 0))
     return reports.filter(bad)

@@ -56,6 +56,16 @@ def decided(reports: DataFrame, policy: dict = pl.POLICY) -> DataFrame:
     return out.withColumn("rules_version", F.lit(VERSION)).withColumn("policy_version", F.lit(policy["version"]))
 
 
+def failures(files: DataFrame, id_col: str, code: Column, policy: dict = pl.POLICY) -> DataFrame:
+    """Reports on files that were not inspected: BLOCKED, UNSCANNABLE, score 100, with ``code`` as the only finding."""
+    text = lambda x: F.lit(x).cast("string")
+    finding = F.struct(code.alias("rule_id"), text("File not inspected").alias("title"), text("HIGH").alias("severity"), text("ANALYSIS_FAILURE").alias("category"), text("").alias("evidence"), text("file").alias("location"), text("METADATA").alias("layer"), F.lit(None).cast("int").alias("line"), text(None).alias("encoding"))
+    return files.select(
+        F.col(id_col).alias("id"), text("").alias("sha256"), F.lit(100).alias("risk_score"), text("HIGH").alias("severity"), F.lit(False).alias("analysis_complete"), code.alias("failure_code"),
+        F.array(finding).alias("findings"), text("BLOCKED").alias("status"), text("UNSCANNABLE").alias("verdict"), text("not-run").alias("rules_version"), F.lit(policy["version"]).alias("policy_version"),
+    )
+
+
 def findings_of(reports: DataFrame) -> DataFrame:
     return reports.select("id", F.explode("findings").alias("f")).select("id", "f.*")
 

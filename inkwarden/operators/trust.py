@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config as cf
 from ..plans import policy as pl
+from .scan import findings_of, scan_files
 
 COMPONENT = "source_path string, component_id string, name string, kind string, locator string, content string, raw_hash string, canonical_hash string, semantic_fingerprint string, error string"
 CHANGE = "array<struct<path:string,old:string,new:string,severity:string,category:string,operation:string>>"
@@ -77,6 +78,23 @@ def risks(components: DataFrame, content: str = "content") -> DataFrame:
     return components.mapInPandas(run, f"{schema}, risks {RISK}")
 
 
+def text_findings(components: DataFrame) -> DataFrame:
+    """component_id and the rules that match a component's canonical text; the evidence is withheld, as it may quote a secret."""
+    named = components.select("component_id", "content", F.lit("configuration.txt").alias("filename"))
+    found = findings_of(scan_files(named, "component_id", "content", "filename"))
+    return found.select(F.col("id").alias("component_id"), "rule_id", "title", "severity", "category", F.lit("configuration").alias("location"), F.concat(F.lit("CONFIG_"), "layer").alias("layer"))
+
+
+def mutation_findings(result: DataFrame, was_approved: Column) -> DataFrame:
+    """Findings on what a reconciliation shows: content that left its approval, and protected configuration that changed."""
+    changed = F.col("outcome") == "CHANGED"
+    protected = F.col("kind").isin("server", "config") | F.exists("changes", lambda c: c["path"].startswith("server") | c["path"].startswith("configuration"))
+    mutation = F.when(changed & was_approved, F.struct(F.lit("MCP-0042").alias("rule_id"), F.lit("Post-approval content mutation").alias("title"), F.lit("HIGH").alias("severity"), F.lit("INTEGRITY").alias("category")))
+    write = F.when(changed & protected, F.struct(F.lit("MCP-0052").alias("rule_id"), F.lit("Protected configuration changed").alias("title"), F.col("severity").alias("severity"), F.lit("CONFIG_WRITE").alias("category")))
+    gone = F.when(F.col("outcome") == "VANISHED", F.struct(F.lit("SOURCE_UNAVAILABLE").alias("rule_id"), F.lit("The source has no usable version").alias("title"), F.lit("HIGH").alias("severity"), F.lit("INTEGRITY").alias("category")))
+    return result.select("component_id", F.explode(F.array_compact(F.array(mutation, write, gone))).alias("f")).select("component_id", "f.*")
+
+
 def flat_differences(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Differences of two flattened trees (keys, path, value): aligned by a full join on the path."""
     a, b = old.select(*keys, "path", F.col("value").alias("old")), new.select(*keys, "path", F.col("value").alias("new"))
