@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, on which Spark's cleaner removes the shuffle files of steps that are over."""
+    """Collect garbage on the driver, on which Spark's cleaner removes the shuffle files of steps that are over.
+
+    The gateway lets go of what Python has dropped once a second, so the JVM is asked after that.
+    """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -43,6 +43,7 @@ LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM  # bytes of context on either side, and one less than the anchor windows
 SHARD_BYTES = 2_000_000
 PAD = 0xFF
+ALL = (1 << SIDE + 1) - 1
 NULL_ID = -(2**63)
 _FACTORS = [np.uint64(((2 * k + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) | 1) for k in range(8)]
 
@@ -217,6 +218,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, several binary, raw binary")
     bits = cut_lineage(met.groupBy("part").applyInArrow(common, "part long, shard long, bits binary"))
+    del met
     release(docs.sparkSession)
 
     def known(shard: Shard, bits: list[tuple[int, bytes]]) -> np.ndarray:
@@ -241,21 +243,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def decide(table: pa.Table) -> pa.Table:
         ctx = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, 8 + 2 * SIDE)
         ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-        cuts, flat, masks = np.cumsum([len(x) for x in ids])[:-1], np.concatenate(ids), np.zeros(len(ctx), np.uint32)
-        h = np.ascontiguousarray(ctx[:, :8]).view(">u8").ravel()
-        order = np.argsort(h, kind="stable")
+        cuts, flat = np.cumsum([len(x) for x in ids])[:-1], np.concatenate(ids)
+        # The same context from several shards is one string of the merge, with the least id.
+        rows, first, which = np.unique(ctx.view(f"V{8 + 2 * SIDE}").ravel(), return_index=True, return_inverse=True)
+        least = np.full(len(rows), 2**63 - 1)
+        np.minimum.at(least, which, flat)
+        rows = ctx[first]
+        h = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
+        borders = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+        masks = np.zeros(len(rows), np.uint32)
+        # An anchor with a single context has nothing to be merged with.
+        several = np.repeat(np.diff(borders) > 1, np.diff(borders))
+        some = np.flatnonzero(several)
+        groups = np.append(np.flatnonzero(np.concatenate([[True], h[some][1:] != h[some][:-1]])), len(some)) if len(some) else np.zeros(1, np.int64)
         at = 0
-        while at < len(order):  # some anchors at a time, all contexts of an anchor together
-            end = min(len(order), at + 100_000)
-            while end < len(order) and h[order[end]] == h[order[end - 1]]:
-                end += 1
-            some = np.sort(order[at:end])
-            masks[some] = verdicts(ctx[some], flat[some])
+        while at < len(groups) - 1:  # some anchors at a time, all contexts of an anchor together
+            end = max(at + 1, int(np.searchsorted(groups, groups[at] + 20_000, side="right")) - 1)
+            part = some[groups[at] : groups[end]]
+            masks[part] = verdicts(rows[part], least[part])
             at = end
-        return pa.table([table.column("part"), table.column("shard"), [x.tobytes() for x in np.split(masks, cuts)]], schema=pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("masks", pa.binary())]))
+        out = np.where(flat > least[which], ALL, masks[which]).astype(np.uint32)
+        return pa.table([table.column("part"), table.column("shard"), [x.tobytes() for x in np.split(out, cuts)]], schema=pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("masks", pa.binary())]))
 
     contexts = rows.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(second, "part long, shard long, rows binary, ids binary")
     masks = cut_lineage(contexts.groupBy("part").applyInArrow(decide, "part long, shard long, masks binary"))
+    del contexts
     release(docs.sparkSession)
     told = bits.join(masks, ["part", "shard"], "left")
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
