@@ -9,7 +9,10 @@ into the exact best k.
 In a shard documents stand in blocks of ``BLOCK``. For each term the largest
 contribution in each block is known; a query's sum of them bounds every score in
 the block. Blocks are read from the best bound on, some at a time; the k-th best
-score so far is the threshold, and blocks below it are never read. A query's
+score so far is the threshold, and blocks below it are never read. Terms that
+one document in ``COMMON`` has are no postings but rows of a dense matrix, of
+at most ``MOST_COMMON`` terms, which scores a chunk of queries in one product;
+their part of a block's bound is the largest such score in the block. A query's
 terms count once; ties go to the smaller id.
 
 Queries are broadcast in sets of at most ``SET_TERMS`` terms, each set searched
@@ -33,10 +36,11 @@ from .common import cut_lineage
 from .shingles import word_hashes
 
 BLOCK = 64
-SHARD_CHARS, SHARD_DOCS = 8_000_000, 16_000
+SHARD_CHARS, SHARD_DOCS = 24_000_000, 16_000
 SET_TERMS = 3_000_000
 K1, B = 1.2, 0.75
 CHUNK = 256
+COMMON, MOST_COMMON = 16, 512
 NO_ID = -(2**63)
 #: ASCII characters that are not letters or digits part words.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -84,7 +88,9 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    def __init__(self, ids: bytes, lengths: bytes, terms: bytes, counts: bytes, docs: bytes, freqs: bytes, average: float):
+    """A shard's postings; those of the terms in ``common`` as a dense matrix (terms by documents)."""
+
+    def __init__(self, ids: bytes, lengths: bytes, terms: bytes, counts: bytes, docs: bytes, freqs: bytes, average: float, common: np.ndarray):
         self.ids, self.terms = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.uint64)
         counts, self.docs, freqs = np.frombuffer(counts, np.int32), np.frombuffer(docs, np.int32), np.frombuffer(freqs, np.int32)
         relative = np.frombuffer(lengths, np.int32)[self.docs] / average
@@ -97,32 +103,49 @@ class Shard:
         self.group_size = np.diff(np.append(self.group, len(block)))
         self.term_group = np.searchsorted(term[self.group], np.arange(len(counts) + 1))
         self.n_blocks = -(-len(self.ids) // BLOCK)
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the k best scores, with those scores."""
+        self.dense = np.zeros((len(common), len(self.ids)))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        for row, at in enumerate(np.searchsorted(self.terms, common)):
+            if at < len(self.terms) and self.terms[at] == common[row]:
+                own = slice(ends[at], ends[at + 1])
+                self.dense[row, self.docs[own]] = self.impact[own]
+
+    def common_scores(self, weights: np.ndarray) -> np.ndarray:
+        """Scores by common terms alone: a row for each query (a column of ``weights``)."""
+        return weights.T @ self.dense
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the k best scores, with those scores: ``base`` and what the other terms add."""
         at = np.searchsorted(self.terms, terms)
         known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
         at, weights = at[known], weights[known]
         lengths = self.term_group[at + 1] - self.term_group[at]
         groups, weight = spread(self.term_group[at], lengths), np.repeat(weights, lengths)
         blocks = self.group_block[groups]
-        bound = np.bincount(blocks, weights=self.group_most[groups] * weight, minlength=self.n_blocks) * (1 + 1e-9)
+        bound = np.bincount(blocks, weights=self.group_most[groups] * weight, minlength=self.n_blocks).astype(float)
+        bound = (bound + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))) * (1 + 1e-9) + 1e-8
         order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        docs, scores, done, wave, least = np.zeros(0, np.int64), np.zeros(0), 0, 4, 0.0
+        order = order[: int((bound > 1e-8).sum())]
+        docs, scores, done, wave, least = np.zeros(0, np.int64), np.zeros(0), 0, 8, 0.0
         while done < len(order) and bound[order[done]] >= least:
             some = order[done : done + wave]
             some = some[bound[some] >= least]
-            done, wave = done + wave, wave * 4
+            done, wave = done + wave, wave * 16
             on = np.full(self.n_blocks, -1, dtype=np.int64)
             on[some] = np.arange(len(some))
             here = np.flatnonzero(on[blocks] >= 0)
             size = self.group_size[groups[here]]
             places = spread(self.group[groups[here]], size)
             slot = np.repeat(on[blocks[here]] * BLOCK, size) + self.docs[places] % BLOCK
-            sums = np.bincount(slot, weights=self.impact[places] * np.repeat(weight[here], size), minlength=len(some) * BLOCK)
-            hit = np.flatnonzero(sums > 0)
-            docs, scores = np.concatenate([docs, some[hit // BLOCK] * BLOCK + hit % BLOCK]), np.concatenate([scores, sums[hit]])
+            sums = np.bincount(slot, weights=self.impact[places] * np.repeat(weight[here], size), minlength=len(some) * BLOCK).astype(float)
+            every = (some[:, None] * BLOCK + np.arange(BLOCK)[None]).ravel()
+            real = every < len(base)
+            sums[real] += base[every[real]]
+            hit = np.flatnonzero((sums > 0) & (sums >= least - 1e-8))
+            if len(hit) > 4 * k:  # far from the best; ties with the k-th stay
+                hit = hit[sums[hit] >= np.partition(sums[hit], len(hit) - k)[len(hit) - k] - 1e-8]
+            sums = np.round(sums[hit], 9)  # equal texts score alike, in whatever order their parts are added
+            docs, scores = np.concatenate([docs, every[hit]]), np.concatenate([scores, sums])
             if len(docs) > k:
                 top = np.lexsort((self.ids[docs], -scores))[:k]
                 docs, scores = docs[top], scores[top]
@@ -171,18 +194,30 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
     for part, n in found:  # as many counters as the set has terms
         df[part << 16 : part + 1 << 16] = np.frombuffer(n, np.int64)
     weight = np.log1p((n_docs - df[: len(every)] + 0.5) / (df[: len(every)] + 0.5))
-    asked_of = sc.broadcast((ids, np.concatenate([[0], np.cumsum(sizes)]), terms, weight[np.searchsorted(every, terms)]))
+    often = np.argsort(-df[: len(every)], kind="stable")[:MOST_COMMON]
+    common = np.sort(every[often[df[often] * COMMON >= n_docs]])
+    asked_of = sc.broadcast((ids, np.concatenate([[0], np.cumsum(sizes)]), terms, weight[np.searchsorted(every, terms)], common))
     arrow = pa.schema([("chunk", pa.int64()), ("query", pa.binary()), ("doc", pa.binary()), ("score", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cut, terms, weights = asked_of.value
+        ids, cut, terms, weights, common = asked_of.value
+        place = np.searchsorted(common, terms)
+        is_common = common[np.minimum(place, len(common) - 1)] == terms if len(common) else np.zeros(len(terms), dtype=bool)
+        owner = np.repeat(np.arange(len(ids)), np.diff(cut))
         for batch in batches:
             for r in range(batch.num_rows):
-                shard = Shard(*(batch.column(c)[r].as_py() for c in range(6)), average)
+                shard = Shard(*(batch.column(c)[r].as_py() for c in range(6)), average, common)
                 for first in range(0, len(ids), CHUNK):
+                    last = min(len(ids), first + CHUNK)
+                    own = slice(cut[first], cut[last])
+                    w = np.zeros((len(common), last - first))
+                    on = np.flatnonzero(is_common[own]) + cut[first]
+                    w[place[on], owner[on] - first] = weights[on]
+                    base = shard.common_scores(w)
                     query, doc, score = [], [], []
-                    for q in range(first, min(len(ids), first + CHUNK)):
-                        d, s = shard.best(terms[cut[q] : cut[q + 1]], weights[cut[q] : cut[q + 1]], k)
+                    for q in range(first, last):
+                        rare = np.flatnonzero(~is_common[cut[q] : cut[q + 1]]) + cut[q]
+                        d, s = shard.best(terms[rare], weights[rare], base[q - first], k)
                         query.append(np.full(len(d), q))
                         doc.append(shard.ids[d])
                         score.append(s)
