@@ -20,6 +20,7 @@ from ..functions import text as tx
 from ..functions.prefilter import necessary_literals, shortest, tree_pattern
 from ..functions.rules import RULES, VERSION, Rule
 from ..plans import policy as pl
+from ..sources.scratch import spread
 
 FINDING = "struct<rule_id:string,title:string,severity:string,category:string,evidence:string,location:string,layer:string,line:int,encoding:string>"
 REPORT = f"sha256 string, size_bytes long, format string, characters long, segments int, risk_score int, severity string, analysis_complete boolean, failure_code string, findings array<{FINDING}>"
@@ -30,6 +31,7 @@ def scan_files(files: DataFrame, id_col: str = "path", content_col: str = "conte
     """Reports: the id, REPORT, rules_version, policy_version, status and verdict. Null content is an oversized file."""
     kind = files.schema[id_col].dataType.simpleString()
     rows = files.select(F.col(id_col).alias("id"), F.col(content_col).cast("binary").alias("data"), F.col(name_col).alias("name"))
+    rows = rows if rows.isStreaming else spread(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,23 +76,27 @@ def native_hits(rows: DataFrame, id_col: str, clean: Column, rules: tuple[Rule,
     """id, rule_id, language, severity, category, score: a row for each rule and language that an already normalised text matches."""
     chosen = [(r, lang, p, necessary_literals(p) if prefilter else ()) for r in rules for lang, ps in r.patterns.items() if not languages or lang in languages for p in ps]
     short = shortest({w for *_, words in chosen for w in words})
-    texts = rows.select(F.col(id_col).alias("id"), clean.alias("_clean"))
+    texts = spread(rows.select(F.col(id_col).alias("id"), clean.alias("_clean")))
     if short:
         found = F.regexp_extract_all("_clean", F.lit(f"(?=({tree_pattern(sorted(set(short.values())))}))"), F.lit(1))
         texts = texts.withColumn("_words", F.array_distinct(found))
-    tests: dict[tuple[str, str], Column] = {}
+    # One expression text for the whole catalogue: built column by column, it is thousands of calls to the JVM.
+    tests: dict[tuple[str, str], list[str]] = {}
     for r, lang, p, words in chosen:
-        test = F.col("_clean").rlike(f"(?isU){p}")
+        test = f"rlike(_clean, {_quoted(f'(?isU){p}')})"
         if words:
-            test = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in sorted({short[w] for w in words})])) & test
-        key = (r.rule_id, lang)
-        tests[key] = tests[key] | test if key in tests else test
+            test = f"(arrays_overlap(_words, array({', '.join(_quoted(w) for w in sorted({short[w] for w in words}))})) AND {test})"
+        tests.setdefault((r.rule_id, lang), []).append(test)
     of = {r.rule_id: r for r in rules}
     hits = [
-        F.when(test, F.struct(F.lit(k).alias("rule_id"), F.lit(lang).alias("language"), F.lit(of[k].severity).alias("severity"), F.lit(of[k].category).alias("category"), F.lit(of[k].score).alias("score")))
-        for (k, lang), test in tests.items()
+        f"CASE WHEN {' OR '.join(some)} THEN named_struct('rule_id', {_quoted(k)}, 'language', {_quoted(lang)}, 'severity', {_quoted(of[k].severity)}, 'category', {_quoted(of[k].category)}, 'score', {of[k].score}) END"
+        for (k, lang), some in tests.items()
     ]
-    return texts.select("id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("id", "h.*")
+    return texts.select("id", F.expr(f"explode(array_compact(array({', '.join(hits)})))").alias("h")).select("id", "h.*")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def scored(rows: DataFrame, hits: DataFrame, id_col: str, policy: dict = pl.POLICY) -> DataFrame:

@@ -77,7 +77,7 @@ def test_normalise_settles(text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["ignore", "previous", "all", "instructions", "system", "prompt", "reveal", "the", "dan", "act", "as", "output", "only", "key", "secret"]), max_size=14))
+@given(st.lists(st.sampled_from(["\u0131gnore", "pr\u0131or", "é", "ignore", "previous", "all", "instructions", "system", "prompt", "reveal", "the", "dan", "act", "as", "output", "only", "key", "secret"]), max_size=14))
 def test_prefilter_hides_nothing(words):
     text = " ".join(words)
     key = lambda hits: [(r.rule_id, m.span()) for r, m in hits]
