@@ -183,6 +183,12 @@ def confusable_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.fold_confusables(F.translate(F.substring("text", 1, 50), "aeo", "аео")).alias("folded"))
 
 
+@query(f"SELECT doc_id, translate(translate(text, 'aeo', '{'а' + 'е' + 'о'}'), '{tx.LOOKALIKE}', '{tx.PASSES_FOR}') AS folded FROM documents")
+def confusable_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``confusable_fold`` over whole texts; that one's SQL fixes a prefix of 50 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.fold_confusables(F.translate("text", "aeo", "аео")).alias("folded"))
+
+
 @query()
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normalise_udf("text"), 256).alias("normal_sha256"))
@@ -200,6 +206,12 @@ def rot13_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.rot13(F.substring("text", 1, 80)).alias("turned"))
 
 
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm') AS turned FROM documents")
+def rot13_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rot13_decode`` over whole texts; that one's SQL fixes a prefix of 80 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.rot13(F.col("text")).alias("turned"))
+
+
 @query("SELECT doc_id, 'igno' || 're ' || doc_id::VARCHAR AS joined FROM documents")
 def concat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.concat(F.lit("igno\" + 're "), F.col("doc_id").cast("string"))
