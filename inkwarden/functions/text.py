@@ -77,12 +77,17 @@ REDACTIONS = (
 _REDACTIONS = [(re.compile(p), r.replace("${1}", r"\g<1>")) for p, r in REDACTIONS]
 
 
-def redact(text: str) -> str:
-    """Evidence without secrets, invisible characters spelled out, at most EVIDENCE_CHARS long."""
+def masked(text: str) -> str:
+    """A whole text without secrets, invisible characters spelled out."""
     for pattern, mask in _REDACTIONS:
         text = pattern.sub(mask, text)
     spell = lambda m: f"\\u{ord(m[0]):04x}" if ord(m[0]) < 0x10000 else f"\\U{ord(m[0]):08x}"
-    return _INVISIBLE.sub(spell, text)[:EVIDENCE_CHARS]
+    return _INVISIBLE.sub(spell, text)
+
+
+def redact(text: str) -> str:
+    """Evidence: :func:`masked`, at most EVIDENCE_CHARS long."""
+    return masked(text)[:EVIDENCE_CHARS]
 
 
 def redact_col(text: Column) -> Column:
@@ -187,6 +192,24 @@ def normalise_udf(text: pd.Series) -> pd.Series:
     return text.map(normalise, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def masked_udf(text: pd.Series) -> pd.Series:
+    return text.map(masked, na_action="ignore")
+
+
+def unquoted(text: str) -> str | None:
+    """The text with its percent signs decoded; None where that isn't UTF-8."""
+    try:
+        return unquote(text, errors="strict")
+    except UnicodeDecodeError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def unquoted_udf(text: pd.Series) -> pd.Series:
+    return text.map(unquoted, na_action="ignore")
+
+
 def fold_confusables(text: Column) -> Column:
     return F.translate(text, LOOKALIKE, PASSES_FOR)
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import config as cf
 from ..plans import policy as pl
@@ -36,6 +37,22 @@ def parsed(files: DataFrame, path_col: str = "path", content_col: str = "content
     return files.select(F.col(path_col), F.col(content_col).cast("binary")).mapInPandas(run, schema)
 
 
+@F.pandas_udf(T.StructType([T.StructField(h, T.StringType()) for h in ("raw_hash", "canonical_hash", "semantic_fingerprint")]))
+def text_fingerprints(text: pd.Series) -> pd.DataFrame:
+    """The three hashes of plain texts, each taken as a configuration value; a text without a canonical form has the first only."""
+
+    def one(t: str | None) -> tuple:
+        if t is None:
+            return None, None, None
+        raw = t.encode("utf-8", "surrogatepass")
+        try:
+            return cf.fingerprints(raw, cf.canonical(t))
+        except cf.Invalid:
+            return cf.sha256(raw), None, None
+
+    return pd.DataFrame([one(t) for t in text], columns=["raw_hash", "canonical_hash", "semantic_fingerprint"])
+
+
 def discovered(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """COMPONENT rows of each file; a file that can't be read gives one row with its error."""
     names = [x.split()[0] for x in COMPONENT.split(", ")]
