@@ -6,7 +6,9 @@ documents with the smallest hashes). A text is parsed against a language by
 longest matches: a phrase runs as far as the automaton can follow it. Few
 phrases mean that the text is made of what the language has; the count is
 normalised by log2 of the training length over the text's length, which is an
-estimate of the cross entropy, and the language with the least wins. Texts are
+estimate of the cross entropy, and the language with the least wins. Every
+letter of the samples is a symbol of its own: transitions of the commonest
+``SYMBOLS`` symbols are a dense table, those of all others a sorted list. Texts are
 parsed in lanes of ``LANE`` characters side by side (a phrase ends with its
 lane, for every language alike), whole texts always.
 
@@ -19,6 +21,7 @@ with no language learned all is ``und``; repeated rows are judged alike.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,17 +58,26 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_cha
 
 
 def alphabet(texts: dict[str, str]) -> dict[str, int]:
-    """Codes of the commonest letters; 0 is for what isn't a letter, 1 for all other letters."""
+    """Codes of all letters in the texts, the commonest first; 0 is for what isn't a letter, 1 for letters that no text has."""
     count: dict[str, int] = {}
     for t in texts.values():
         for c in t:
             if c.isalpha():
                 count[c] = count.get(c, 0) + 1
-    return {c: k + 2 for k, c in enumerate(sorted(count, key=lambda c: (-count[c], c))[: SYMBOLS - 2])}
+    return {c: k + 2 for k, c in enumerate(sorted(count, key=lambda c: (-count[c], c)))}
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """The suffix automaton as a table of state and symbol: the next state, with BREAK added where a phrase ends and the next one starts."""
+@functools.cache
+def letter_table() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix automaton as a table of state and symbol: the next state, with BREAK added where a phrase ends and the next one starts.
+
+    Transitions with symbols beyond the table's are rows of (state, symbol, next state).
+    """
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -94,33 +106,55 @@ def automaton(codes: list[int]) -> np.ndarray:
     # A symbol that the language hasn't got is a phrase of its own; whatever follows it starts another.
     root = np.full(SYMBOLS, len(nxt), dtype=np.int32)
     for c, s in nxt[0].items():
-        root[c] = s
+        if c < SYMBOLS:
+            root[c] = s
     table = np.tile(root + BREAK, (len(nxt) + 1, 1))
     table[0] = root
+    beyond = []
     for s, out in enumerate(nxt):
         for c, t in out.items():
-            table[s, c] = t
-    return table
+            if c < SYMBOLS:
+                table[s, c] = t
+            else:
+                beyond.append((s, c, t))
+    return table, np.array(beyond, dtype=np.int64).reshape(-1, 3)
 
 
 class Parser:
     def __init__(self, texts: dict[str, str]):
         self.langs = list(texts)
-        self.codes = np.ones(0x110000, dtype=np.uint8)
-        self.codes[:] = 1
         letters = alphabet(texts)
-        for c in range(0x3000):
-            if not chr(c).isalpha():
-                self.codes[c] = 0
+        self.size = len(letters) + 2
+        self.codes = letter_table().astype(np.uint8 if self.size < 255 else np.int32)
+        self.pad = np.iinfo(self.codes.dtype).max
         for c, k in letters.items():
             self.codes[ord(c)] = k
-            if len(up := c.upper()) == 1:
+            if len(up := c.upper()) == 1 and up.lower() == c:
                 self.codes[ord(up)] = k
         trained = [self.squeeze(t) for t in texts.values()]
-        tables = [automaton(t.tolist()) for t in trained]
+        automata = [automaton(t.tolist()) for t in trained]
+        tables = [t for t, _ in automata]
         self.roots = np.cumsum([0] + [len(t) for t in tables])[:-1].astype(np.int32)
         self.table = np.zeros(0, np.int32) if not tables else np.concatenate([t + r for t, r in zip(tables, self.roots, strict=True)]).ravel()
         self.bits = np.log2(np.array([max(2, len(t)) for t in trained]))
+        # Symbols beyond the table: by state and symbol, and by language from the root (else its last state, which has no phrase).
+        beyond = [x + [r, 0, r] for (_, x), r in zip(automata, self.roots, strict=True)]
+        self.keys, self.next = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if beyond:
+            rows = np.concatenate(beyond)
+            order = np.argsort(keys := rows[:, 0] * self.size + rows[:, 1])
+            self.keys, self.next = keys[order], rows[order, 2].astype(np.int32)
+        self.starts = np.repeat(np.array([r + len(t) - 1 for t, r in zip(tables, self.roots, strict=True)], dtype=np.int32)[:, None], max(self.size - SYMBOLS, 0), axis=1)
+        for k, (x, r) in enumerate(zip(beyond, self.roots, strict=True)):
+            first = x[x[:, 0] == r]
+            self.starts[k, first[:, 1] - SYMBOLS] = first[:, 2]
+
+    def step_beyond(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states (as in the table) of languages and lanes by symbols beyond the table."""
+        key = state.astype(np.int64) * self.size + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        again = self.starts[:, symbol - SYMBOLS] + np.where(state == self.roots[:, None], 0, BREAK).astype(np.int32)
+        return np.where(self.keys[at] == key, self.next[at], again)
 
     def squeeze(self, text: str) -> np.ndarray:
         """Symbols of a text, with runs of what isn't a letter as one."""
@@ -132,21 +166,25 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text by each language."""
         lanes = [-(-len(t) // LANE) for t in texts]
-        block = np.full((sum(lanes), LANE), 255, dtype=np.uint8)
+        block = np.full((sum(lanes), LANE), self.pad, dtype=self.codes.dtype)
         k = 0
         for t, n in zip(texts, lanes, strict=True):
             block[k : k + n].reshape(-1)[: len(t)] = t
             k += n
-        sizes = (block != 255).sum(1)
+        sizes = (block != self.pad).sum(1)
         order = np.argsort(-sizes, kind="stable")
         block, sizes = np.ascontiguousarray(block[order].T), sizes[order]
+        # In the table, a symbol beyond it counts as one that no language has; step_beyond puts that right.
+        near, rare = (block, None) if self.size <= SYMBOLS else (np.where(block < SYMBOLS, block, 1), (block >= SYMBOLS) & (block != self.pad))
         found = np.ones((len(self.roots), len(order)), dtype=np.int32)
         state = np.repeat(self.roots[:, None], len(order), axis=1)
         left = np.searchsorted(-sizes, -np.arange(LANE), side="left")  # lanes longer than each step
         for j in range(LANE):
             if not (m := left[j]):
                 break
-            step = self.table[state[:, :m] * SYMBOLS + block[j, :m]]
+            step = self.table[state[:, :m] * SYMBOLS + near[j, :m]]
+            if rare is not None and len(some := np.flatnonzero(rare[j, :m])):
+                step[:, some] = self.step_beyond(state[:, some], block[j, some].astype(np.int64))
             found[:, :m] += step >= BREAK
             state[:, :m] = step & (BREAK - 1)
         by_lane = np.empty_like(found)

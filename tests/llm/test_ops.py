@@ -271,6 +271,40 @@ def test_cross_parse_counts_longest_matches():
     assert p.phrases([p.squeeze(text)]).tolist() == [[phrases("abcabd", text), phrases("zzzzab", text)]]
 
 
+def test_language_id_beyond_the_basic_letters():
+    p = langid.Parser({"en": "the weather is fine today and the sea is calm", "fr": "le temps est beau et la mer est calme"})
+    # No letter anywhere: emoji, CJK punctuation, full-width digits and signs.
+    assert p.judge(["😀🎉", "、。「」", "０１２", "！＄"]) == (["und"] * 4, [0.0] * 4)
+    assert p.squeeze("a😀、０b").tolist() == p.squeeze("a .b").tolist()
+    # More letters than the table has symbols: each stays itself.
+    rng = random.Random(7)
+    han = [chr(0x4E00 + k) for k in range(400)]
+    a, b = han[::2], han[1::2]
+    draw = lambda some, n: "".join(rng.choices(some, k=n))
+    spoken = {g: [draw(some, 3) for _ in range(150)] for g, some in (("aa", a), ("bb", b))}
+    talk = lambda g, n: "".join(rng.choices(spoken[g], k=n))
+    texts = {"aa": talk("aa", 1000), "bb": talk("bb", 1000), "en": "the weather is fine today and the sea is calm " * 20}
+    p = langid.Parser(texts)
+    assert p.judge([talk("aa", 20), talk("bb", 20), "fine weather 😀", "Is The Sea"])[0] == ["aa", "bb", "en", "en"]
+
+    def phrases(train, t):
+        n, k = 0, 0
+        while k < len(t):
+            j = k + 1
+            while j < len(t) and t[k : j + 1] in train:
+                j += 1
+            n, k = n + 1, j
+        return n
+
+    spelled = lambda t: "".join(chr(100 + int(c)) for c in p.squeeze(t))
+    asked = [draw(han + ["x", "t"], 300), texts["aa"][500:700] + "the" + texts["bb"][:90], "一" * 5 + han[-1], "ı"]
+    got = p.phrases([p.squeeze(t) for t in asked])
+    assert got.tolist() == [[phrases(spelled(x), spelled(t)) for x in texts.values()] for t in asked]
+    # A rare lower-case letter doesn't take the upper-case one of another.
+    p = langid.Parser({"x": "iiii ı", "y": "zz"})
+    assert p.squeeze("I").tolist() == p.squeeze("i").tolist() != p.squeeze("ı").tolist()
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
