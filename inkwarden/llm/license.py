@@ -9,6 +9,12 @@ it. A paragraph whose likeliest class is a family, with at least ``least``
 probability, is compared with that family's templates: the share of the
 template's words that it has, in order, must reach ``confirm``.
 
+A notice may be wrapped over lines. Runs of joined lines that no blank line parts
+(every start, several lengths, up to a run that has as many words as the longest
+template before its last line) are judged the same way, if a line in them has a
+word without which no template can be confirmed. A run counts as one paragraph,
+numbered by its first line, unless it overlaps or adjoins a confirmed one of its family.
+
 Cases: null or empty text has no paragraphs; ties in probability go to the first
 family by name; repeated rows are scanned alike; without corpus paragraphs the
 unknown class has the built-in ones; an empty table gives an empty result.
@@ -96,6 +102,8 @@ NEAR_MISSES = [
 #: Words by which sample paragraphs are kept out of the unknown class.
 TERMS = re.compile(r"licen[cs]|copyright|permission|redistribut|public domain|creative commons|spdx", re.I)
 DIM = 1 << 14
+#: Joined lines that are judged at once.
+RUNS = 4096
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 UNKNOWN = "unknown"
 
@@ -193,6 +201,47 @@ def closeness(paragraph: str, family: str) -> float:
     return max(sum(m.size for m in SequenceMatcher(None, t, own, autojunk=False).get_matching_blocks()) / len(t) for t in _WORDS[family])
 
 
+def needed_words(confirm: float) -> set[str]:
+    """Words of which a text has one if it has ``confirm`` of any template's words."""
+    words: set[str] = set()
+    for t in (t for ts in _WORDS.values() for t in ts):
+        left = (1 - confirm) * len(t) + 1e-6
+        for w in sorted(set(t), key=lambda w: (-len(w), w)):
+            if left < 0:
+                break
+            words.add(w)
+            left -= t.count(w)
+    return words
+
+
+def runs(lines: list[str], needed: set[str]) -> list[tuple[int, int]]:
+    """First and last line + 1 of the joined lines that are judged, counted over the lines that aren't blank."""
+    longest = max(len(t) for ts in _WORDS.values() for t in ts)
+    out, blocks, k = [], [[0, 0]], 0
+    for p in lines:
+        if p.strip():
+            k += 1
+            blocks[-1][1] = k
+        else:
+            blocks.append([k, k])
+    full = [_TOKEN.findall(p.lower()) for p in lines if p.strip()]
+    has = np.cumsum([0] + [not needed.isdisjoint(t) for t in full])
+    words = np.cumsum([0] + [len(t) for t in full])
+    for a, b in blocks:
+        if has[b] == has[a]:
+            continue
+        for i in range(a, b - 1):
+            n = 2
+            while True:
+                j = min(i + n, b)
+                if has[j] > has[i]:
+                    out.append((i, j))
+                if j == b or words[j - 1] - words[i] >= longest:
+                    break
+                n += max(1, n // 4)
+    return out
+
+
 def sampled(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
     n = docs.count()
     place = F.pmod(F.xxhash64(F.lit(1), F.col(id_col)), F.lit(1 << 30))
@@ -207,10 +256,14 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     entry = pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())])
     arrow = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("found", pa.list_(entry))])
 
+    needed = needed_words(confirm)
+
     def judge(texts: list[str | None]) -> tuple[list[int], list[list[dict]]]:
-        lines = [[p for p in (t or "").split("\n") if p.strip()] for t in texts]
+        raw = [(t or "").split("\n") for t in texts]
+        lines = [[p for p in ps if p.strip()] for ps in raw]
         flat = [p for ps in lines for p in ps]
         found: list[list[dict]] = [[] for _ in texts]
+        sure: list[list[tuple]] = [[] for _ in texts]
         if flat:
             p = model.probabilities(flat)
             best = p.argmax(1)
@@ -220,6 +273,24 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 family = model.families[best[k]]
                 near = closeness(flat[k], family)
                 found[whose[k]].append({"paragraph": int(k - first[whose[k]]), "family": family, "probability": float(p[k, best[k]]), "similarity": near, "confirmed": near >= confirm})
+        joined = [(d, i, j) for d, ps in enumerate(raw) for i, j in runs(ps, needed)]
+        for at in range(0, len(joined), RUNS):
+            some = joined[at : at + RUNS]
+            wrapped = [" ".join(lines[d][i:j]) for d, i, j in some]
+            p = model.probabilities(wrapped)
+            best = p.argmax(1)
+            for k in np.flatnonzero((best < len(model.families) - 1) & (p.max(1) >= least)):
+                d, i, j = some[k]
+                near = closeness(wrapped[k], model.families[best[k]])
+                if near >= confirm:
+                    sure[d].append((-near, j - i, i, j, model.families[best[k]], float(p[k, best[k]])))
+        for d, candidates in enumerate(sure):
+            taken = [(x["paragraph"], x["paragraph"] + 1, x["family"]) for x in found[d] if x["confirmed"]]
+            for near, _, i, j, family, probability in sorted(candidates):
+                if all(f != family or j < a or i > b for a, b, f in taken):
+                    taken.append((i, j, family))
+                    found[d].append({"paragraph": i, "family": family, "probability": probability, "similarity": -near, "confirmed": True})
+            found[d].sort(key=lambda x: (x["paragraph"], x["family"]))
         return [len(ps) for ps in lines], found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

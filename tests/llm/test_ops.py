@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -369,6 +370,23 @@ def test_license_scan(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_license_scan_joins_wrapped_notices(spark):
+    prose = "\n".join("the quick brown fox went over the hill and saw a river below" for _ in range(12))
+    rows, want = [], []
+    for f, ts in license.TEMPLATES.items():
+        for t in ts:
+            if len(t.split()) >= 20:
+                for width, mark in ((72, ""), (60, "# "), (34, " * ")):
+                    notice = "\n".join(mark + x for x in textwrap.wrap(t, width))
+                    rows += [(len(rows), notice), (len(rows) + 1, f"{prose}\n\n{notice}\n\n{prose}"), (len(rows) + 2, f"{prose}\n{notice}\n{prose}")]
+                    want += [(1, f)] * 3
+    rows.append((len(rows), prose + "\n\n" + prose))
+    want.append((0, ""))
+    # Lines of a wrapped notice that are confirmed by themselves are counted by themselves.
+    got = {r.doc_id: (min(r.n_licensed, 1), r.families) for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(k, got[k]) for k in range(len(rows)) if got[k] != want[k]] == []
+
+
 def test_search(docs, empty):
     rows = awkward()
     words = [(i, Counter(w for w in (t or "").lower().encode().translate(search._PARTS).split())) for i, t, *_ in rows]
