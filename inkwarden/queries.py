@@ -482,15 +482,14 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that arrive as a stream, decided by keyed state: a content is scanned once for its source path."""
+    """Texts that arrive as a stream, a path each: keyed state decides, and what is to be scanned is inspected."""
     source = f"{sf_dir}/documents.parquet"
     top = shared_folder(spark)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as the table may be one file
-    rows = stream.select(F.concat(F.lit("/in/"), F.coalesce("source", F.lit(""))).alias("path"), F.col("text").cast("binary").alias("content"))
-    out = incremental.decisions(rows, incremental.context_hash())
-    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+    rows = stream.select(F.concat(F.lit("/in/"), F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    q = incremental.decided_scan(rows, f"{top}/out", f"{top}/state")
     q.awaitTermination()
-    return spark.read.schema(incremental.SEEN).parquet(f"{top}/out").groupBy("path").agg(F.count("*").alias("arrived"), F.count_distinct("sha256").alias("contents"))
+    return spark.read.parquet(f"{top}/out").select("path", "sha256", "decision", "risk_score", "severity", "status", "verdict", F.transform("findings", lambda f: f["rule_id"]).alias("rules"))
 
 
 @query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events")

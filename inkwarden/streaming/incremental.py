@@ -40,19 +40,23 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 
 def decisions(files: DataFrame, context: str) -> DataFrame:
     """path, sha256, decision: SCAN for new content or context, SKIP for what has been inspected."""
-    rows = files.select("path", F.sha2("content", 256).alias("sha256"))
+    return _decisions(files.select("path", F.sha2("content", 256).alias("sha256")), context, SEEN)
+
+
+def _decisions(rows: DataFrame, context: str, schema: str) -> DataFrame:
+    more = rows.columns[2:]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else (None, None)
         out = []
         for b in batches:
-            for sha in b["sha256"]:
-                out.append((key[0], sha, "SKIP" if last == (sha, context) else "SCAN"))
+            for sha, *rest in b[["sha256", *more]].itertuples(index=False, name=None):
+                out.append((key[0], sha, "SKIP" if last == (sha, context) else "SCAN", *rest))
                 last = (sha, context)
         state.update(last)
-        yield pd.DataFrame(out, columns=["path", "sha256", "decision"])
+        yield pd.DataFrame(out, columns=["path", "sha256", "decision", *more])
 
-    return rows.groupBy("path").applyInPandasWithState(run, SEEN, "sha256 string, context string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("path").applyInPandasWithState(run, schema, "sha256 string, context string", "append", GroupStateTimeout.NoTimeout)
 
 
 def sink(reports_path: str, policy: dict = pl.POLICY):
@@ -71,6 +75,21 @@ def watch(spark: SparkSession, path: str, reports_path: str, checkpoint: str, po
     return stream.writeStream.foreachBatch(sink(reports_path, policy)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def decided_scan(files: DataFrame, reports_path: str, checkpoint: str, policy: dict = pl.POLICY):
+    """Decisions on path and content by keyed state, with a report on each that is SCAN and none on those that are SKIP."""
+    decided = _decisions(files.select("path", F.sha2("content", 256).alias("sha256"), "content"), context_hash(policy), SEEN + ", content binary")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read twice, and the state is to be asked once
+        named = batch.withColumn("id", F.struct("path", "sha256", "decision")).withColumn("filename", F.lit("arrived.txt"))
+        scanned = scan_files(named.filter("decision = 'SCAN'"), "id", policy=policy).drop("sha256").select("id.*", "*").drop("id")
+        skipped = named.filter("decision = 'SKIP'").select("path", "sha256", "decision")
+        scanned.unionByName(skipped, allowMissingColumns=True).write.mode("overwrite").parquet(f"{reports_path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return decided.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def vanished(index: DataFrame, listing: DataFrame) -> DataFrame:
     """Indexed paths that a complete listing hasn't got; run only after a complete cycle."""
     return index.join(listing.select("path"), "path", "left_anti")
