@@ -5,12 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+MAX_BUCKETS = 100_000  # Spark's own bound
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session without that setting (tests) gets a folder of its own."""
+    """The session's ``spark.checkpoint.dir``; without that setting, a local session (tests) gets a folder of its own and any other is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(top or tempfile.mkdtemp(prefix="ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove(spark: SparkSession, folder: str, now: bool = True) -> None:
+    """Delete a folder of intermediate results, at once or when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True) if now else fs.deleteOnExit(path)
+
+
+def in_shards(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> tuple[DataFrame, str, int]:
+    """doc_id, text (null: empty) and shard, about ``shard_bytes`` a shard, as a table in :func:`shared_folder`; its folder; all bytes.
+
+    The table is bucketed by shard: passes over shards read it where it lies and
+    shuffle only what they exchange. Rows that are the same in id and text are
+    dealt over the shards too. Its folder goes when the driver ends, or by
+    :func:`remove` before that.
+    """
+    spark = docs.sparkSession
+    total = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    buckets = min(MAX_BUCKETS, max(-(-shards // 8), min(shards, 2 * spark.sparkContext.defaultParallelism)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)))
+    name = f"shards_{uuid.uuid4().hex}"
+    remove(spark, folder := f"{shared_folder(spark)}/{name}", now=False)
+    rows.repartition(buckets, "shard").write.bucketBy(buckets, "shard").option("path", folder).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return table, folder, total
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into :func:`shared_folder`.
 

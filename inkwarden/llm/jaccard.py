@@ -20,17 +20,22 @@ least ``numerator / denominator``. No link is lost:
 Counts come from shards of texts: a shard sends its shingles' hashes by range
 and gets a level for each back.
 
-A bucket over ``block`` rows is split into blocks, and pairs of blocks are traversed
-by tasks of their own.
+A bucket over ``block`` rows is split by size, so that a row meets its own class and
+the next ones only, and large classes into blocks; pairs of blocks are traversed by
+tasks of their own. A pair is given once, not in every bucket that it shares: each
+row carries its first ``EARLY`` open tokens, and a bucket passes over pairs that
+have an earlier one in common.
 
 Cases: null or blank text has an empty set and links with nothing; fewer words
 than a shingle form one; a null id is its own row and never a component's name
-unless all its ids are null; repeated rows are equal sets; an empty table gives
-an empty result.
+unless all its ids are null; repeated rows are equal sets; a very long text is a
+set like any other; an empty table gives an empty result; columns of ``docs`` other
+than the two named are boxed, so their names don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,14 +45,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut_lineage, release, shuffle_parts, small, unboxed
+from .common import boxed, cut_lineage, in_shards, release, remove, shuffle_parts, small, unboxed
 from .graph import components
 from .shingles import shingle_sets
 
 SHARD_BYTES = 2_000_000
 BROADCAST_IDS = 200_000
+BROADCAST_BUCKETS = 10_000
 BITS = 1024
 LEAF, FAN = 16, 8
+EARLY = 32
 
 
 def _batches(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -73,14 +80,12 @@ def _cut(h: np.ndarray, width: int) -> np.ndarray:
     return h >> np.uint64(64 - 8 * width)
 
 
-def nodes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, shard_bytes: int) -> DataFrame:
-    """doc_id, mark (of the text), n, digest, bitmap and tokens (those of the prefix that more than one text may have) of each row."""
-    total = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    shards, parts, width = max(1, -(-total // shard_bytes)), max(1, total // (4 * shard_bytes)), 5
+def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_bytes: int) -> DataFrame:
+    """doc_id, mark (of the text), n, digest, bitmap and tokens (those of the prefix that more than one text may have) of each row of :func:`in_shards`."""
+    parts, width = max(1, total // (4 * shard_bytes)), 5
     while width < 8 and total > 1 << (8 * width - 6):
         width += 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    rows = texts.withColumn("mark", F.xxhash64("text"))
 
     def ranges(short: np.ndarray) -> np.ndarray:
         cuts = np.array([(k << 8 * width) // parts for k in range(1, parts)], dtype=np.uint64)
@@ -113,7 +118,7 @@ def nodes(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den:
     met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, raw binary, n binary")
     levels = cut_lineage(met.groupBy("part").applyInArrow(level, "part long, shard long, levels binary"))
     del met
-    release(docs.sparkSession)
+    release(texts.sparkSession)
     arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def second(key, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -263,18 +268,32 @@ def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator
             stack += [(lx, i, ly - 1, k) for k in range(j * FAN, min(len(y.levels[ly - 1][1]), (j + 1) * FAN))]
 
 
+def _classed(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Each row once for each pair of blocks of its bucket that it may find a partner in: token, i, j, mine, and its own columns."""
+    # Sets that link are of one class or of neighbouring ones.
+    klass = F.floor(F.log("n") / math.log(den / num) * (1 - 1e-9)).cast("long") if num < den else F.col("n")
+    sizes = rows.withColumn("klass", klass).groupBy("token", "klass").agg(F.count("*").alias("k"))
+    few = rows.groupBy("token").agg(F.count("*").alias("all"))
+    blocks = sizes.join(few.filter(F.col("all") > block), "token").withColumn("blocks", F.ceil(F.col("k") / block).cast("long"))
+    base = F.col("klass") * (1 << 20)
+    codes = blocks.groupBy("token").agg(F.flatten(F.collect_list(F.sequence(base, base + F.col("blocks") - 1))).alias("codes"), F.map_from_entries(F.collect_list(F.struct("klass", "blocks"))).alias("of"))
+    known = rows.withColumn("klass", klass).join(small(codes, BROADCAST_BUCKETS), "token", "left")
+    own = F.col("klass") * (1 << 20) + F.pmod(F.xxhash64("uid"), F.element_at("of", F.col("klass")))
+    near = F.filter("codes", lambda c: F.abs(F.shiftright(c, 20) - F.col("klass")) <= 1)
+    dealt = known.withColumn("mine", F.coalesce(own, F.lit(0).cast("long"))).withColumn("other", F.explode(F.coalesce(near, F.array(F.lit(0).cast("long")))))
+    return dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "uid", "n", "bitmap", "comp", "early")
+
+
 def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (a < b) from rows (token, size, uid, n, bitmap, comp) of the buckets that hold several components; size is the bucket's."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.when(blocks > 1, F.pmod(F.xxhash64("uid"), blocks)).otherwise(F.lit(0)).cast("int")
-    meets = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = rows.withColumn("mine", mine).withColumn("other", meets).select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "uid", "n", "bitmap", "comp")
+    """Pairs (a < b) from rows (token, uid, n, bitmap, comp) of the buckets that hold several components."""
+    early = rows.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, EARLY).alias("early"))  # of one row's prefix
+    dealt = _classed(rows.join(early, "uid"), num, den, block)
     dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(run: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
-        if len({r[3] for r in run}) < 1 or len(run) < 2:
-            return None
+    def join(token: int, run: list[tuple]) -> list[tuple[int, int]]:
+        if len(run) < 2:
+            return []
         i, j = run[0][0], run[0][1]
         trees = []
         for b in dict.fromkeys((i, j)):
@@ -282,27 +301,27 @@ def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
             if own:
                 trees.append(SignatureTree(np.array([r[3] for r in own]), np.array([r[4] for r in own]), np.frombuffer(b"".join(r[5] for r in own), np.uint8).reshape(len(own), -1), np.array([r[6] for r in own])))
         if len(trees) < (1 if i == j else 2):
-            return None
-        found = list(traverse(trees[0], trees[-1], num, den))
-        return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else None
+            return []
+        before = {r[3]: frozenset(t for t in r[7] if t < token) for r in run}
+        return [(min(a, b), max(a, b)) for x, y in traverse(trees[0], trees[-1], num, den) for a, b in zip(x.tolist(), y.tolist(), strict=True) if before[a].isdisjoint(before[b])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*found)), pa.array(np.maximum(*found))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=arrow)
 
         key, some = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(8)]
+            cols = [batch.column(c).to_pylist() for c in range(9)]
             for k in range(batch.num_rows):
                 now = cols[0][k], cols[1][k], cols[2][k]
                 if now != key and some:
-                    yield from out(join(some))
+                    yield from out(join(key[0], some))
                     some = []
                 key = now
                 some.append(tuple(c[k] for c in cols[1:]))
         if some:
-            yield from out(join(some))
+            yield from out(join(key[0], some))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -310,7 +329,10 @@ def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 500, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number of the group, null without words) and mark (a hash of the text)."""
     spark = docs.sparkSession
-    rows = cut_lineage(nodes(docs, id_col, text_col, size, num, den, shard_bytes).withColumn("uid", F.monotonically_increasing_id()))
+    texts, folder, total = in_shards(docs, id_col, text_col, shard_bytes)
+    release(spark)
+    rows = cut_lineage(nodes(texts, total, size, num, den, shard_bytes).withColumn("uid", F.monotonically_increasing_id()))
+    remove(spark, folder)
     release(spark)
     first = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")))
     marks = rows.select("uid", "n", "bitmap")
@@ -324,9 +346,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     release(spark)
     comps = components(links)
     placed = shared.filter("size > 2").join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
-    placed = cut_lineage(placed.select("token", "size", "uid", "n", "comp"))
+    placed = cut_lineage(placed.select("token", "uid", "n", "comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    open_rows = placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "size", "uid", "n", "bitmap", "comp")
+    open_rows = cut_lineage(placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "uid", "n", "bitmap", "comp"))
     more = cut_lineage(candidates(open_rows, num, den, block).join(pairs, ["a", "b"], "left_anti"))
     release(spark)
     links = cut_lineage(links.unionByName(verified(more, docs, rows, id_col, text_col, size, num, den)))

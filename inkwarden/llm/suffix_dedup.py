@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, release
+from .common import cut_lineage, in_shards, release
 from .shingles import _BYTES, _mix
 
 LENGTH, GRAM = 50, 32
@@ -188,14 +188,12 @@ def _uncut(raw: bytes, width: int) -> np.ndarray:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
-    total = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
+    rows, _, total = in_shards(docs, id_col, text_col, shard_bytes)
+    release(docs.sparkSession)
     parts = max(1, total // (4 * shard_bytes))
     width = 5
     while width < 8 and (total >> 3) > 1 << (8 * width - 8):
         width += 1
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)))
     hashes = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("several", pa.binary()), ("raw", pa.binary())])
 
     def first(table: pa.Table) -> pa.Table:

@@ -104,6 +104,34 @@ def test_jaccard_join(docs, size, num, den, block):
     assert Counter(tuple(r)[:3] for r in got.collect()) == brute_links(awkward(), size, num, den)
 
 
+def test_jaccard_join_of_a_large_bucket(spark):
+    """5,000 near copies share their common words; pairs are given about once, not in every bucket."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(5000):
+        w = list(base)
+        for _ in range(3):  # similar to the base, and too far from most others
+            w[rng.randrange(len(w))] = f"e{k}x{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=1, num=97, den=100, block=300)
+    near = brute_links([(k, t) for k, t in rows[:400]], 1, 97, 100)
+    some = jaccard.link(spark.createDataFrame(rows[:400], "doc_id long, text string"), size=1, num=97, den=100, block=100)
+    assert Counter(tuple(r)[:3] for r in some.collect()) == near and got.count() == 5000
+
+
+def test_candidates_come_once_for_all_buckets_of_a_pair(spark):
+    rng = np.random.default_rng(6)
+    common = rng.integers(1, 2**62, 40)
+    rows = []
+    for u in range(60):
+        s = np.unique(np.concatenate([common, rng.integers(1, 2**62, 3)])).astype(np.uint64)
+        rows += [(int(t), u, len(s), bytearray(jaccard._bitmap(s).tobytes()), u) for t in common]
+    df = spark.createDataFrame(rows, "token long, uid long, n long, bitmap binary, comp long")
+    for block in (500, 7):
+        assert sorted(map(tuple, jaccard.candidates(df, 70, 100, block).collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
 def test_jaccard_join_keeps_one_of_each_group(docs, empty):
     left = jaccard.drop_near_copies(docs)
     want = {i for i, n, c in brute_links(awkward(), 5, 80, 100) if n == 0 or i == c}
@@ -189,7 +217,7 @@ def test_mixing(docs, empty):
 
 
 def test_packing(docs, empty):
-    got = packing.digested(packing.pack(docs, BPE, window=512)).collect()
+    got = packing.digested(packing.pack(docs, BPE)).collect()
     tok = packing.Encoder(BPE).tok
     want = Counter()
     for i, t, *_ in awkward():
@@ -219,26 +247,86 @@ def test_packing(docs, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
-def test_packing_windows_hold_their_shares():
-    s = packing.Schedule([90_000, 9_000, 1_000], [90.0, 9.0, 1.0], 1000, 64)
-    for j in range(100):
-        a, b = s.before(j), s.before(j + 1)
-        assert all(abs(n - w) <= 1 for n, w in zip(b - a, (900, 90, 10), strict=True))
-    given = packing.Schedule([100, 900], [0.5, 0.5], 100, 64)
-    assert list(given.before(1)) == [50, 50] and list(given.before(3) - given.before(2)) == [0, 100]
+def test_packing_mixes_within_sequences(spark, docs):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(60)), f"s{k % 4}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for proportions in (None, {"s0": 5.0, "s1": 2.0, "s2": 1.0, "s3": 0.0}):
+        got = packing.pack(df, BPE, proportions=proportions).collect()
+        totals, sequences = defaultdict(int), defaultdict(Counter)
+        for r in got:
+            totals[f"s{r.doc_id % 4}"] += r.length
+            sequences[r.sequence_id][f"s{r.doc_id % 4}"] += r.length
+        left, weight = dict(totals), proportions or dict(totals)
+        full = 0
+        for k in sorted(sequences):
+            live = {s: weight[s] for s in left if left[s] > 0 and weight[s]} or {s: totals[s] for s in left if left[s] > 0}
+            want = {s: 1024 * w / sum(live.values()) for s, w in live.items()}
+            if all(left[s] > w + 3 for s, w in want.items()):  # while the queues last
+                assert all(abs(sequences[k][s] - want.get(s, 0)) <= 2 for s in left), (k, sequences[k], want)
+                full += 1
+            for s in left:
+                left[s] -= sequences[k][s]
+        assert full > 10
+
+
+def test_packing_keeps_proportions_of_many_sources(spark):
+    n = 5000
+    df = spark.range(n).selectExpr("id AS doc_id", "repeat('word ', 39) || 'end' AS text", "concat('s', id) AS source").repartition(4)
+    heavy = {f"s{k}": 9.0 if k % 2 else 1.0 for k in range(n)}
+    got = packing.pack(df, BPE, proportions=heavy).select("doc_id", "start", "length", "sequence_id").collect()
+    total = sum(r.length for r in got)
+    early = [sum(r.length for r in got if r.doc_id % 2 == odd and r.sequence_id < total // 1024 // 4) for odd in (0, 1)]
+    assert 0.85 < early[1] / sum(early) < 0.95
+    packing.MAX_QUEUES, old = 50, packing.MAX_QUEUES
+    try:
+        hashed = packing.pack(df, BPE, proportions={f"s{k}": 1.0 for k in range(n)})
+        assert hashed.agg(F.sum("length")).first()[0] == total
+    finally:
+        packing.MAX_QUEUES = old
+
+
+def place(schedule, number, offset):
+    if number < schedule.tail // schedule.sequence:
+        return number * schedule.sequence + offset
+    at, rest = schedule.tail, schedule.total - schedule.tail
+    for _ in range(number - schedule.tail // schedule.sequence):
+        size = 1 << (rest.bit_length() - 1)
+        at, rest = at + size, rest - size
+    return at + offset
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_packing_schedule_places_every_token_once(seed):
+    rng, cut = np.random.default_rng(seed), random.Random(seed)
+    n = int(rng.integers(1, 12))
+    totals, shares = rng.integers(0, 1500, n).tolist(), (rng.random(n) ** 6 * (rng.random(n) > 0.2)).tolist()
+    s = packing.Schedule(totals, shares, int(rng.choice([1, 7, 64, 256])), int(rng.choice([64, 1000])))
+    seen = np.zeros(sum(totals), dtype=int)
+    for q, total in enumerate(totals):
+        base = 0
+        while base < total:
+            m, at = min(total - base, cut.randrange(1, 90)), 0
+            for start, length, number, offset in s.pieces(q, base, m):
+                assert start == at and length > 0
+                seen[place(s, number, offset) : place(s, number, offset) + length] += 1
+                at += length
+            assert at == m
+            base += m
+    assert (seen == 1).all()
+    with pytest.raises(ValueError):
+        packing.Schedule([1], [-1.0], 8)
 
 
 def test_encoder_equals_the_tokenizer():
     e = packing.Encoder(BPE)
-    for t in ["", " ", "a b", "a  b", "é\nb", "\n", "x \n", "it's, don't!", "12,345 a.b", "日本 語", "<|endoftext|> x", "a\tb c\r\nd", "word. Word? (x)", "naïve café"]:
-        assert e(t) == e.whole(t) == e(t), t
+    texts = ["", " ", "a b", "a  b", "é\nb", "\n", "x \n", "it's, don't!", "12,345 a.b", "日本 語", "<|endoftext|> x", "a\tb c\r\nd", "word. Word? (x)", "naïve café", " a", "\nb", "b\n", "., ,.", "a\x00 b\x00\x00 c", "supercalifragilisticexpialidocious " * 3 + "x"]
+    for _ in range(2):
+        assert [x.tolist() for x in e.many(texts)] == [e.whole(t) for t in texts]
+        assert all(e.many([t])[0].tolist() == e.whole(t) for t in texts)
     many = [f"w{k}x{k % 7}," for k in range(500)]
     text = " ".join(many)
-    old, packing.MEMO = packing.MEMO, 100
-    try:
-        assert all(e(text) == e.whole(text) for _ in range(3))
-    finally:
-        packing.MEMO = old
+    e.pieces.most = 100
+    assert all(e.many([text, many[0]])[0].tolist() == e.whole(text) for _ in range(3))
 
 
 def test_language_id(spark, empty):
