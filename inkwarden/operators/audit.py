@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +24,28 @@ def link_hash(previous: Column, payload: Column) -> Column:
 def build_chains(events: DataFrame, chain_col: str, order: list[str], payload: Column) -> DataFrame:
     """chain, sequence, payload, previous_hash, hash for each event; a chain starts at GENESIS.
 
-    A chain is sequential by nature, so each is folded in one group; chains are independent.
+    A chain is sequential by nature: its events are sorted in one task and read
+    once with the last hash at hand. Chains are independent, and none is held whole.
     """
-    item = F.struct(*order, payload.alias("_p"))
-    rows = events.groupBy(F.col(chain_col).alias("chain")).agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    start = F.array(F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("prev"), F.lit(GENESIS).alias("h")))
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.element_at(done, -1)["h"]
-        return F.concat(done, F.array(F.struct(e["_p"].alias("p"), last.alias("prev"), link_hash(last, e["_p"]).alias("h"))))
-
-    folded = rows.select("chain", F.posexplode(F.aggregate("_e", start, step)).alias("sequence", "x")).filter("sequence > 0")
-    return folded.select("chain", "sequence", F.col("x.p").alias("payload"), F.col("x.prev").alias("previous_hash"), F.col("x.h").alias("hash"))
+    kind = events.schema[chain_col].dataType.simpleString()
+    rows = events.select(F.col(chain_col).alias("chain"), payload.cast("string").alias("payload"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    rows = rows.repartition("chain").sortWithinPartitions("chain", *[f"_o{k}" for k in range(len(order))], "payload").select("chain", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, sequence, last, begun = None, 0, GENESIS, False
+        for batch in batches:
+            numbers, before, after = [], [], []
+            for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or c != chain:
+                    chain, sequence, last, begun = c, 0, GENESIS, True
+                sequence += 1
+                numbers.append(sequence)
+                before.append(last)
+                last = hashlib.sha256((last if p is None else f"{last}|{p}").encode("utf-8", "surrogatepass")).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32()), batch.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], names=["chain", "sequence", "payload", "previous_hash", "hash"])
+
+    return rows.mapInArrow(run, f"chain {kind}, sequence int, payload string, previous_hash string, hash string")
 
 
 def broken_links(log: DataFrame) -> DataFrame:
@@ -99,8 +111,9 @@ def event_types(log: DataFrame) -> DataFrame:
 class Writer:
     """Appends events to a single chain kept as Parquet, with a signed head; one writer at a time.
 
-    The head is read from the log, a batch is chained on the driver (a batch is what
-    one operation logs), appended, and the head file replaced.
+    The head says where the chain ends, so that an append reads no log but what a
+    crash may have left behind the head. A batch (what one operation logs) is chained
+    on the driver, appended, and the head renamed into place.
     """
 
     SCHEMA = "sequence long, timestamp string, event_type string, component_id string, details string, previous_hash string, hash string, signature string"
@@ -111,6 +124,10 @@ class Writer:
     def _sign(self, value: dict) -> str:
         return hmac.new(self._key, json.dumps(value, sort_keys=True).encode(), hashlib.sha256).hexdigest()
 
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def log(self) -> DataFrame:
         try:
             return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/events")
@@ -119,9 +136,37 @@ class Writer:
                 return self.spark.createDataFrame([], self.SCHEMA)
             raise
 
+    def stored_head(self) -> dict | None:
+        """The head as it was signed, whether or not the signature is right; None before the first append."""
+        path, fs = self._files("head")
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def is_signed(self, head: dict) -> bool:
+        return hmac.compare_digest(head["signature"], self._sign({k: head[k] for k in ("sequence", "head_hash")}))
+
     def head(self) -> tuple[int, str]:
-        row = self.log().orderBy(F.col("sequence").desc()).select("sequence", "hash").first()
-        return (row[0], row[1]) if row else (0, GENESIS)
+        """Where the chain ends: the signed head, or beyond it what was appended when the head couldn't be replaced."""
+        stored = self.stored_head()
+        sequence, digest = (stored["sequence"], stored["head_hash"]) if stored and self.is_signed(stored) else (0, GENESIS)
+        beyond = self.log().filter(F.col("sequence") > sequence).orderBy(F.col("sequence").desc()).select("sequence", "hash").first()
+        return (beyond[0], beyond[1]) if beyond else (sequence, digest)
+
+    def _put_head(self, sequence: int, digest: str) -> None:
+        head = {"sequence": sequence, "head_hash": digest}
+        path, fs = self._files("head")
+        fresh, _ = self._files(f"head.{sequence}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(json.dumps(head | {"signature": self._sign(head)}).encode()))
+        out.close()
+        if not fs.rename(fresh, path):  # where a rename doesn't replace; the log itself says what a crash here leaves
+            fs.delete(path, False)
+            fs.rename(fresh, path)
 
     def append(self, events: list[tuple[str, str | None, dict]], timestamp: str) -> tuple[int, str]:
         sequence, previous = self.head()
@@ -133,8 +178,7 @@ class Writer:
             rows.append((*values, digest, self._sign({"hash": digest, "sequence": sequence})))
             previous = digest
         self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
-        head = {"sequence": sequence, "head_hash": previous}
-        self.spark.createDataFrame([(json.dumps(head | {"signature": self._sign(head)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/head")
+        self._put_head(sequence, previous)
         return sequence, previous
 
     def verify(self) -> dict:
@@ -154,10 +198,16 @@ class Writer:
         forged = log.mapInPandas(bad, "sequence long").count()
         before = log.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("_h"))
         unlinked = log.join(before, "sequence", "left").filter((F.coalesce("_h", F.lit(GENESIS)) != F.col("previous_hash")) | ((F.col("sequence") > 1) & F.col("_h").isNull())).count()
-        sequence, digest = self.head()
-        checked = log.count()
-        stored = self.spark.read.text(f"{self.path}/head").first() if checked else None
-        head = json.loads(stored[0]) if stored else {"sequence": 0, "head_hash": GENESIS, "signature": self._sign({"sequence": 0, "head_hash": GENESIS})}
-        signed = hmac.compare_digest(head["signature"], self._sign({k: head[k] for k in ("sequence", "head_hash")}))
-        error = "hash or signature" if forged else "link" if unlinked else "truncated" if (head["sequence"], head["head_hash"]) != (sequence, digest) or checked != sequence else None if signed else "head signature"
-        return {"valid": error is None, "checked": checked, "head_hash": digest, "error": error}
+        last = log.orderBy(F.col("sequence").desc()).select("sequence", "hash").first() or (0, GENESIS)
+        checked, stored = log.count(), self.stored_head()
+        if forged:
+            error = "hash or signature"
+        elif unlinked:
+            error = "link"
+        elif stored and not self.is_signed(stored):
+            error = "head signature"
+        elif checked != last[0] or (stored or {}).get("sequence", 0) > last[0] or (stored and stored["sequence"] == last[0] and stored["head_hash"] != last[1]) or (checked and not stored):
+            error = "truncated"
+        else:
+            error = None
+        return {"valid": error is None, "checked": checked, "head_hash": last[1], "error": error}

@@ -1,8 +1,8 @@
-"""The report registry: filters, literal search, pages and statistics in one pass."""
+"""The report registry: stored reports with their events; filters, literal search, pages and statistics in one pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.policy import VERDICTS, rank, severity_of
@@ -11,6 +11,25 @@ SEARCHED = ("filename", "source_path", "sha256")
 LONGEST_QUERY = 300
 
 
+class Store:
+    """Reports kept as Parquet, each batch under its number with an event for each report; a batch that is stored again replaces itself."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, reports: DataFrame, batch: int = 0) -> None:
+        reports.write.mode("overwrite").parquet(stored := f"{self.path}/reports/batch={batch}")
+        report = self.spark.read.parquet(stored)
+        event = report.select(F.col("created_at").alias("timestamp"), F.lit("FILE_SCANNED").alias("event_type"), F.lit(None).cast("string").alias("component_id"), F.to_json(F.struct(F.col("id").alias("report_id"), "filename", "sha256", "status", "verdict")).alias("details"))
+        event.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
+
+    def reports(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/reports").drop("batch")
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/events").drop("batch")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case for A to Z only, as the registry's search folds."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

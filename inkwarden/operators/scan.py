@@ -4,7 +4,8 @@
 one Arrow function per batch. ``native_hits`` is the same catalogue as literal
 ``rlike`` columns over plain text, for tables that need no extraction: each
 pattern is compiled once per task and runs where its necessary literals are, which
-one pass over the text finds for all patterns; the hits of all rules are one array that is exploded once.
+one pass over the text finds for all patterns; the hits of all rules are one array of the row. Scores and verdicts are
+made of that array where it is, without a shuffle; only findings explode it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..functions import text as tx
 from ..functions.prefilter import necessary_literals, shortest, tree_pattern
 from ..functions.rules import RULES, VERSION, Rule
 from ..plans import policy as pl
+from ..sources.extract import Refused, extract
 from ..sources.scratch import spread
 
 FINDING = "struct<rule_id:string,title:string,severity:string,category:string,evidence:string,location:string,layer:string,line:int,encoding:string>"
@@ -46,6 +48,41 @@ def _oversized() -> dict:
     return {"sha256": None, "size_bytes": None, "format": "unknown", "characters": 0, "segments": 0, "risk_score": 100, "severity": "HIGH", "analysis_complete": False, "failure_code": "INPUT_SIZE_LIMIT", "findings": [failure]}
 
 
+def segments_of(files: DataFrame, id_col: str = "path", content_col: str = "content", name_col: str = "filename") -> DataFrame:
+    """id, text, layer and location of each segment of each file; a file that is refused has one row with its ``error``."""
+    kind = files.schema[id_col].dataType.simpleString()
+    rows = spread(files.select(F.col(id_col).alias("id"), F.col(content_col).cast("binary").alias("data"), F.col(name_col).alias("name")))
+
+    def of(data: bytes | None, name: str | None) -> list[tuple]:
+        try:
+            return [(*s, None) for s in extract(bytes(data or b""), name or "").segments]
+        except Refused as e:
+            return [(None, None, None, e.code)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *s) for i, d, n in zip(b["id"], b["data"], b["name"], strict=True) for s in of(d, n)], columns=["id", "text", "layer", "location", "error"])
+
+    return rows.mapInPandas(run, f"id {kind}, text string, layer string, location string, error string")
+
+
+def variants_of(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, encoding, decoded: what each text itself may stand for, one layer deep, each once."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def of(text: str | None) -> list[tuple]:
+        try:
+            return list(dict.fromkeys((name, found) for found, name in tx.decodings(text or "")))
+        except (tx.DecodingLimit, UnicodeDecodeError) as e:
+            return [(type(e).__name__, None)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *v) for i, t in b.itertuples(index=False, name=None) for v in of(t)], columns=["id", "encoding", "decoded"])
+
+    return spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInPandas(run, f"id {kind}, encoding string, decoded string")
+
+
 def decided(reports: DataFrame, policy: dict = pl.POLICY) -> DataFrame:
     """Adds failure_kind, status and verdict to reports with findings, risk_score and analysis_complete."""
     failed = F.exists("findings", lambda f: (f["category"] == "ANALYSIS_FAILURE") | (f["rule_id"] == "SCAN_INCOMPLETE"))
@@ -72,11 +109,11 @@ def findings_of(reports: DataFrame) -> DataFrame:
     return reports.select("id", F.explode("findings").alias("f")).select("id", "f.*")
 
 
-def native_hits(rows: DataFrame, id_col: str, clean: Column, rules: tuple[Rule, ...] = RULES, languages: tuple[str, ...] | None = None, prefilter: bool = True) -> DataFrame:
-    """id, rule_id, language, severity, category, score: a row for each rule and language that an already normalised text matches."""
+def with_hits(rows: DataFrame, clean: Column, rules: tuple[Rule, ...] = RULES, languages: tuple[str, ...] | None = None, prefilter: bool = True) -> DataFrame:
+    """``rows`` with ``hits``: a struct (rule_id, language, severity, category, score) for each rule and language that an already normalised text matches."""
     chosen = [(r, lang, p, necessary_literals(p) if prefilter else ()) for r in rules for lang, ps in r.patterns.items() if not languages or lang in languages for p in ps]
     short = shortest({w for *_, words in chosen for w in words})
-    texts = spread(rows.select(F.col(id_col).alias("id"), clean.alias("_clean")))
+    texts = spread(rows).withColumn("_clean", clean)
     if short:
         found = F.regexp_extract_all("_clean", F.lit(f"(?=({tree_pattern(sorted(set(short.values())))}))"), F.lit(1))
         texts = texts.withColumn("_words", F.array_distinct(found))
@@ -92,21 +129,35 @@ def native_hits(rows: DataFrame, id_col: str, clean: Column, rules: tuple[Rule,
         f"CASE WHEN {' OR '.join(some)} THEN named_struct('rule_id', {_quoted(k)}, 'language', {_quoted(lang)}, 'severity', {_quoted(of[k].severity)}, 'category', {_quoted(of[k].category)}, 'score', {of[k].score}) END"
         for (k, lang), some in tests.items()
     ]
-    return texts.select("id", F.expr(f"explode(array_compact(array({', '.join(hits)})))").alias("h")).select("id", "h.*")
+    return texts.withColumn("hits", F.expr(f"array_compact(array({', '.join(hits)}))")).drop("_clean", "_words")
+
+
+def native_hits(rows: DataFrame, id_col: str, clean: Column, rules: tuple[Rule, ...] = RULES, languages: tuple[str, ...] | None = None, prefilter: bool = True) -> DataFrame:
+    """id, rule_id, language, severity, category, score: the hits as rows."""
+    texts = rows.select(F.col(id_col).alias("id"), clean.alias("_text"))
+    return exploded(with_hits(texts, F.col("_text"), rules, languages, prefilter))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """id and the fields of each hit; the outer explode keeps the optimiser from testing the hits of a text a second time for whether there are any."""
+    return rows.select("id", F.explode_outer("hits").alias("h")).filter("h IS NOT NULL").select("id", "h.*")
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scored(rows: DataFrame, hits: DataFrame, id_col: str, policy: dict = pl.POLICY) -> DataFrame:
-    """A report line for each row: the largest score of each rule, summed up to 100; status and verdict."""
-    per_rule = hits.groupBy("id", "rule_id").agg(F.max("score").alias("score"), F.max(pl.rank(F.col("severity"))).alias("rank"), F.bool_or(pl.is_convicting(F.col("severity"), F.col("category"))).alias("convicting"))
-    per_doc = per_rule.groupBy("id").agg(F.least(F.lit(100), F.sum("score")).cast("int").alias("risk_score"), pl.severity_of(F.max("rank")).alias("severity"), F.bool_or("convicting").alias("convicting"), F.count("*").alias("n_rules"))
-    out = rows.select(F.col(id_col).alias("id")).join(per_doc, "id", "left").fillna({"risk_score": 0, "severity": "INFO", "convicting": False, "n_rules": 0})
+def scored(rows: DataFrame, policy: dict = pl.POLICY) -> DataFrame:
+    """``rows`` with ``hits`` as reports: a rule counts once, scores add up to 100; severity, n_rules, verdict and status."""
+    found = F.array_distinct(F.transform("hits", lambda h: F.struct(h["rule_id"], h["severity"], h["category"], h["score"])))
+    out = rows.withColumn("_found", found).drop("hits")
+    total = F.aggregate("_found", F.lit(0), lambda a, h: a + h["score"])
+    worst = F.coalesce(F.array_max(F.transform("_found", lambda h: pl.rank(h["severity"]))), F.lit(0))
+    convicting = F.exists("_found", lambda h: pl.is_convicting(h["severity"], h["category"]))
+    out = out.withColumn("risk_score", F.least(F.lit(100), total).cast("int")).withColumn("severity", pl.severity_of(worst)).withColumn("n_rules", F.size("_found").cast("long"))
     never = F.lit(False)
-    out = out.withColumn("verdict", pl.verdict_of(never, never, F.col("convicting"), F.col("n_rules") > 0, pl.status_of(F.col("risk_score"), policy)))
-    return out.withColumn("status", pl.service_status(never, F.col("risk_score"), F.col("verdict"), policy)).drop("convicting")
+    out = out.withColumn("verdict", pl.verdict_of(never, never, convicting, F.col("n_rules") > 0, pl.status_of(F.col("risk_score"), policy)))
+    return out.withColumn("status", pl.service_status(never, F.col("risk_score"), F.col("verdict"), policy)).drop("_found")
 
 
 def first_findings(findings: DataFrame, order: Column) -> DataFrame:

@@ -125,3 +125,57 @@ def test_cycle(spark):
     index = spark.createDataFrame([("a", None), ("b", "bad"), ("z", None)], "path string, error string")
     assert tuple(incremental.cycle(members, index).first()) == (2, 1, 1)
     assert [r.path for r in incremental.vanished(index, members).collect()] == ["z"]
+
+
+def test_long_chain_is_built_in_one_reading(spark):
+    import hashlib
+
+    events = spark.range(60_000).selectExpr("0L AS c", "id AS k", "CASE WHEN id = 5 THEN NULL ELSE 'p' || id END AS p")
+    rows = audit.build_chains(events, "c", ["k"], F.col("p")).orderBy("sequence").collect()
+    last = audit.GENESIS
+    for k, r in enumerate(rows):
+        assert (r.sequence, r.previous_hash) == (k + 1, last)
+        last = hashlib.sha256((last if k == 5 else f"{last}|p{k}").encode()).hexdigest()
+        assert r.hash == last
+    assert len(rows) == 60_000
+
+
+def test_audit_head(spark, tmp_path):
+    w = audit.Writer(spark, str(tmp_path / "log"), b"key")
+    w.append([("APPROVED", "a", {})], "t1")
+    first = (tmp_path / "log" / "head").read_text()
+    w.append([("REVOKED", "a", {})], "t2")
+    # A crash between the log and its head: the log goes on where it ends, and is whole.
+    (tmp_path / "log" / "head").write_text(first)
+    (tmp_path / "log" / ".head.crc").unlink(missing_ok=True)
+    assert w.verify()["valid"] and w.head()[0] == 2
+    assert w.append([("APPROVED", "b", {})], "t3")[0] == 3 and w.verify() == {"valid": True, "checked": 3, "head_hash": w.head()[1], "error": None}
+    (tmp_path / "log" / "head").write_text(first.replace('"sequence": 1', '"sequence": 9'))
+    (tmp_path / "log" / ".head.crc").unlink(missing_ok=True)
+    assert w.verify()["error"] == "head signature"
+
+
+def test_store_replaces_a_batch(spark, tmp_path):
+    rows = lambda n: spark.range(n).selectExpr("id", "concat('f', id) AS filename", "'/x' AS source_path", "sha2(string(id), 256) AS sha256", "'VALID' AS verdict", "'ALLOWED' AS status", "timestamp_seconds(id) AS created_at")
+    store = registry.Store(spark, str(tmp_path / "reports"))
+    store.append(rows(3), 1)
+    store.append(rows(4), 1)
+    store.append(rows(2), 2)
+    assert store.reports().count() == store.events().count() == 6 and {r.event_type for r in store.events().collect()} == {"FILE_SCANNED"}
+
+
+def test_spread_runs_nothing(spark):
+    from inkwarden.sources.scratch import spread
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    few, many = spread(spark.range(10).groupBy("id").count()), spread(spark.range(10), most_bytes=1)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert few.count() == many.count() == 10
+
+
+def test_segments_and_variants(spark):
+    df = spark.createDataFrame([(1, "a.txt", "plain"), (2, "a.exe", "x"), (3, "a.txt", None), (4, "a.html", "<p hidden>h</p>s")], "k long, filename string, content string")
+    got = {(r.id, r.location, r.text, r.error) for r in scan.segments_of(df, "k").collect() if r.location != "html:source-markup"}
+    assert got == {(1, "txt:source", "plain", None), (2, None, None, "UNSUPPORTED_FORMAT"), (4, "html:rendered-text", "\ns", None), (4, "html:hidden-nodes", "h\n", None)}
+    texts = spark.createDataFrame([(1, "a%20b"), (2, "bad%ff"), (3, None), (4, "none")], "k long, t string")
+    assert {tuple(r) for r in scan.variants_of(texts, "k", "t").collect()} == {(1, "url", "a b"), (2, "UnicodeDecodeError", None)}
