@@ -5,27 +5,34 @@ document with a smaller id. The suffixes that matter are found first: every
 window of ``LENGTH`` bytes holds an anchor, the place of the least hash of a
 ``GRAM``-byte string in it, and anchors depend on nothing outside the window.
 Only anchors that occur in two documents can lie in a common window. For these
-a shard keeps its distinct contexts: the bytes on either side, with the anchor's
-string as one symbol of three bytes (prefix-free parsing).
-
-Contexts meet by ranges of anchor hashes. There each shard's contexts are the
-rotations of a multi-string Burrows-Wheeler transform: for each rotation the
-preceding symbol and the rotation that starts with it (LF). The shards'
-transforms are merged by iterative interleave refinement: the interleave starts
-with the shards one behind another; a step reads the transform's symbols in the
-order so far, sorts them stably and follows LF, after which rotations stand in
-the order of one symbol more. Borders between rotations that differ come up in
-the step that tells them apart and stay, which gives the common prefix of
-neighbours; no suffix is compared or sorted anew. What has no border after as
-many steps as a window has symbols is a repeated interval, and the smallest id
-in it decides for all its windows.
+a shard keeps its distinct contexts: the ``SIDE`` bytes on either side.
+
+A window around an anchor is ``SIDE`` neighbouring columns of its context, and
+contexts of an anchor are aligned. Their Burrows-Wheeler transform is therefore
+the positional one: column k is read in the order of the reversed prefixes in
+front of it, within the anchor. Every shard makes its transform once, with one
+stable partition a column. The shards' transforms meet by ranges of anchor
+hashes and are merged by iterative interleave refinement: the interleave (which
+shard comes next) starts with the shards one behind another; a step reads the
+next column of each shard's transform through it and partitions it stably by
+symbol, after which it is right for one symbol more. No context is compared or
+sorted again. Along with it goes how far back neighbours agree, as the largest
+such border between two that become neighbours; where neighbours agree over a
+window's columns is a repeated interval, and the smallest id in it decides for
+its windows.
 
 Documents go to shards of about ``SHARD_BYTES`` by hash. Three passes over the
-shards exchange hashes, contexts and verdicts, one bit to a few bytes an anchor.
+shards, which lie in a bucketed table, exchange hashes, transforms and verdicts,
+one bit to a few bytes an anchor.
 
-Cases: null text counts as empty; texts under ``LENGTH`` bytes lose nothing;
-rows with the same id take nothing from each other; a null id is smaller than
-any id; an empty table gives an empty result.
+What stands for an anchor's own string is a hash of 64 bits; a window's other
+bytes are compared themselves.
+
+Cases: null text counts as empty; texts under ``LENGTH`` bytes lose nothing; a
+very long text is read in place with its shard, a megabyte at a time; rows with
+the same id take nothing from each other; a null id is smaller than any id;
+repeated rows are judged alike; an empty table gives an empty result; columns of
+``docs`` other than the two named are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -43,7 +50,6 @@ LENGTH, GRAM = 50, 32
 SIDE = LENGTH - GRAM  # bytes of context on either side, and one less than the anchor windows
 SHARD_BYTES = 2_000_000
 PAD = 0xFF
-ALL = (1 << SIDE + 1) - 1
 NULL_ID = -(2**63)
 _FACTORS = [np.uint64(((2 * k + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1) | 1) for k in range(8)]
 
@@ -74,7 +80,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     edge = np.zeros(SIDE, dtype=np.uint64)
     most = _slide(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum)
     at = np.flatnonzero(most == h)
-    return at, h[at]
+    return at, _mix(h[at])  # the least of several hashes are small; mixed again, they fill all ranges
 
 
 class Shard:
@@ -134,38 +140,71 @@ def ranges(h: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(h, cuts), [len(h)]])
 
 
-def merge(strings: np.ndarray, window: int) -> np.ndarray:
-    """For equally long strings (rows of bytes, shard after shard): a number for each rotation, equal where the first ``window`` symbols are.
+def partition(group: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """A stable order by group and symbol, both of few bits, by counting."""
+    order = np.argsort(symbol, kind="stable")
+    return order[np.argsort(group[order], kind="stable")]
+
+
+def transform(contexts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The columns of a shard's contexts (rows, by group), each in the order of the reversed prefixes in front of it."""
+    out, order = np.empty(contexts.shape[::-1], dtype=np.uint8), np.arange(len(contexts))
+    group = _narrow(group)
+    for k in range(contexts.shape[1]):
+        out[k] = contexts[order, k]
+        order = order[partition(group, out[k])]
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` from 0 on, in the fewest bits."""
+    least = int(x.min()) if len(x) else 0
+    return (x - least).astype(np.min_scalar_type(int(x.max()) - least if len(x) else 0))
+
 
-    The interleave refinement of the module's docstring, over all shards at once.
+def _farthest(border: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest border of each range from behind ``start`` to ``end``."""
+    size = end - start
+    out, level, step = np.empty(len(size), dtype=border.dtype), border, 1
+    left = np.arange(len(size))
+    while len(left):
+        now = size[left] < 2 * step
+        some = left[now]
+        out[some] = np.maximum(level[end[some]], level[start[some] + step])
+        left = left[~now]
+        level = np.concatenate([level[:step], np.maximum(level[step:], level[:-step])])
+        step *= 2
+    return out
+
+
+def merge(columns: np.ndarray, shard: np.ndarray, group: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """A bit mask for each context: its windows that a context of its group with a smaller id has as well.
+
+    ``columns`` are the shards' transforms side by side, ``shard`` and ``group`` say
+    whose each context is; the contexts of a shard are in order of group.
     """
-    n, length = strings.shape
-    # Rotation (i, j) is row i * length + j; its transform symbol is strings[i, j - 1] and LF leads to (i, j - 1).
-    symbol = np.roll(strings, 1, axis=1).ravel()
-    lf = (np.arange(n, dtype=np.int32)[:, None] * length + np.roll(np.arange(length, dtype=np.int32), 1)[None]).ravel()
-    row = np.arange(n * length, dtype=np.int32)
-    block = np.zeros(n * length, dtype=np.int32)
-    for _ in range(window):
-        c = symbol[row]
-        order = np.argsort(c, kind="stable")
-        row, c, block = lf[row[order]], c[order], block[order]
-        border = np.empty(len(c), dtype=bool)
-        border[:1] = False
-        border[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(border, dtype=np.int32)
-    out = np.empty_like(block)
-    out[row] = block
-    return out.reshape(n, length)
-
-
-def verdicts(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A bit mask for each context: its windows that start in a document with a smaller id."""
-    _, symbol = np.unique(np.ascontiguousarray(rows[:, :8]).view("V8").ravel(), return_inverse=True)
-    middle = np.stack([symbol >> 16, symbol >> 8 & 255, symbol & 255], axis=1).astype(np.uint8)
-    block = merge(np.concatenate([rows[:, 8 : 8 + SIDE], middle, rows[:, 8 + SIDE :]], axis=1), SIDE + 3)[:, : SIDE + 1]
-    least = np.full(int(block.max()) + 1 if block.size else 0, 2**63 - 1)
-    np.minimum.at(least, block.ravel(), np.repeat(ids, SIDE + 1))
-    return ((least[block] < ids[:, None]) << np.arange(SIDE + 1)[None]).sum(1).astype(np.uint32)
+    n = columns.shape[1]
+    shard, group = _narrow(shard), _narrow(group)
+    origin = np.argsort(group, kind="stable")  # the interleave: by group, the shards one behind another
+    edge = np.uint8(len(columns) + 1)
+    border = np.where(np.concatenate([[True], np.diff(group[origin]) != 0])[:n], edge, 0).astype(np.uint8)
+    of, masks = group[origin], np.zeros(n, dtype=np.uint32)
+    for k, column in enumerate(columns):
+        symbol = np.empty(n, dtype=np.uint8)
+        symbol[np.argsort(shard[origin], kind="stable")] = column
+        order = partition(of, symbol)
+        origin, symbol = origin[order], symbol[order]
+        same = np.flatnonzero((of[1:] == of[:-1]) & (symbol[1:] == symbol[:-1])) + 1
+        new = np.full(n, k + 1, dtype=np.uint8)
+        new[border == edge] = edge  # groups stay where they are
+        new[same] = _farthest(border, order[same - 1], order[same])
+        border = new
+        if k + 1 >= window:
+            first = np.flatnonzero(border > k + 1 - window)
+            least = np.minimum.reduceat(ids[origin], first)
+            later = ids[origin] > np.repeat(least, np.diff(np.append(first, n)))
+            masks[origin[later]] |= np.uint32(1 << (k + 1 - window))
+    return masks
 
 
 def _bytes(column: pa.ChunkedArray) -> list[bytes]:
@@ -227,7 +266,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             on[cut[k] : cut[k + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=int(cut[k + 1] - cut[k])).astype(bool)
         return np.flatnonzero(on[which])
 
-    sent = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("rows", pa.binary()), ("ids", pa.binary())])
+    sent = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary()), ("columns", pa.binary()), ("ids", pa.binary())])
 
     def second(key, table: pa.Table, bits: pa.Table) -> pa.Table:
         if not table.num_rows or not bits.num_rows:
@@ -235,35 +274,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         shard = _shard(table)
         ctx, h, least, _, _ = shard.contexts(known(shard, list(zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True))))
         cut = ranges(h, parts, 64)
-        some = [k for k in range(parts) if cut[k] < cut[k + 1]]
-        return pa.table([some, [key[0].as_py()] * len(some), [ctx[cut[k] : cut[k + 1]].tobytes() for k in some], [least[cut[k] : cut[k + 1]].tobytes() for k in some]], schema=sent)
+        columns = transform(ctx[:, 8:], np.cumsum(np.diff(h, prepend=h[:1]) != 0))
+        some = [slice(cut[k], cut[k + 1]) for k in range(parts)]
+        rows = [(k, key[0].as_py(), h[s].tobytes(), columns[:, s].tobytes(), least[s].tobytes()) for k, s in enumerate(some) if s.start < s.stop]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent) if rows else sent.empty_table()
 
     def decide(table: pa.Table) -> pa.Table:
-        ctx = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, 8 + 2 * SIDE)
-        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-        cuts, flat = np.cumsum([len(x) for x in ids])[:-1], np.concatenate(ids)
-        # The same context from several shards is one string of the merge, with the least id.
-        rows, first, which = np.unique(ctx.view(f"V{8 + 2 * SIDE}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(rows), 2**63 - 1)
-        np.minimum.at(least, which, flat)
-        rows = ctx[first]
-        h = np.ascontiguousarray(rows[:, :8]).view(">u8").ravel()
-        borders = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
-        masks = np.zeros(len(rows), np.uint32)
-        # An anchor with a single context has nothing to be merged with.
-        several = np.repeat(np.diff(borders) > 1, np.diff(borders))
-        some = np.flatnonzero(several)
-        groups = np.append(np.flatnonzero(np.concatenate([[True], h[some][1:] != h[some][:-1]])), len(some)) if len(some) else np.zeros(1, np.int64)
-        at = 0
-        while at < len(groups) - 1:  # some anchors at a time, all contexts of an anchor together
-            end = max(at + 1, int(np.searchsorted(groups, groups[at] + 20_000, side="right")) - 1)
-            part = some[groups[at] : groups[end]]
-            masks[part] = verdicts(rows[part], least[part])
+        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+        sizes = [len(h) for h in hashes]
+        columns = np.concatenate([np.frombuffer(x, np.uint8).reshape(2 * SIDE, -1) for x in table.column("columns").to_pylist()], axis=1)
+        names, group, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        shard = np.repeat(np.arange(len(sizes)), sizes)
+        masks = np.zeros(len(ids), np.uint32)
+        # Some anchors at a time: a slice of every shard's transform, in which all contexts of an anchor are together.
+        upto, at = np.concatenate([[0], np.cumsum(count)]), 0
+        while at < len(names):
+            end = min(len(names), at + 60_000, max(at + 1, int(np.searchsorted(upto, upto[at] + 400_000, side="right")) - 1))
+            some = np.flatnonzero((group >= at) & (group < end))
+            masks[some] = merge(columns[:, some], shard[some], group[some], ids[some], SIDE)
             at = end
-        out = np.where(flat > least[which], ALL, masks[which]).astype(np.uint32)
-        return pa.table([table.column("part"), table.column("shard"), [x.tobytes() for x in np.split(out, cuts)]], schema=pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("masks", pa.binary())]))
+        return pa.table([table.column("part"), table.column("shard"), [x.tobytes() for x in np.split(masks, np.cumsum(sizes)[:-1])]], schema=pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("masks", pa.binary())]))
 
-    contexts = rows.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(second, "part long, shard long, rows binary, ids binary")
+    contexts = rows.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(second, "part long, shard long, hashes binary, columns binary, ids binary")
     masks = cut_lineage(contexts.groupBy("part").applyInArrow(decide, "part long, shard long, masks binary"))
     del contexts
     release(docs.sparkSession)
