@@ -1,4 +1,4 @@
-"""Exact top-k search by BM25 with block-max pruning.
+"""Exact top-k search by BM25 with block-max pruning (WAND on blocks of documents).
 
 Every partition turns its documents, some thousands at a time, into shards of an
 inverted index: terms, postings by document, frequencies. Document counts,
@@ -6,42 +6,51 @@ average length and document frequencies are those of all shards together, so a
 score is the same whatever shard a document is in, and the shards' best k merge
 into the exact best k.
 
-In a shard documents stand in blocks of ``BLOCK``. For each term the largest
-contribution in each block is known; a query's sum of them bounds every score in
-the block. Blocks are read from the best bound on, some at a time; the k-th best
-score so far is the threshold, and blocks below it are never read. Terms that
-one document in ``COMMON`` has are no postings but rows of a dense matrix, of
-at most ``MOST_COMMON`` terms, which scores a chunk of queries in one product;
-their part of a block's bound is the largest such score in the block. A query's
-terms count once; ties go to the smaller id.
+In a shard documents stand by their most frequent word and length, so that those
+of a block of ``BLOCK`` are alike, and a term's largest contribution in a block is
+near all of them. As in WAND, a query's terms are taken by their reach: those of
+few documents are followed through their postings; those that one document in
+``COMMON`` has (at most ``MOST_COMMON``) reach everywhere, and count by their
+largest contribution in each block until a block is needed. A block is pivot for
+a query if what its documents have from the rare terms, and this bound for the
+common ones, can reach the k-th best score so far. Pivot blocks are scored in
+full, the most promising ones first, which sets the threshold for the rest; all
+other blocks are passed over. The threshold goes on to the task's next shards. A
+chunk of queries is judged together, block by block. A query's terms count once;
+ties go to the smaller id.
 
 Queries are broadcast in sets of at most ``SET_TERMS`` terms, each set searched
-over all shards.
+over all shards. A task gives its best k of each query; they are merged in two
+rounds of groups, each of about the square root of the number of tasks.
 
 Cases: null text counts as empty and is found by nothing; a null id can be found
 but asks nothing; repeated rows are documents of their own; a query without a
-term finds nothing; an empty table gives an empty result.
+term finds nothing; a very long text is a document of its own length, and as a
+query has as many terms as it has; an empty table gives an empty result; columns
+of ``docs`` other than the two named are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
 from .shingles import word_hashes
 
-BLOCK = 64
+BLOCK, AHEAD = 64, 4
 SHARD_CHARS, SHARD_DOCS = 24_000_000, 16_000
 SET_TERMS = 3_000_000
 K1, B = 1.2, 0.75
-CHUNK = 256
+CHUNK, CHUNK_SCORES = 256, 4_000_000
 COMMON, MOST_COMMON = 16, 512
-NO_ID = -(2**63)
+NO_ID, MOST_ID = -(2**63), 2**63 - 1
 #: ASCII characters that are not letters or digits part words.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -50,20 +59,34 @@ def terms_of(text: str | None) -> np.ndarray:
     return word_hashes((text or "").lower().encode("utf-8", "surrogatepass").translate(_PARTS))
 
 
+def postings(words: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Terms, their document counts, documents and frequencies; and the documents' order, by their most frequent term and length."""
+    lengths = np.array([len(w) for w in words], dtype=np.int32)
+    every, doc = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int64), lengths)
+    order = np.argsort(every, kind="stable")
+    every, doc = every[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])])[: len(every)])
+    freqs, doc = np.diff(np.append(new, len(every))).astype(np.int32), doc[new]
+    terms, which, counts = np.unique(every[new], return_inverse=True, return_counts=True)
+    by_freq = np.argsort(freqs, kind="stable")
+    top = np.full(len(words), -1)
+    top[doc[by_freq]] = which[by_freq]  # the last one written has the largest frequency
+    order = np.lexsort((lengths, top))
+    place = np.empty(len(words), dtype=np.int64)
+    place[order] = np.arange(len(words))
+    again = np.argsort(which * len(words) + place[doc], kind="stable")
+    return terms, counts.astype(np.int32), place[doc[again]].astype(np.int32), freqs[again], order
+
+
 def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Shards: ids, lengths, terms, their document counts, postings (document, frequency)."""
     fields = ("ids", "lengths", "terms", "counts", "docs", "freqs")
     arrow = pa.schema([(f, pa.binary()) for f in fields])
 
     def shard(ids: list[int], words: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.array([len(w) for w in words], dtype=np.int32)
-        every, doc = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        order = np.argsort(every, kind="stable")
-        every, doc = every[order], doc[order]
-        new = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (doc[1:] != doc[:-1])])) if len(every) else np.zeros(0, np.int64)
-        freqs = np.diff(np.append(new, len(every))).astype(np.int32)
-        terms, counts = np.unique(every[new], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, np.int64), lengths, terms, counts.astype(np.int32), doc[new], freqs)], schema=arrow)
+        terms, counts, docs, freqs, order = postings(words)
+        columns = (np.array(ids, np.int64)[order], np.array([len(w) for w in words], dtype=np.int32)[order], terms, counts, docs, freqs)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, size = [], [], 0
@@ -87,71 +110,79 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class Best:
+    """The k best (score, document) of each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), MOST_ID)
+
+    def least(self, at: slice) -> np.ndarray:
+        """The k-th best score of each query, or 0: only more than that is found."""
+        return np.maximum(self.scores[at, -1], 0.0)
+
+    def add(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in some documents, none of which is there already."""
+        for q in np.unique(query):
+            own = query == q
+            s, i = np.concatenate([self.scores[q], scores[own]]), np.concatenate([self.ids[q], ids[own]])
+            top = np.lexsort((i, -s))[: self.k]
+            self.scores[q], self.ids[q] = s[top], i[top]
+
+
 class Shard:
-    """A shard's postings; those of the terms in ``common`` as a dense matrix (terms by documents)."""
+    """A shard's postings; those of the terms in ``common`` as dense blocks (blocks by terms by documents) with their largest in each block."""
 
     def __init__(self, ids: bytes, lengths: bytes, terms: bytes, counts: bytes, docs: bytes, freqs: bytes, average: float, common: np.ndarray):
         self.ids, self.terms = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.uint64)
         counts, self.docs, freqs = np.frombuffer(counts, np.int32), np.frombuffer(docs, np.int32), np.frombuffer(freqs, np.int32)
         relative = np.frombuffer(lengths, np.int32)[self.docs] / average
         self.impact = freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * relative))
-        block = self.docs // BLOCK
-        term = np.repeat(np.arange(len(counts)), counts)
-        self.group = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])) if len(block) else np.zeros(0, np.int64)
-        self.group_block = block[self.group]
-        self.group_most = np.maximum.reduceat(self.impact, self.group) if len(block) else np.zeros(0)
-        self.group_size = np.diff(np.append(self.group, len(block)))
-        self.term_group = np.searchsorted(term[self.group], np.arange(len(counts) + 1))
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-        self.dense = np.zeros((len(common), len(self.ids)))
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        self.ends = np.concatenate([[0], np.cumsum(counts)])
+        self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        self.dense = np.zeros((self.n_blocks, len(common), BLOCK))
         for row, at in enumerate(np.searchsorted(self.terms, common)):
             if at < len(self.terms) and self.terms[at] == common[row]:
-                own = slice(ends[at], ends[at + 1])
-                self.dense[row, self.docs[own]] = self.impact[own]
-
-    def common_scores(self, weights: np.ndarray) -> np.ndarray:
-        """Scores by common terms alone: a row for each query (a column of ``weights``)."""
-        return weights.T @ self.dense
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of the k best scores, with those scores: ``base`` and what the other terms add."""
+                d = self.docs[self.ends[at] : self.ends[at + 1]]
+                self.dense[d // BLOCK, row, d % BLOCK] = self.impact[self.ends[at] : self.ends[at + 1]]
+        self.most = self.dense.max(2) if len(common) else np.zeros((self.n_blocks, 0))
+        self.scored = 0  # pairs of a query and a block that were scored in full
+
+    def rare_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What each document has from a query's rare terms."""
+        n = self.n_blocks * BLOCK
         at = np.searchsorted(self.terms, terms)
         known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        at, weights = at[known], weights[known]
-        lengths = self.term_group[at + 1] - self.term_group[at]
-        groups, weight = spread(self.term_group[at], lengths), np.repeat(weights, lengths)
-        blocks = self.group_block[groups]
-        bound = np.bincount(blocks, weights=self.group_most[groups] * weight, minlength=self.n_blocks).astype(float)
-        bound = (bound + np.maximum.reduceat(base, np.arange(0, len(base), BLOCK))) * (1 + 1e-9) + 1e-8
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 1e-8).sum())]
-        docs, scores, done, wave, least = np.zeros(0, np.int64), np.zeros(0), 0, 8, 0.0
-        while done < len(order) and bound[order[done]] >= least:
-            some = order[done : done + wave]
-            some = some[bound[some] >= least]
-            done, wave = done + wave, wave * 16
-            on = np.full(self.n_blocks, -1, dtype=np.int64)
-            on[some] = np.arange(len(some))
-            here = np.flatnonzero(on[blocks] >= 0)
-            size = self.group_size[groups[here]]
-            places = spread(self.group[groups[here]], size)
-            slot = np.repeat(on[blocks[here]] * BLOCK, size) + self.docs[places] % BLOCK
-            sums = np.bincount(slot, weights=self.impact[places] * np.repeat(weight[here], size), minlength=len(some) * BLOCK).astype(float)
-            every = (some[:, None] * BLOCK + np.arange(BLOCK)[None]).ravel()
-            real = every < len(base)
-            sums[real] += base[every[real]]
-            hit = np.flatnonzero((sums > 0) & (sums >= least - 1e-8))
-            if len(hit) > 4 * k:  # far from the best; ties with the k-th stay
-                hit = hit[sums[hit] >= np.partition(sums[hit], len(hit) - k)[len(hit) - k] - 1e-8]
-            sums = np.round(sums[hit], 9)  # equal texts score alike, in whatever order their parts are added
-            docs, scores = np.concatenate([docs, every[hit]]), np.concatenate([scores, sums])
-            if len(docs) > k:
-                top = np.lexsort((self.ids[docs], -scores))[:k]
-                docs, scores = docs[top], scores[top]
-            if len(docs) == k:
-                least = float(scores.min())
-        return docs, scores
+        at = at[known]
+        sizes = self.ends[at + 1] - self.ends[at]
+        places = spread(self.ends[at], sizes)
+        return np.bincount(self.docs[places], weights=self.impact[places] * np.repeat(weights[known], sizes), minlength=n) if len(places) else np.zeros(n)
+
+    def search(self, rare: np.ndarray, weights: np.ndarray, best: Best, first: int) -> None:
+        """Queries ``first``.. of ``best``, with what documents have from their rare terms and their weights of the common ones (a row for each query)."""
+        at = slice(first, first + len(rare))
+        rare = rare.reshape(len(rare), self.n_blocks, BLOCK)
+        bound = (rare.max(2) + weights @ self.most.T) * (1 + 1e-9) + 1e-8
+        done = np.zeros(bound.shape, dtype=bool)
+        ahead = np.argsort(-bound, axis=1, kind="stable")[:, :AHEAD]
+        now = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(now, ahead, True, axis=1)
+        for wave in range(2):
+            pivot = now & (bound >= best.least(at)[:, None]) & (bound > 1e-8)
+            for b in np.flatnonzero(pivot.any(0)):
+                least = best.least(at)
+                q = np.flatnonzero(pivot[:, b] & (bound[:, b] >= least))
+                if not len(q):
+                    continue
+                self.scored += len(q)
+                scores = np.round(rare[q, b] + weights[q] @ self.dense[b], 9)  # equal texts score alike, in whatever order their parts are added
+                hit, d = np.nonzero((scores > 0) & (scores >= least[q, None] - 1e-8))
+                real = d + b * BLOCK < len(self.ids)
+                hit, d = hit[real], d[real]
+                if len(hit):
+                    best.add(first + q[hit], scores[hit, d], self.ids[d + b * BLOCK])
+            done |= now
+            now = ~done
 
 
 def packed(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -197,45 +228,62 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
     often = np.argsort(-df[: len(every)], kind="stable")[:MOST_COMMON]
     common = np.sort(every[often[df[often] * COMMON >= n_docs]])
     asked_of = sc.broadcast((ids, np.concatenate([[0], np.cumsum(sizes)]), terms, weight[np.searchsorted(every, terms)], common))
-    arrow = pa.schema([("chunk", pa.int64()), ("query", pa.binary()), ("doc", pa.binary()), ("score", pa.binary())])
+    slots = max(1, math.isqrt(shards.rdd.getNumPartitions()))
+    arrow = pa.schema([("chunk", pa.int64()), ("slot", pa.int64()), ("query", pa.binary()), ("doc", pa.binary()), ("score", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, cut, terms, weights, common = asked_of.value
         place = np.searchsorted(common, terms)
         is_common = common[np.minimum(place, len(common) - 1)] == terms if len(common) else np.zeros(len(terms), dtype=bool)
         owner = np.repeat(np.arange(len(ids)), np.diff(cut))
+        best = Best(len(ids), k)
         for batch in batches:
             for r in range(batch.num_rows):
                 shard = Shard(*(batch.column(c)[r].as_py() for c in range(6)), average, common)
-                for first in range(0, len(ids), CHUNK):
-                    last = min(len(ids), first + CHUNK)
-                    own = slice(cut[first], cut[last])
-                    w = np.zeros((len(common), last - first))
-                    on = np.flatnonzero(is_common[own]) + cut[first]
-                    w[place[on], owner[on] - first] = weights[on]
-                    base = shard.common_scores(w)
-                    query, doc, score = [], [], []
+                size = max(1, min(CHUNK, CHUNK_SCORES // (shard.n_blocks * BLOCK)))
+                for first in range(0, len(ids), size):
+                    last = min(len(ids), first + size)
+                    w = np.zeros((last - first, len(common)))
+                    on = np.flatnonzero(is_common[cut[first] : cut[last]]) + cut[first]
+                    w[owner[on] - first, place[on]] = weights[on]
+                    scores = []
                     for q in range(first, last):
-                        rare = np.flatnonzero(~is_common[cut[q] : cut[q + 1]]) + cut[q]
-                        d, s = shard.best(terms[rare], weights[rare], base[q - first], k)
-                        query.append(np.full(len(d), q))
-                        doc.append(shard.ids[d])
-                        score.append(s)
-                    yield pa.RecordBatch.from_arrays([pa.array([first // CHUNK], pa.int64()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (query, doc, score))], schema=arrow)
+                        few = np.flatnonzero(~is_common[cut[q] : cut[q + 1]]) + cut[q]
+                        scores.append(shard.rare_scores(terms[few], weights[few]))
+                    shard.search(np.array(scores), w, best, first)
+        slot = TaskContext.get().partitionId() % slots
+        for first in range(0, len(ids), CHUNK):
+            q, column = np.nonzero(best.scores[first : first + CHUNK] > 0)
+            if len(q):
+                q += first
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((first // CHUNK, pa.int64()), (slot, pa.int64()), (q.tobytes(), pa.binary()), (best.ids[q, column].tobytes(), pa.binary()), (best.scores[q, column].tobytes(), pa.binary()))], schema=arrow)
 
     result = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
-    def merge(table: pa.Table) -> pa.Table:
+    def merged(table: pa.Table) -> tuple[np.ndarray, ...]:
         q, d, s = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("query", np.int64), ("doc", np.int64), ("score", np.float64)))
         order = np.lexsort((d, -s, q))
         q, d, s = q[order], d[order], s[order]
         start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
         rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
         top = rank < k
-        return pa.table([pa.array(asked_of.value[0][q[top]]), pa.array((rank[top] + 1).astype(np.int32)), pa.array(d[top], mask=d[top] == NO_ID), pa.array(s[top])], schema=result)
-
-    parts = shards.select("ids", "lengths", "terms", "counts", "docs", "freqs").mapInArrow(run, "chunk long, query binary, doc binary, score binary")
-    return parts.groupBy("chunk").applyInArrow(merge, "query_id long, rank int, doc_id long, score double")
+        return q[top], rank[top], d[top], s[top]
+
+    def some(table: pa.Table) -> pa.Table:
+        q, _, d, s = merged(table)
+        return pa.table([table.column("chunk")[:1], table.column("slot")[:1], *(pa.array([x.tobytes()], pa.binary()) for x in (q, d, s))], schema=arrow)
+
+    def every_one(table: pa.Table) -> pa.Table:
+        q, rank, d, s = merged(table)
+        return pa.table([pa.array(asked_of.value[0][q]), pa.array((rank + 1).astype(np.int32)), pa.array(d, mask=d == NO_ID), pa.array(s)], schema=result)
+
+    binary = "chunk long, slot long, query binary, doc binary, score binary"
+    parts = shards.select("ids", "lengths", "terms", "counts", "docs", "freqs").mapInArrow(run, binary)
+    halfway = parts.groupBy("chunk", "slot").applyInArrow(some, binary)
+    out = cut_lineage(halfway.groupBy("chunk").applyInArrow(every_one, "query_id long, rank int, doc_id long, score double"))
+    asked.unpersist()
+    asked_of.unpersist()
+    return out
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
