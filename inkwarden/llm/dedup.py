@@ -12,8 +12,10 @@ bucket of digests at a time, and every group comes out once.
 Groups with at least 1/``HOT_SHARE`` of all rows, of which there can be no more
 than ``HOT_SHARE``, reach the rows by broadcast, the others by a join on the digest.
 
-Cases: a null text counts as empty; a null id is smaller than any id; of rows
-that are the same in id and text, one stays; an empty table gives an empty result.
+Cases: a null text counts as empty; a very long text is its digest like any other;
+a null id is smaller than any id; of rows that are the same in id and text, one
+stays; an empty table gives an empty result; columns of ``docs`` are boxed, so
+their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ class CuckooIndex:
         self.table: list[list[int]] = [[] for _ in range(buckets)]
 
     def _place(self, digest: bytes) -> tuple[int, int, int]:
-        fp = int.from_bytes(digest[:2], "little") or 1
+        fp = int.from_bytes(digest[10:12], "little") or 1
         i = int.from_bytes(digest[2:10], "little") & (self.n - 1)
         return fp, i, i ^ (fp * 0x5BD1E995 & (self.n - 1))
 

@@ -185,14 +185,21 @@ def test_suffix_dedup(docs, empty, shard_bytes):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
-def test_interleave_refinement_sorts_by_prefix():
-    rng = np.random.default_rng(2)
-    strings = rng.integers(0, 3, (40, 12)).astype(np.uint8)
-    block = suffix_dedup.merge(strings, 5)
-    ring = np.concatenate([strings, strings], axis=1)
-    prefix = {(i, j): ring[i, j : j + 5].tobytes() for i in range(40) for j in range(12)}
-    order = {p: k for k, p in enumerate(sorted(set(prefix.values())))}
-    assert all(block[i, j] == order[p] for (i, j), p in prefix.items())
+@pytest.mark.parametrize("seed", range(6))
+def test_transforms_are_merged_without_their_contexts(seed):
+    """Shards' positional transforms, merged by interleaving, give the windows that an earlier context of the anchor has."""
+    rng = np.random.default_rng(seed)
+    width, window, parts = 12, 6, []
+    for s in range(1 + seed):
+        n = int(rng.integers(1, 40))
+        ctx, group = rng.integers(0, 2 if seed % 2 else 4, (n, width)).astype(np.uint8), np.sort(rng.integers(0, 4, n))
+        parts.append((suffix_dedup.transform(ctx, group), np.full(n, s), group, rng.integers(0, 15, n), ctx))
+    columns, shard, group, ids, ctx = (np.concatenate([p[k] for p in parts], axis=1 if k == 0 else 0) for k in range(5))
+    masks = suffix_dedup.merge(columns, shard, group, ids, window)
+    for i in range(len(ids)):
+        for o in range(width - window + 1):
+            earlier = any(group[j] == group[i] and ids[j] < ids[i] and (ctx[j, o : o + window] == ctx[i, o : o + window]).all() for j in range(len(ids)))
+            assert bool(masks[i] >> o & 1) == earlier
 
 
 def test_mixing(docs, empty):
@@ -442,10 +449,40 @@ def test_quality(spark, docs, empty):
 
 
 def test_quality_shrinks_sparse_sites():
-    assert quality._prior(0, 0, 0, 0, 20) == (0.5, 20)
-    rate, same = quality._prior(80, 100, 4, 4 * 20**2 / 25, 20)
-    _, apart = quality._prior(50, 100, 4, 2 * 25**2 / 25, 1)
-    assert math.isclose(rate, 0.8) and same == 1e5 and apart < 5
+    assert quality._strength(0, 0.25, 0, 0, 20) == 20
+    # Four hosts of 25 with equal rates, and half of them all good.
+    assert quality._strength(100, 0.16, 0.0, 3, 20) == 1e5 and quality._strength(100, 0.25, 25.0, 3, 1) < 5
+
+
+def test_quality_equals_brute_force(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 60)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    w, b, base = quality.learn(docs, labels, "doc_id", "text", "quality", 20_000)
+    rows = [(i, t, g, s, 1 / (1 + math.exp(-float(np.clip(quality.expand(np.array([quality.statistics(t or "")])) @ w + b, -30, 30)[0])))) for i, t, g, s, *_ in awkward()]
+    groups, hosts = defaultdict(list), defaultdict(list)
+    for *_, g, s, p in rows:
+        groups[s, g].append(p)
+        hosts[s].append(p)
+    n, total = len(rows), sum(r[4] for r in rows)
+    rate = total / n
+    spread = lambda gs: sum(sum(x) ** 2 / len(x) for x in gs.values())
+    k1 = quality._strength(n, rate * (1 - rate), spread(hosts) - n * rate**2, len(hosts) - 1, 20.0)
+    k2 = quality._strength(n, (total - spread(hosts)) / n, spread(groups) - spread(hosts), len(groups) - len(hosts), 20.0)
+    want = []
+    for i, _, g, s, p in rows:
+        host = (sum(hosts[s]) + k1 * rate) / (len(hosts[s]) + k1)
+        path = (sum(groups[s, g]) - p + k2 * host) / (len(groups[s, g]) - 1 + k2)
+        odds = math.log(p / (1 - p)) + math.log(path / (1 - path)) - math.log(base / (1 - base))
+        want.append((-1 if i is None else i, round(host, 6), round(path, 6), round(1 / (1 + math.exp(-odds)), 6)))
+    for row in (None, boxed(docs, "doc_id")):
+        got = [(-1 if r._row.doc_id is None else r._row.doc_id, round(r.host_rate, 6), round(r.path_rate, 6), round(r.score, 6)) for r in quality.judged(docs, labels, row).collect()]
+        assert np.allclose(sorted(got), sorted(want), atol=2e-6)
+
+
+def test_quality_statistics():
+    s = quality.statistics("A|b É!\nA|b É!\n")
+    count = lambda c: math.log1p(200.0 * c / 14)
+    assert np.allclose(s, [count(2), count(2), 0, 0, 0, count(4), math.log1p(4) / 2, math.log1p(14 / 4), 2.0, 2 / 3 * 2])
+    assert len(quality.statistics("")) == quality.N_STATISTICS and quality.statistics("x " * 300_000)[8] < 0.001
 
 
 def test_license_scan(spark, empty):
@@ -475,21 +512,59 @@ def test_license_scan_joins_wrapped_notices(spark):
     assert [(k, got[k]) for k in range(len(rows)) if got[k] != want[k]] == []
 
 
-def test_search(docs, empty):
-    rows = awkward()
+def brute_search(rows, asked, k):
+    """(query, rank, document, score) by the formula, over all documents."""
     words = [(i, Counter(w for w in (t or "").lower().encode().translate(search._PARTS).split())) for i, t, *_ in rows]
     n, average = len(words), sum(sum(c.values()) for _, c in words) / len(words)
     df = Counter(w for _, c in words for w in c)
     idf = {w: math.log1p((n - m + 0.5) / (m + 0.5)) for w, m in df.items()}
-    asked = [i for i, *_ in rows if i in (1, 5, 10, 14, 50)]
-    got = defaultdict(list)
-    for r in search.top_k(docs, docs.filter(F.col("doc_id").isin(*asked)), k=6).collect():
-        got[r.query_id].append((r.rank, r.score, r.doc_id))
-    for q in set(asked):
-        terms = next(c for i, c in words if i == q)
-        scores = sorted((sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / average)) for t in sorted(terms) if t in c) for _, c in words), reverse=True)[:6]
-        assert np.allclose([s for _, s, _ in sorted(got[q])], [s for s in scores if s > 0]), q
-    assert search.top_k(empty, empty).count() == 0
+    out = []
+    for q, (i, terms) in enumerate(words):
+        if i in asked:
+            scored = [(round(sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / average)) for t in sorted(terms) if t in c), 7), search.NO_ID if d is None else d) for d, c in words]
+            out += [(i, rank + 1, None if d == search.NO_ID else d, s) for rank, (s, d) in enumerate(sorted((x for x in scored if x[0] > 0), key=lambda x: (-x[0], x[1]))[:k])]
+    return out
+
+
+def found_by(frame):
+    return [(r.query_id, r.rank, r.doc_id, round(r.score, 7)) for r in frame.collect()]
+
+
+def test_search(docs, empty):
+    rows, asked = awkward(), (1, 5, 10, 14, 50)
+    key = lambda r: (r[0], r[1], -(2**63) if r[2] is None else r[2], r[3])
+    got = sorted(found_by(search.top_k(docs, docs.filter(F.col("doc_id").isin(*asked)), k=6)), key=key)
+    want = sorted(brute_search(rows, asked, 6), key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+    assert search.top_k(empty, empty).count() == 0 and search.top_k(docs, empty).count() == 0
+
+
+def test_search_over_many_blocks(spark):
+    """Ids, ranks and ties against all scores, over shards of many blocks, in which blocks are passed over."""
+    rng = random.Random(9)
+    tongues = [[f"{c}{k}" for k in range(300)] for c in "abcd"]
+    rows = []
+    for k in range(2600):
+        own = tongues[rng.randrange(4)]
+        rows.append((k, " ".join(own[min(int(rng.paretovariate(0.6)) - 1, 299)] for _ in range(rng.randrange(5, 60)))))
+    rows += [(3000 + k, rows[7][1]) for k in range(15)]  # ties beyond the k-th
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).cache()
+    asked = {7, 50, 3001, *range(100, 130)}
+    got = sorted(found_by(search.top_k(df, df.filter(F.col("doc_id").isin(*asked)), k=10)))
+    want = sorted(brute_search(rows, asked, 10))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+    words = [search.terms_of(t) for _, t in rows]
+    terms, counts, docs, freqs, order = search.postings(words)
+    lengths = np.array([len(w) for w in words], np.int32)[order]
+    every, n = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+    common = every[n * search.COMMON >= len(rows)]
+    shard = search.Shard(np.array([i for i, _ in rows])[order].tobytes(), lengths.tobytes(), *(x.tobytes() for x in (terms, counts, docs, freqs)), float(lengths.mean()), common)
+    best, some = search.Best(20, 10), [np.unique(w) for w in words[:20]]
+    idf = lambda t: np.log1p((len(rows) - n[np.searchsorted(every, t)] + 0.5) / (n[np.searchsorted(every, t)] + 0.5))
+    weights = np.array([[idf(c) if c in t else 0.0 for c in common] for t in some])
+    shard.search(np.array([shard.rare_scores(t[~np.isin(t, common)], idf(t[~np.isin(t, common)])) for t in some]), weights, best, 0)
+    assert shard.n_blocks > 20 and shard.scored < 0.6 * 20 * shard.n_blocks
 
 
 def test_shingles():
