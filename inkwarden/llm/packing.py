@@ -37,6 +37,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -212,13 +213,19 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which its tasks share for the pieces it knows."""
+    return Encoder(path)
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, queue, end_id: int) -> DataFrame:
     """doc_id, queue, part, before (tokens of that queue before it in this partition), n, ids."""
     schema = "doc_id long, queue string, part int, before long, n long, ids binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, sent = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, sent = encoder_of(path), TaskContext.get().partitionId(), {}
         narrow = np.uint16 if encoder.tok.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
         end = np.array([end_id], narrow).tobytes()
 
