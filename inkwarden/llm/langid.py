@@ -14,9 +14,12 @@ lane, for every language alike), whole texts always.
 
 The score is the winner's share of 2 ** (-SHARPNESS * entropy).
 
-Cases: null text, or text without a letter, is ``und`` with score 0; ties go to
-the first language in code-point order; rows without a language teach nothing;
-with no language learned all is ``und``; repeated rows are judged alike.
+Cases: null text, or text without a letter, is ``und`` with score 0; a very long
+text is as many lanes as it needs; ties go to the first language in code-point
+order; rows without a language teach nothing; a null id is never held out; with no
+language learned all is ``und``; repeated rows are judged alike; an empty table
+gives an empty result; columns of ``docs`` other than those named are not read, so
+their names don't matter.
 """
 
 from __future__ import annotations

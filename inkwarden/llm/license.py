@@ -4,8 +4,8 @@ A paragraph is a line. Its word unigrams, bigrams and trigrams are hashed into a
 sparse vector of unit length; a multinomial logistic regression, trained on
 variations of the template texts below and on paragraphs without licence terms
 from a bounded sample of the corpus, gives the probability of each family and of
-``unknown``. A temperature fitted on variations that were held back calibrates
-it. A paragraph whose likeliest class is a family, with at least ``least``
+``unknown``. Its temperature is fitted on a model that has not seen one template of
+each family and a sixth of the sample, by how sure that model is of those. A paragraph whose likeliest class is a family, with at least ``least``
 probability, is compared with that family's templates: the share of the
 template's words that it has, in order, must reach ``confirm``.
 
@@ -15,9 +15,16 @@ template before its last line) are judged the same way, if a line in them has a
 word without which no template can be confirmed. A run counts as one paragraph,
 numbered by its first line, unless it overlaps or adjoins a confirmed one of its family.
 
-Cases: null or empty text has no paragraphs; ties in probability go to the first
-family by name; repeated rows are scanned alike; without corpus paragraphs the
-unknown class has the built-in ones; an empty table gives an empty result.
+The unknown class is learned from at most ``sample`` lines of whole texts, of up to
+2,000 characters each; of those that speak of licences it has the ones that are
+like no template.
+
+Cases: null or empty text has no paragraphs; a very long text is judged half a
+megabyte of texts at a time, itself whole; null ids are scanned like others; ties
+in probability go to the first family by name; repeated rows are scanned alike;
+without corpus paragraphs the unknown class has the built-in ones; an empty table
+gives an empty result; columns of ``docs`` other than the two named are not read,
+so their names don't matter.
 """
 
 from __future__ import annotations
@@ -150,28 +157,26 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def train(sample: list[str], seed: int = 1, each: int = 60, steps: int = 150) -> Model:
-    rng = random.Random(seed)
-    plain = [p for p in sample if not TERMS.search(p)] + NEAR_MISSES
-    fillers = sorted({w for p in plain for w in p.split()})[:5000]
-    families = sorted(TEMPLATES) + [UNKNOWN]
-    rows: list[tuple[str, int]] = []
-    for c, f in enumerate(families[:-1]):
-        for t in TEMPLATES[f]:
-            rows += [(t, c)] * 5 + [(varied(t, rng, fillers), c) for _ in range(each)]
-    rows += [(p, len(families) - 1) for p in plain] + [(varied(p, rng, fillers), len(families) - 1) for p in NEAR_MISSES for _ in range(10)]
-    rng.shuffle(rows)
-    back = rows[: len(rows) // 6]
-    rows = rows[len(back) :]
+_TOKEN = re.compile(r"[^\W_]+")
+_WORDS = {f: [_TOKEN.findall(t.lower()) for t in ts] for f, ts in TEMPLATES.items()}
+
+
+def closeness(paragraph: str, family: str) -> float:
+    """The largest share of a template's words that the paragraph has in the same order."""
+    own = _TOKEN.findall(paragraph.lower())
+    return max(sum(m.size for m in SequenceMatcher(None, t, own, autojunk=False).get_matching_blocks()) / len(t) for t in _WORDS[family])
+
+
+def fitted(rows: list[tuple[str, int]], families: list[str], steps: int) -> Model:
+    """The regression by AdaGrad on rows (paragraph, class), the classes weighing alike."""
     y = np.array([c for _, c in rows])
     at, whose = grams([t for t, _ in rows])
     scale = 1 / np.sqrt(np.maximum(np.bincount(whose, minlength=len(rows)), 1))[whose]
     w, b = np.zeros((DIM, len(families))), np.zeros(len(families))
     hot = np.eye(len(families))[y]
-    share = hot.sum(0)
-    weight = (len(rows) / len(families) / share)[y][:, None]
+    weight = (len(rows) / len(families) / np.maximum(hot.sum(0), 1))[y][:, None]
     w2, b2 = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-    for _ in range(steps):  # AdaGrad
+    for _ in range(steps):
         z = np.stack([np.bincount(whose, weights=w[at, c] * scale, minlength=len(rows)) for c in range(len(families))], axis=1) + b
         p = np.exp(z - z.max(1, keepdims=True))
         g = (p / p.sum(1, keepdims=True) - hot) * weight / len(rows)
@@ -180,25 +185,42 @@ def train(sample: list[str], seed: int = 1, each: int = 60, steps: int = 150) ->
         w2, b2 = w2 + gw**2, b2 + gb**2
         w -= 0.5 * gw / np.sqrt(w2)
         b -= 0.5 * gb / np.sqrt(b2)
-    model = Model(families, w.astype(np.float32), b, 1.0)
-    z, own = model.logits([t for t, _ in back]), np.array([c for _, c in back])
+    return Model(families, w.astype(np.float32), b, 1.0)
+
+
+def temperature(model: Model, rows: list[tuple[str, int]]) -> float:
+    """That under which the model is as sure of rows it hasn't seen as it is right."""
+    if not rows:
+        return 1.0
+    z, own = model.logits([t for t, _ in rows]), np.array([c for _, c in rows])
 
     def loss(t: float) -> float:
         s = z / t
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(own)), own]).mean())
 
-    model.temperature = min((0.25 * 1.15**k for k in range(25)), key=loss) if len(back) else 1.0
-    return model
+    return min((0.25 * 1.15**k for k in range(25)), key=loss)
 
 
-_TOKEN = re.compile(r"[^\W_]+")
-_WORDS = {f: [_TOKEN.findall(t.lower()) for t in ts] for f, ts in TEMPLATES.items()}
+def train(sample: list[str], seed: int = 1, each: int = 60, steps: int = 150) -> Model:
+    rng = random.Random(seed)
+    plain = [p for p in sample if not TERMS.search(p) or max(closeness(p, f) for f in TEMPLATES) < 0.4] + NEAR_MISSES
+    rng.shuffle(plain)
+    fillers = sorted({w for p in plain for w in p.split()})[:5000]
+    families = sorted(TEMPLATES) + [UNKNOWN]
+    unknown = len(families) - 1
 
+    def notices(chosen: dict[str, list[str]]) -> list[tuple[str, int]]:
+        return [x for c, f in enumerate(families[:-1]) for t in chosen[f] for x in [(t, c)] * 5 + [(varied(t, rng, fillers), c) for _ in range(each)]]
 
-def closeness(paragraph: str, family: str) -> float:
-    """The largest share of a template's words that the paragraph has in the same order."""
-    own = _TOKEN.findall(paragraph.lower())
-    return max(sum(m.size for m in SequenceMatcher(None, t, own, autojunk=False).get_matching_blocks()) / len(t) for t in _WORDS[family])
+    def others(some: list[str]) -> list[tuple[str, int]]:
+        return [(p, unknown) for p in some] + [(varied(p, rng, fillers), unknown) for p in some if p in NEAR_MISSES for _ in range(10)]
+
+    cut = len(plain) // 6
+    seen, unseen = {f: ts[:-1] for f, ts in TEMPLATES.items()}, {f: ts[-1:] for f, ts in TEMPLATES.items()}
+    calibrated = temperature(fitted(notices(seen) + others(plain[cut:]), families, steps), notices(unseen) + others(plain[:cut]))
+    model = fitted(notices(TEMPLATES) + others(plain), families, steps)
+    model.temperature = calibrated
+    return model
 
 
 def needed_words(confirm: float) -> set[str]:
@@ -245,7 +267,7 @@ def runs(lines: list[str], needed: set[str]) -> list[tuple[int, int]]:
 def sampled(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
     n = docs.count()
     place = F.pmod(F.xxhash64(F.lit(1), F.col(id_col)), F.lit(1 << 30))
-    some = docs.filter(place < int(min(1.0, most / 4 / max(n, 1)) * (1 << 30))).select(F.slice(F.split(F.col(text_col), "\n"), 1, 8).alias("p"))
+    some = docs.filter(place < int(min(1.0, most / 4 / max(n, 1)) * (1 << 30))).select(F.split(F.col(text_col), "\n").alias("p"))
     lines = some.select(F.explode("p").alias("p")).filter("length(p) BETWEEN 1 AND 2000").orderBy(F.xxhash64("p"), "p").limit(most).collect()
     return [r[0] for r in lines]
 

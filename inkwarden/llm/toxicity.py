@@ -1,18 +1,23 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the presence of words and of word starts (four and five
-letters). Features are those that labelled toxic documents have significantly
-more often, and all identity terms. For each training text with an identity
-term a copy has it swapped for another of its group; a seeded part of the other
-texts is given a neutral mention and its swap. The loss adds the mean squared
-change of the logit between the two, so that naming a group does not move a score.
-
-The fit sees at most ``max_rows`` labelled rows of either class, chosen by hash;
-texts are scored whole.
-
-Cases: null or empty text scores as the bias alone; a null label teaches
-nothing; with one class or none among the labels the model is its base rate; a
-null id is never held out; repeated rows score alike.
+letters). Features are the ``max_features`` that labelled toxic documents have
+most significantly more often, and all identity terms. For each training text
+with an identity term a copy has it swapped for another of its group; a seeded
+part of the other texts is given a neutral mention and its swap. The loss adds
+the mean squared change of the logit between the two, so that naming a group
+does not move a score.
+
+The fit sees at most about ``max_rows`` labelled rows of either class, chosen by
+hash of id and text; an id with several labels has its largest. Of these texts the
+driver gets the words; texts are scored whole.
+
+Cases: null or empty text scores as the bias alone; a very long text is a set of
+words like any other; a null label teaches nothing, and any label over 0 is toxic;
+with one class or none among the labels the model is its base rate; a null id is
+never held out and has no label; repeated rows score alike; an empty table gives
+an empty result; columns of ``docs`` other than the two named are not read, so
+their names don't matter.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
 from .langid import held_out
 
 #: Names of groups, by kind; the swaps stay within a kind.
@@ -66,10 +72,10 @@ def swapped(words: set[str], rng: random.Random) -> tuple[set[str], set[str]] |
     return words, {other.get(w, w) for w in words}
 
 
-def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float = 1e-5, fairness: float = 1.0, steps: int = 400, seed: int = 3) -> tuple[dict[str, float], float]:
+def fit(rows: list[tuple[str | set[str] | None, int]], max_features: int = 1024, l2: float = 1e-5, fairness: float = 1.0, steps: int = 400, seed: int = 3) -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias."""
     rng = random.Random(seed)
-    sets = [words_of(t) for t, _ in rows]
+    sets = [t if isinstance(t, set) else words_of(t) for t, _ in rows]
     y = np.array([float(v) for _, v in rows])
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
@@ -95,7 +101,7 @@ def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float
         return x
 
     x = matrix(sets)
-    pairs = [p for s in sets[:: max(1, len(sets) // 2000)] if (p := swapped(s, rng))]
+    pairs = [p for s in sets if (p := swapped(s, rng))]
     d = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
     # A copy of each toxic text keeps one of its plainest signs only, so that a word that mostly comes beside others counts alone too.
     odds = np.array([math.log((count[1][f] + 0.5) / (n1 + 1) * (n0 + 1) / (count[0][f] + 0.5)) for f in names[: len(names) - len(ident)]])
@@ -119,15 +125,24 @@ def fit(rows: list[tuple[str | None, int]], max_features: int = 1024, l2: float
     return {f: float(w[k]) for f, k in at.items()}, float(b)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> list[tuple[str | None, int]]:
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
-    place = F.pmod(F.xxhash64(F.lit(3), F.col("_id")), F.lit(1 << 30))
-    few = F.lit(False)
-    for v, n in counts.items():
-        few = few | ((F.col("_y") == v) & (place < int(min(1.0, max_rows / n) * (1 << 30))))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known.filter(few)), "_id").collect()
-    return [(t, y) for _, t, y in sorted(rows, key=lambda r: (r[0], r[1] or "", r[2]))]
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> list[tuple[set[str], int]]:
+    """Words and label (0 or 1) of at most about ``max_rows`` texts of either class."""
+    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
+
+    def share(rows: DataFrame, place: Column) -> DataFrame:
+        few = F.lit(False)
+        for v, n in ((r[0], r[1]) for r in rows.groupBy("_y").count().collect()):  # two classes
+            few = few | ((F.col("_y") == v) & (F.pmod(place, F.lit(1 << 30)) < int(min(1.0, max_rows / n) * (1 << 30))))
+        return rows.filter(few)
+
+    @F.arrow_udf("array<string>")
+    def words(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(words_of(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    chosen = small(share(known, F.xxhash64(F.lit(3), "_id")), 4 * max_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id").dropDuplicates(["_id", "_t"])
+    found = share(rows, F.xxhash64(F.lit(4), "_id", "_t")).select("_id", words("_t").alias("_w"), "_y").collect()
+    return [(set(r[1]), r[2]) for r in sorted(found, key=lambda r: (r[0], r[1], r[2]))]
 
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, mod: int = 3, rest: int = 1) -> DataFrame:

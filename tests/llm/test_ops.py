@@ -351,6 +351,39 @@ def test_language_id(spark, empty):
     assert langid.language_id(empty).count() == 0
 
 
+def test_language_id_equals_brute_force(spark):
+    """The query's languages and scores against parsing by searching the training text."""
+    rng = random.Random(12)
+    parts = {"de": "der ung keit sch ei zu".split(), "en": "the ing tion er wh ou".split(), "fr": "le eau tion ou ai é".split()}
+    rows = [(k, " ".join("".join(rng.choices(parts[g], k=3)) for _ in range(rng.randrange(1, 25))), g) for k in range(90) for g in [list(parts)[k % 3]]]
+    rows += [(200, "", "en"), (201, "１ 。 😀", "de"), (None, "the ou", None), (202, "the ou", None), (202, "the ou", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = langid.learn(df.filter(~langid.held_out("doc_id", 4, 2)), "doc_id", "text", "lang", 6000)
+    p = langid.Parser(texts)
+    spelled = {g: p.squeeze(t).tolist() for g, t in texts.items()}
+
+    def phrases(train, t):
+        joined, n, k = "".join(map(chr, train)), 0, 0
+        while k < len(t):
+            j = k + 1
+            while j < len(t) and "".join(map(chr, t[k : j + 1])) in joined:
+                j += 1
+            n, k = n + 1, j
+        return n
+
+    want = Counter()
+    for i, t, _ in rows:
+        symbols = p.squeeze(t).tolist()
+        assert len(symbols) < langid.LANE
+        lang, score = "und", 0.0
+        if any(symbols):
+            entropy = [phrases(spelled[g], symbols) * math.log2(max(2, len(spelled[g]))) / len(symbols) for g in texts]
+            best = min(range(len(entropy)), key=lambda k: entropy[k])
+            lang, score = list(texts)[best], 1 / sum(2 ** (-langid.SHARPNESS * (e - entropy[best])) for e in entropy)
+        want[i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, lang, round(score, 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.language_id(df, sample_chars=6000).collect()) == want
+
+
 def test_cross_parse_counts_longest_matches():
     p = langid.Parser({"x": "abcabd", "y": "zzzzab"})
     text = "abcabdabzz"
@@ -420,6 +453,22 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, lab).count() == 0 and toxicity.toxicity(df, lab.limit(0)).count() == len(rows)
 
 
+def test_toxicity_scores_equal_the_sum_of_features(spark, docs):
+    labels = spark.createDataFrame([(k, k % 3) for k in range(1, 60)] + [(4, 0), (4, 2), (None, 1)], "doc_id long, toxic int")
+    learned = toxicity.labelled(docs, labels.filter(~langid.held_out("doc_id", 3, 1)), "doc_id", "text", "toxic", 3000)
+    assert {y for _, y in learned} == {0, 1}
+    weights, bias = toxicity.fit(learned)
+    got = Counter((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.toxicity(docs, labels).collect())
+    want = Counter()
+    for i, t, *_ in awkward():
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights.get(f, 0.0) for f in toxicity.features(toxicity.words_of(t)))))))
+        want[i, i is not None and zlib.crc32(str(i).encode()) % 3 == 1, round(p, 9), int(p >= 0.7)] += 1
+    assert got == want
+    many = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "fine " * 300_000)], "doc_id long, text string")
+    some = spark.createDataFrame([(1, 1)] * 40 + [(2, 0)], "doc_id long, toxic int")
+    assert len(toxicity.labelled(many, some, "doc_id", "text", "toxic", 20)) < 40 and toxicity.toxicity(many, some).count() == 51
+
+
 def test_toxicity_swaps_do_not_move_scores():
     rng = random.Random(1)
     rows = [(" ".join(["w%d" % rng.randrange(50) for _ in range(8)] + (["vile"] if k % 2 else []) + ([rng.choice(["muslims", "women"])] if k % 2 else [])), k % 2) for k in range(600)]
@@ -495,6 +544,40 @@ def test_license_scan(spark, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_license_scan_equals_one_line_at_a_time(spark, docs):
+    """Single-line notices among others, each line judged alone against every template."""
+    rng = random.Random(3)
+    lines = [t for ts in license.TEMPLATES.values() for t in ts] + license.NEAR_MISSES + ["a plain line of words", "another one", "0 1 2", "MIT", "license"]
+    rows = [(k, "\n\n".join(rng.choices(lines, k=rng.randrange(1, 7)))) for k in range(60)] + [(None, lines[0]), (61, None), (62, "\n"), (63, "plain words here " * 60_000 + "\n\n" + lines[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = license.train(license.sampled(df, "doc_id", "text", 3000))
+    common = lambda a, b: sum(m.size for m in license.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+    def family(line):
+        p = model.probabilities([line])[0]
+        best = int(p.argmax())
+        if best == len(model.families) - 1 or p[best] < 0.5:
+            return None
+        own = re.findall(r"[^\W_]+", line.lower())
+        ts = [re.findall(r"[^\W_]+", t.lower()) for t in license.TEMPLATES[model.families[best]]]
+        return model.families[best] if max(common(t, own) / len(t) for t in ts) >= 0.6 else None
+
+    want = Counter()
+    for i, t in rows:
+        own = [x for x in (t or "").split("\n") if x.strip()]
+        found = [f for f in map(family, own) if f]
+        want[i, len(own), len(found), "|".join(sorted(set(found)))] += 1
+    assert Counter((r.doc_id, r.n_paragraphs, r.n_licensed, r.families) for r in license.scan(df).collect()) == want
+    assert license.scan(docs).count() == docs.count()
+
+
+def test_license_model_is_calibrated_on_what_it_has_not_seen():
+    plain = [f"line {k} of words that say nothing much about number {k}" for k in range(60)]
+    rows, families = [(p, 1) for p in plain] + [("Released under the MIT License.", 0)] * 20, ["MIT", "unknown"]
+    model = license.fitted(rows, families, 60)
+    assert license.temperature(model, [(p, 0) for p in plain]) > license.temperature(model, rows) and license.temperature(model, []) == 1.0
+
+
 def test_license_scan_joins_wrapped_notices(spark):
     prose = "\n".join("the quick brown fox went over the hill and saw a river below" for _ in range(12))
     rows, want = [], []
