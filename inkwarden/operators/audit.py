@@ -99,9 +99,12 @@ def tail(log: DataFrame, n: int = 100_000) -> DataFrame:
     return log.orderBy(F.col("sequence").desc()).limit(min(n, 100_000))
 
 
-def export(log: DataFrame, path: str, n: int = 100_000) -> None:
-    """The last events as one JSON file; ``n`` is at most 100,000, so that one task writes them."""
-    tail(log, n).coalesce(1).write.mode("overwrite").json(path)
+def export(log: DataFrame, path: str, n: int = 100_000, verification: dict | None = None) -> None:
+    """The last events as one JSON file; ``n`` is at most 100,000, so that one task writes them. With ``verification`` each says whether the log was whole."""
+    rows = tail(log, n)
+    if verification is not None:
+        rows = rows.withColumns({"log_valid": F.lit(bool(verification["valid"])), "log_checked": F.lit(int(verification["checked"]))})
+    rows.coalesce(1).write.mode("overwrite").json(path)
 
 
 def event_types(log: DataFrame) -> DataFrame:

@@ -115,3 +115,42 @@ def search_components(components: DataFrame, state: str = "ALL", query: str = ""
 def latency(samples: DataFrame, value: str) -> DataFrame:
     """Median, 95th percentile by nearest rank, least and most."""
     return samples.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+#: Columns of a report that may be shown to whoever asks.
+PUBLIC = ("id", "filename", "created_at", "status", "verdict", "risk_score", "severity")
+
+
+def public(reports: DataFrame) -> DataFrame:
+    """The public columns, and ``valid``: whether the values are of those that there are; others are shown as null."""
+    fine = F.coalesce(F.col("verdict").isin(*VERDICTS) & F.col("risk_score").between(0, 100) & rank(F.col("severity")).isNotNull(), F.lit(False))
+    rows = reports.withColumn("valid", fine)
+    return rows.select("id", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in PUBLIC[1:]], "valid")
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    """Counts without any source's name, and whether they agree with each other."""
+    s = stats(reports)
+    parts = F.col("infected") + F.col("corrupted") + F.col("valid") + F.col("review_required") + F.col("unscannable")
+    return s.select("analyzed", "infected", "blocked", "unique_files", ((parts == F.col("analyzed")) & (F.col("blocked") <= F.col("analyzed")) & (F.col("unique_files") <= F.col("analyzed"))).alias("consistent"))
+
+
+def counters(rows: DataFrame, status: str) -> DataFrame:
+    """Done, succeeded, failed and skipped of a batch."""
+    is_ = lambda *v: F.count_if(F.col(status).isin(*v))
+    return rows.agg(F.count(status).alias("done"), is_("ALLOWED", "FLAGGED").alias("succeeded"), is_("BLOCKED", "QUARANTINED").alias("failed"), F.count_if(F.col(status).isNull()).alias("skipped"))
+
+
+def manifest(files: DataFrame, by: str, entry: Column) -> DataFrame:
+    """A fingerprint of each group's entries, whatever their order: entries are hashed by bucket, and the buckets' hashes in order.
+
+    A bucket has a 4096th of a group, so that no list grows with it.
+    """
+    rows = files.select(by, F.sha2(entry, 256).alias("_h"))
+    buckets = rows.groupBy(by, F.substring("_h", 1, 3).alias("_b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("_x"), F.count("*").alias("_n"))
+    return buckets.groupBy(by).agg(F.sum("_n").alias("entries"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_x"))), lambda x: F.concat(x["_b"], x["_x"])), "\n"), 256).alias("fingerprint"))
+
+
+def byte_budget(files: DataFrame, by: str, length: Column, most: int) -> DataFrame:
+    """Total bytes of each group and whether they are within ``most``."""
+    return files.groupBy(by).agg(F.sum(length).cast("long").alias("bytes")).withColumn("within", F.col("bytes") <= most)

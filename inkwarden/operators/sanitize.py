@@ -58,3 +58,15 @@ def copied(files: DataFrame, id_col: str = "path", content_col: str = "content",
         "id", F.when(made, "SANITIZED").otherwise("FAILED").alias("transformation_status"), F.when(F.col("reason") == "COPY_PASSED_CHECKS", "ALLOWED").otherwise("DENIED").alias("delivery_status"),
         "reason", "input_sha256", F.when(made, F.col("output_sha256")).alias("output_sha256"), F.when(made, F.col("counts")).alias("omitted_counts"),
     )
+
+
+def history(copies: DataFrame, reports: DataFrame) -> DataFrame:
+    """Each copy with the reports on its input and its output by their hashes, null where there is none."""
+    known = reports.filter(F.col("sha256") != "").groupBy("sha256").agg(F.min("id").alias("report_id"))
+    of = lambda side: known.select(F.col("sha256").alias(f"{side}_sha256"), F.col("report_id").alias(f"{side}_report"))
+    return copies.join(of("input"), "input_sha256", "left").join(of("output"), "output_sha256", "left")
+
+
+def omitted(pages: DataFrame) -> DataFrame:
+    """Sums of what was left out over :func:`transformed` pages; refused ones count as such."""
+    return pages.agg(F.count("*").alias("pages"), F.count("error").alias("refused"), *[F.coalesce(F.sum(f"counts.{c}"), F.lit(0)).alias(c) for c in htmltext.COUNTERS])

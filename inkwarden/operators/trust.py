@@ -230,3 +230,47 @@ def history_violations(versions: DataFrame, anchors: DataFrame) -> DataFrame:
 def numbered(changes: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return changes.withColumn("version", F.row_number().over(w))
+
+
+SNAPSHOT_FAILED = "SNAPSHOT_INTEGRITY_FAILED"
+
+
+def snapshot_integrity(components: DataFrame, events: DataFrame) -> DataFrame:
+    """``components`` with ``integrity``: null, or SNAPSHOT_INTEGRITY_FAILED where a row isn't what its last DISCOVERED or VERSION_CHANGED event says.
+
+    ``events`` has component_id, event_type, sequence, version and the three hashes. A component without such an event fails, too.
+    """
+    columns = ("version", "raw_hash", "canonical_hash", "semantic_fingerprint")
+    last = events.filter(F.col("event_type").isin("DISCOVERED", "VERSION_CHANGED")).groupBy("component_id").agg(F.max_by(F.struct(*columns), "sequence").alias("_said"))
+    both = components.join(last, "component_id", "left")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_said.{c}"))
+    return both.withColumn("integrity", F.when(~(F.col("_said").isNotNull() & same), SNAPSHOT_FAILED)).drop("_said")
+
+
+def due(components: DataFrame, changed: DataFrame, sources: DataFrame) -> DataFrame:
+    """source_path, component_id of the first component of each path that changed or is a source, null where it has none; ``known`` if it is both."""
+    first = components.groupBy("source_path").agg(F.min("component_id").alias("component_id"))
+    paths = changed.select("source_path", F.lit(1).alias("_c"), F.lit(0).alias("_s")).unionByName(sources.select("source_path", F.lit(0).alias("_c"), F.lit(1).alias("_s")))
+    paths = paths.groupBy("source_path").agg((F.max("_c") + F.max("_s") == 2).alias("known"))
+    return paths.join(first, "source_path", "left").select("source_path", "component_id", "known")
+
+
+def current_policy(history: DataFrame) -> DataFrame:
+    """The policy of the largest version, one row; versions are appended and never rewritten."""
+    return history.orderBy(F.col("version").desc()).limit(1)
+
+
+def next_policy(history: DataFrame, policy: dict, timestamp: str) -> DataFrame:
+    """The row to append for a checked policy: a version on from the current one."""
+    checked = pl.check_policy(policy)
+    last = current_policy(history).agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+    return last.select((F.col("version") + 1).cast("int").alias("version"), F.lit(json.dumps({k: v for k, v in checked.items() if k != "version"}, sort_keys=True)).alias("policy"), F.lit(timestamp).alias("timestamp"))
+
+
+def policy_violations(history: DataFrame, events: DataFrame) -> DataFrame:
+    """Versions that no POLICY_CHANGED event (version, policy) or another one tells of, and events without a version."""
+    said = events.select("version", F.col("policy").alias("_said"))
+    both = history.join(said, "version", "full")
+    return both.filter(~F.coalesce(F.col("policy") == F.col("_said"), F.lit(False))).select("version")

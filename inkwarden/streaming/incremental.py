@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.rules import VERSION
 from ..operators.scan import scan_files
 from ..plans import policy as pl
+from ..sources.extract import MAX_BYTES as LONGEST
 
 #: What one pass takes at most.
 MAX_FILES, MAX_BYTES = 2000, 128 * 1024 * 1024
@@ -31,11 +32,15 @@ def context_hash(policy: dict = pl.POLICY, rules_version: str = VERSION) -> str:
     return hashlib.sha256(json.dumps([policy, rules_version], sort_keys=True).encode()).hexdigest()
 
 
-def arriving(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of files, bounded for each trigger."""
+def arriving(spark: SparkSession, path: str, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """A stream of files, bounded for each trigger by number and bytes; one of those bounds at a time is Spark's, bytes here.
+
+    Files over the size limit of a scan come without content and are reported as such.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
-    return reader.option("maxFilesPerTrigger", MAX_FILES).load(path)
+    files = reader.option("maxBytesPerTrigger", most_bytes).load(path)
+    return files.withColumn("content", F.when(F.col("length") <= LONGEST, F.col("content")))
 
 
 def decisions(files: DataFrame, context: str) -> DataFrame:
@@ -64,7 +69,7 @@ def sink(reports_path: str, policy: dict = pl.POLICY):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         named = batch.withColumn("filename", F.element_at(F.split("path", "/"), -1))
-        scan_files(named, policy=policy).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{reports_path}/batch_id={batch_id}")
+        scan_files(named, policy=policy).write.mode("overwrite").parquet(f"{reports_path}/batch_id={batch_id}")
 
     return write
 
@@ -107,3 +112,19 @@ def job_table(spark: SparkSession, query) -> DataFrame:
     """Progress of a streaming query as rows."""
     rows = [(p["batchId"], p["numInputRows"], p["timestamp"]) for p in query.recentProgress]
     return spark.createDataFrame(rows, "batch_id long, files long, started string")
+
+
+#: Codes after which a file is not tried again until it changes.
+PERMANENT = ("INPUT_SIZE_LIMIT", "UNSUPPORTED_FORMAT")
+
+
+def to_retry(index: DataFrame, now: str, after_seconds: int = 3) -> DataFrame:
+    """Failed paths (path, error, failed_at) whose turn has come: ``after_seconds`` on, and never for what stays as it is."""
+    ripe = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("failed_at") >= after_seconds
+    return index.filter(F.col("error").isNotNull() & ~F.col("error").isin(*PERMANENT) & ripe).select("path")
+
+
+def job_status(passes: DataFrame) -> DataFrame:
+    """The state of each job from its passes (job, cancelled, busy, failed, left): the first that applies."""
+    state = F.when(F.max("cancelled"), "CANCELLED").when(F.max("busy"), "BUSY").when(F.max("failed"), "FAILED").when(F.sum("left") > 0, "PARTIAL").otherwise("COMPLETED")
+    return passes.groupBy("job").agg(state.alias("status"), F.sum("left").alias("left"))
