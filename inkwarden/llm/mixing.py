@@ -13,9 +13,12 @@ document on the cut gives the first words that are still wanted. Prefix sums
 are taken over 4096 hash buckets first, so that a window sees only the rows of
 the one bucket on the cut, whatever a source's share of the corpus is.
 
-Cases: null text or text without a word has size 0 and takes 0; a null source
-is a source of its own, last in order; null ids are ordered as ''; an empty
-table gives an empty result; a repeated row is a document like any other.
+Cases: null text or text without a word has size 0 and takes 0; a very long text
+is a document like any other, and may lie on the cut; a null source is a source
+of its own, last in order; null ids are ordered as ''; an empty table gives an
+empty result; a repeated row is a document like any other, and rows with one id
+and size may stand for each other; columns of ``docs`` are boxed, so their names
+clash with nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, key_of, n_words, small, unboxed
+from .common import WORD, boxed, cut_lineage, key_of, n_words, small, unboxed
 
 BROADCAST_SOURCES = 50_000
 
@@ -47,15 +50,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     return s.withColumn("_goal", F.least(F.col("_cap"), F.floor(F.col("_target") + 0.5).cast("long"))).select("_src", "_key", "_source_size", "_target", "_goal")
 
 
+def _place(id_col: str, seed: int) -> Column:
+    """A document's place in the seeded order."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+
 def measured(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """_row (what is carried along), _src, _key, _size, _u (place in the seeded order) and _b (its bucket) for each row of ``docs``."""
-    u = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(row.alias("_row"), F.col(source_col).alias("_src"), key_of(source_col).alias("_key"), n_words(F.col(text_col)).alias("_size"), u.alias("_u"))
+    rows = docs.select(row.alias("_row"), F.col(source_col).alias("_src"), key_of(source_col).alias("_key"), n_words(F.col(text_col)).alias("_size"), _place(id_col, seed).alias("_u"))
     return rows.withColumn("_b", F.substring("_u", 1, 3))
 
 
-def mix(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """``rows`` as of :func:`measured` with _source_size, _target, _repeats (long) and _extra (long, words of one more, maybe partial, repeat)."""
+def _plan(rows: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
+    """A row for each source of ``rows`` as of :func:`measured`: _key, _source_size, _target, _repeats, and the bucket _cut in which the last _cut_rest words are taken."""
     buckets = rows.groupBy("_key", "_b").agg(F.first("_src").alias("_src"), F.sum("_size").alias("_n"))
     sizes = buckets.groupBy("_key").agg(F.first("_src").alias("_src"), F.sum("_n").alias("_source_size"))
     plan = source_targets(sizes, weights, max_epochs)
@@ -64,19 +71,34 @@ def mix(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
     up_to = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = buckets.withColumn("_end", F.sum("_n").over(up_to)).join(plan.select("_key", "_rest"), "_key").filter("_end - _n <= _rest AND _end > _rest")
     cuts = placed.select("_key", F.col("_b").alias("_cut"), (F.col("_rest") - (F.col("_end") - F.col("_n"))).alias("_cut_rest"))
-    plan = small(plan.join(cuts, "_key", "left").drop("_src", "_rest", "_goal"), BROADCAST_SOURCES)
-    rows = rows.join(plan, "_key")
+    return small(plan.join(cuts, "_key", "left").drop("_src", "_rest", "_goal"), BROADCAST_SOURCES)
+
+
+def _edge(rows: DataFrame) -> DataFrame:
+    """_extra for the rows of a cut bucket: the words of it that are still wanted."""
+    before = Window.partitionBy("_key").orderBy("_u", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return rows.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_cut_rest") - F.col("_before"))).cast("long")).drop("_before")
+
+
+def mix(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """``rows`` as of :func:`measured` with _source_size, _target, _repeats (long) and _extra (long, words of one more, maybe partial, repeat)."""
+    rows = rows.join(_plan(rows, weights, max_epochs), "_key")
     # A source without a cut bucket has nothing left over after its whole repeats.
     sure = rows.filter("_cut IS NULL OR _b <> _cut").withColumn("_extra", F.expr("CASE WHEN _b < _cut THEN _size ELSE 0 END").cast("long"))
-    in_cut = Window.partitionBy("_key").orderBy("_u", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.filter("_b = _cut").withColumn("_before", F.coalesce(F.sum("_size").over(in_cut), F.lit(0)))
-    edge = edge.withColumn("_extra", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_cut_rest") - F.col("_before"))).cast("long")).drop("_before")
-    return sure.unionByName(edge).drop("_cut", "_cut_rest")
+    return sure.unionByName(_edge(rows.filter("_b = _cut"))).drop("_cut", "_cut_rest")
+
 
+def repeated(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The mix as rows: each document as often as it is taken, a partial repeat rounded to none or one.
 
-def repeated(docs: DataFrame, **kw) -> DataFrame:
-    """The mix as rows: each document as often as it is taken, a partial repeat rounded to none or one."""
-    mixed = mix(measured(docs, boxed(docs), **kw))
-    once_more = F.when((F.col("_size") > 0) & (F.col("_extra") * 2 >= F.col("_size")), 1).otherwise(0)
-    times = mixed.withColumn("_times", (F.col("_repeats") + once_more).cast("int")).filter("_times > 0 AND _size > 0")
+    Words are counted once, for the plan; after that only the rows of cut buckets are counted again.
+    """
+    counted = cut_lineage(measured(docs, F.lit(None).cast("string"), id_col, text_col, source_col, seed).drop("_row", "_u"))
+    rows = docs.select(boxed(docs), key_of(source_col).alias("_key"), F.col(text_col).alias("_text"), _place(id_col, seed).alias("_u")).withColumn("_b", F.substring("_u", 1, 3))
+    rows = rows.filter(F.rlike("_text", F.lit(WORD))).join(_plan(counted, weights, max_epochs), "_key")
+    sure = rows.filter("_cut IS NULL OR _b <> _cut").withColumn("_more", F.expr("CASE WHEN _b < _cut THEN 1 ELSE 0 END"))
+    edge = _edge(rows.filter("_b = _cut").withColumn("_size", n_words(F.col("_text")))).withColumn("_more", F.when(F.col("_extra") * 2 >= F.col("_size"), 1).otherwise(0))
+    cols = ["_row", (F.col("_repeats") + F.col("_more")).cast("int").alias("_times")]
+    times = sure.select(*cols).unionByName(edge.select(*cols)).filter("_times > 0")
     return unboxed(times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))), docs.columns)
