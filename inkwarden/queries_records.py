@@ -385,3 +385,19 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     passes = _docs(spark, sf_dir).select(F.col("doc_id").alias("job"), F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).withColumn("doc_id", F.col("job"))
     rows = passes.select("job", ((k == 0) & (F.col("p") == 1)).alias("cancelled"), (k <= 1).alias("busy"), (k <= 2).alias("failed"), F.when(k == 3, F.col("p")).otherwise(0).alias("left"))
     return incremental.job_status(rows).select("job", "status")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 4 AS k, doc_id % 5 = 4 AS gone FROM documents), c AS (SELECT doc_id, k, gone, unnest(['config', 'server', 'tool']) AS kind FROM d)
+SELECT kind, CASE WHEN gone THEN 'BLOCKED' WHEN k = 0 THEN 'BLOCKED' WHEN k = 1 THEN 'REAPPROVAL_REQUIRED' ELSE 'PENDING_APPROVAL' END AS state, CASE WHEN NOT gone AND k < 2 THEN 2 ELSE 1 END AS version, NOT gone AS source_valid, count(*) AS n, 0::BIGINT AS violations FROM c GROUP BY ALL""")
+def catalogue_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration for each document, discovered twice, the second time with changes and without a fifth of the files."""
+    from .operators.catalogue import Catalogue
+    from .queries import _config
+
+    docs = _docs(spark, sf_dir)
+    of = lambda changed: docs.select(F.concat(F.lit("/c/"), _text("doc_id"), F.lit(".json")).alias("path"), _config(F.col("doc_id"), changed).alias("content"), "doc_id")
+    catalogue = Catalogue(spark, shared_folder(spark))
+    catalogue.discover(of(False).select("path", "content"))
+    catalogue.discover(of(True).filter("doc_id % 5 <> 4").select("path", "content"))
+    wrong = catalogue.violations().count()
+    return catalogue.current().groupBy("kind", "state", "version", "source_valid").agg(F.count("*").alias("n")).withColumn("violations", F.lit(wrong).cast("long"))

@@ -129,3 +129,33 @@ def test_remote_shell_reads_a_line_once():
     began = time.perf_counter()
     assert not cf.pipes_to_shell("curl x " * 400_000) and not cf.pipes_to_shell("curl a | " * 200_000)
     assert time.perf_counter() - began < 2
+
+
+def test_catalogue(spark, tmp_path):
+    from inkwarden.operators.catalogue import Catalogue
+
+    put = lambda **texts: spark.createDataFrame([(f"/x/{n}.json", bytearray(json.dumps(t).encode() if isinstance(t, dict) else t.encode())) for n, t in texts.items()], "path string, content binary")
+    other = {"mcpServers": {"two": {"command": "deno", "tools": []}}}
+    c = Catalogue(spark, str(tmp_path / "catalogue"))
+    assert c.current().count() == 0 and c.discover(put(a=SERVER, b=other)) == 1
+    rows = {r.name: r for r in c.current().collect()}
+    assert {r.state for r in rows.values()} == {"PENDING_APPROVAL"} and len(rows) == 5 and c.violations().count() == 0
+    tool = rows["t"]
+    with pytest.raises(ValueError):
+        c.approve(tool.component_id, "stale", 1, "me", "a1", "now")
+    assert c.head() == 1 and c.approve(tool.component_id, tool.canonical_hash, 1, "me", "a1", "now") == 2
+    # A refresh of one source leaves the others alone; what hasn't changed keeps its approval.
+    changed = {"mcpServers": {"two": {"command": "bash", "tools": []}}}
+    c.refresh("/x/b.json", put(a="{", b=changed))
+    now = {r.name: r for r in c.current().collect()}
+    assert (now["t"].state, now["t"].approval_id, now["two"].version, now["two"].state) == ("APPROVED", "a1", 2, "BLOCKED")
+    # A commit that never got its number is not seen.
+    c.current().limit(1).write.parquet(str(tmp_path / "catalogue" / "state" / "4"))
+    assert c.current().count() == 5
+    assert c.withdraw(tool.component_id, "REVOKED", "why") == 4 and {r.state for r in c.current().filter("name = 't'").collect()} == {"REVOKED"}
+    c.discover(put(b=changed))
+    gone = {r.name: r for r in c.current().collect()}
+    assert len(gone) == 5 and not gone["t"].source_valid and gone["two"].source_valid and c.violations().count() == 0
+    assert [r.event_type for r in c.events().filter(F.col("component_id") == tool.component_id).orderBy("sequence").collect()] == ["DISCOVERED", "APPROVED", "REVOKED", "SOURCE_UNAVAILABLE"]
+    c.new_policy()
+    assert c.current().filter("state = 'APPROVED'").count() == 0
