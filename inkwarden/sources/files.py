@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .extract import MAX_BYTES
+from .extract import FRONTMATTER_BYTES, FRONTMATTER_LINES, MAX_BYTES
 
 CONFIG_BYTES = 4 * 1024 * 1024
 
@@ -47,12 +47,29 @@ def format_col(filename: Column) -> Column:
     return F.when((base == ".env") | base.startswith(".env."), "env").when(base.contains("."), F.lower(F.regexp_extract(base, r"[^.]*$", 0))).otherwise("")
 
 
+def _front(text: Column) -> Column:
+    """Lines are looked at one by one: a regular expression over all of them would need a stack as deep as the block."""
+    lines = F.split(text, "\n")
+
+    def block(opener: str, closer: str) -> Column:
+        rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))
+        end = F.array_position(F.transform(rest, lambda x: F.rlike(x, F.lit(closer))), True)
+        content = F.concat(F.array_join(F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int")), "\n"), F.lit("\n"))
+        return F.when(F.rlike(F.element_at(lines, 1), F.lit(opener)) & (end > 1), content)
+
+    yaml, toml = block(r"^---[ \t]*\r?$", r"^(?:---|\.\.\.)[ \t]*\r?$"), block(r"^\+\+\+[ \t]*\r?$", r"^\+\+\+[ \t]*\r?$")
+    return F.when(text.startswith("---") & text.contains("\n"), yaml).when(text.startswith("+++") & text.contains("\n"), toml)
+
+
 def frontmatter_col(text: Column) -> Column:
-    """The closed block behind a first line ``---`` or ``+++``, null without one."""
-    # the frontmatter ends at the first closing line, so the body is the shortest that one follows
-    yaml = F.regexp_extract(text, r"^---[ \t]*\r?\n((?:[^\n]*\n)*?)(?:---|\.\.\.)[ \t]*\r?(?:\n|\z)", 1)
-    toml = F.regexp_extract(text, r"^\+\+\+[ \t]*\r?\n((?:[^\n]*\n)*?)\+\+\+[ \t]*\r?(?:\n|\z)", 1)
-    return F.when(yaml != "", yaml).when(toml != "", toml)
+    """The closed block behind a first line ``---`` or ``+++``, null without one or with one that is refused."""
+    return F.when(frontmatter_refusal(text).isNull(), _front(text))
+
+
+def frontmatter_refusal(text: Column) -> Column:
+    """FRONTMATTER_LIMIT for a block of too many lines or bytes."""
+    front = _front(text)
+    return F.when((F.octet_length(front) > FRONTMATTER_BYTES) | (F.regexp_count(front, F.lit("\n")) > FRONTMATTER_LINES), "FRONTMATTER_LIMIT")
 
 
 def config_files(spark: SparkSession, path: str) -> DataFrame:

@@ -179,3 +179,9 @@ def test_segments_and_variants(spark):
     assert got == {(1, "txt:source", "plain", None), (2, None, None, "UNSUPPORTED_FORMAT"), (4, "html:rendered-text", "\ns", None), (4, "html:hidden-nodes", "h\n", None)}
     texts = spark.createDataFrame([(1, "a%20b"), (2, "bad%ff"), (3, None), (4, "none")], "k long, t string")
     assert {tuple(r) for r in scan.variants_of(texts, "k", "t").collect()} == {(1, "url", "a b"), (2, "UnicodeDecodeError", None)}
+
+
+def test_frontmatter_column(spark):
+    texts = ["---\na: 1\n---\nx", "+++\na=1\n+++", "---\nno end", "---\n" + "a\n" * 4097 + "---\n", "---\n" + "a" * 70_000 + "\n---\n", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", files.frontmatter_col(F.col("t")).alias("f"), files.frontmatter_refusal(F.col("t")).alias("r")).orderBy("k").collect()
+    assert [(r.f, r.r) for r in rows] == [("a: 1\n", None), ("a=1\n", None), (None, None), (None, "FRONTMATTER_LIMIT"), (None, "FRONTMATTER_LIMIT"), (None, None)]
