@@ -294,12 +294,13 @@ def url_decode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.unquoted_udf(_behind(F.concat(F.lit("a%20b%26c%20"), F.col("doc_id").cast("string")))).alias("decoded"))
 
 
-#: The length of a text as Base64, and with the line ends that Spark puts behind every 76 characters.
+#: The length of a text as Base64, and with the line ends that Spark puts behind every 76 characters. Lines of Base64 behind a text
+#: that ends in a long word run on from that word, and don't decode.
 _B64 = "4 * (({0} + 2) // 3)"
-_SQL_LAYERS = f"""WITH a AS (SELECT doc_id, doc_id % 3 AS k, {_B64.format("(40 + length(doc_id::VARCHAR))")} AS e1 FROM documents), b AS (SELECT *, {_B64.format("(e1 + 2 * ((e1 - 1) // 76))")} AS e2 FROM a),
-c AS (SELECT *, {_B64.format("(e2 + 2 * ((e2 - 1) // 76))")} AS e3 FROM b), n AS (SELECT doc_id, k, CASE WHEN e1 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n1, CASE WHEN e2 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n2, CASE WHEN e3 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n3 FROM c)
+_SQL_LAYERS = f"""WITH a AS (SELECT doc_id, doc_id % 3 AS k, {_B64.format("(40 + length(doc_id::VARCHAR))")} AS e1, regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{{8,}}[ \\t]*\\r?$') AS runs_on FROM documents), b AS (SELECT *, {_B64.format("(e1 + 2 * ((e1 - 1) // 76))")} AS e2 FROM a),
+c AS (SELECT *, {_B64.format("(e2 + 2 * ((e2 - 1) // 76))")} AS e3 FROM b), n AS (SELECT doc_id, k, runs_on AND CASE k WHEN 0 THEN e1 WHEN 1 THEN e2 ELSE e3 END > 76 AS missed, CASE WHEN e1 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n1, CASE WHEN e2 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n2, CASE WHEN e3 > 76 THEN 'base64-wrapped' ELSE 'base64' END AS n3 FROM c)
 SELECT doc_id AS id, r.rule_id AS rule_id, 'HIGH' AS severity, r.category AS category, 'VISIBLE_CONTENT' AS layer, CASE k WHEN 0 THEN n1 WHEN 1 THEN n2 || '>' || n1 ELSE n3 || '>' || n2 || '>' || n1 END AS encoding, 1 AS line
-FROM n, (SELECT unnest([{{'rule_id': 'POLICY_OVERRIDE', 'category': 'PROMPT_INJECTION'}}, {{'rule_id': 'ENCODED_INSTRUCTION', 'category': 'OBFUSCATION'}}]) AS r)"""
+FROM n, (SELECT unnest([{{'rule_id': 'POLICY_OVERRIDE', 'category': 'PROMPT_INJECTION'}}, {{'rule_id': 'ENCODED_INSTRUCTION', 'category': 'OBFUSCATION'}}]) AS r) WHERE NOT missed"""
 
 
 @query(_SQL_LAYERS)
@@ -392,7 +393,7 @@ def html_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_SHOWN = r"""WITH p AS (SELECT page_id, html, regexp_replace(html, '<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs') AS body FROM pages),
-t AS (SELECT page_id, html, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '</(p|div|li|section|h1|h2)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS shown FROM p)
+t AS (SELECT page_id, html, regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '</(p|div|li|section|h1|h2)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g') AS shown FROM p)
 """
 
 
