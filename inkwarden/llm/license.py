@@ -12,7 +12,8 @@ template's words that it has, in order, must reach ``confirm``.
 A notice may be wrapped over lines. Runs of joined lines that no blank line parts
 (every start, several lengths, up to a run that has as many words as the longest
 template before its last line) are judged the same way, if a line in them has a
-word without which no template can be confirmed. A run counts as one paragraph,
+word without which no template can be confirmed, and if the lines around it have
+words enough of a template whose family isn't confirmed there already. A run counts as one paragraph,
 numbered by its first line, unless it overlaps or adjoins a confirmed one of its family.
 
 The unknown class is learned from at most ``sample`` lines of whole texts, of up to
@@ -31,8 +32,11 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +163,9 @@ class Model:
 
 _TOKEN = re.compile(r"[^\W_]+")
 _WORDS = {f: [_TOKEN.findall(t.lower()) for t in ts] for f, ts in TEMPLATES.items()}
+_COUNTS = [(f, Counter(t), len(t)) for f, ts in _WORDS.items() for t in ts]
+_VOCABULARY = frozenset(w for _, count, _ in _COUNTS for w in count)
+LONGEST = max(n for _, _, n in _COUNTS)
 
 
 def closeness(paragraph: str, family: str) -> float:
@@ -236,32 +243,75 @@ def needed_words(confirm: float) -> set[str]:
     return words
 
 
-def runs(lines: list[str], needed: set[str]) -> list[tuple[int, int]]:
-    """First and last line + 1 of the joined lines that are judged, counted over the lines that aren't blank."""
-    longest = max(len(t) for ts in _WORDS.values() for t in ts)
-    out, blocks, k = [], [[0, 0]], 0
+def runs(lines: list[str], needed: set[str], confirm: float, sure: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """First and last line + 1 of the joined lines that are judged, counted over the lines that aren't blank.
+
+    They lie around lines with a word that is needed, where lines together have enough words of a template;
+    lines at or beside one in ``sure`` (line, family) are not joined for the templates of its family.
+    """
+    text = "\n".join(lines).lower()
+    near = [w for w in needed if w in text]
+    if not near:
+        return []
+    blocks, k = [[0, 0]], 0
     for p in lines:
         if p.strip():
             k += 1
             blocks[-1][1] = k
         else:
             blocks.append([k, k])
-    full = [_TOKEN.findall(p.lower()) for p in lines if p.strip()]
-    has = np.cumsum([0] + [not needed.isdisjoint(t) for t in full])
-    words = np.cumsum([0] + [len(t) for t in full])
+    low = [p.lower() for p in lines if p.strip()]
+    known: dict[int, list[str]] = {}
+
+    def words(k: int) -> list[str]:
+        if k not in known:
+            known[k] = _TOKEN.findall(low[k])
+        return known[k]
+
+    marks = [k for k, p in enumerate(low) if any(w in p for w in near) and not needed.isdisjoint(words(k))]
+    regions: list[list[int]] = []
     for a, b in blocks:
-        if has[b] == has[a]:
-            continue
-        for i in range(a, b - 1):
-            n = 2
-            while True:
-                j = min(i + n, b)
-                if has[j] > has[i]:
-                    out.append((i, j))
-                if j == b or words[j - 1] - words[i] >= longest:
-                    break
-                n += max(1, n // 4)
-    return out
+        for p in marks[bisect_left(marks, a) : bisect_left(marks, b)] if b - a > 1 else ():
+            lo, n = p, 0
+            while lo > a and n < LONGEST:
+                lo -= 1
+                n += len(words(lo))
+            hi, n = p + 1, 0
+            while hi < b and n < LONGEST:
+                n += len(words(hi))
+                hi += 1
+            lo, hi = max(a, lo - (p - lo) // 4 - 1), min(b, hi + (hi - p) // 4 + 1)  # runs grow by a quarter at a time
+            if regions and lo < regions[-1][1] and regions[-1][0] >= a:
+                regions[-1][1] = max(hi, regions[-1][1])
+            else:
+                regions.append([lo, hi])
+    out: set[tuple[int, int]] = set()
+    for lo, hi in regions:
+        own = [_VOCABULARY.intersection(words(k)) for k in range(lo, hi)]
+        every = set().union(*own)
+        spans = set()
+        for family, count, size in _COUNTS:
+            if sum(n for w, n in count.items() if w in every) < confirm * size - 1e-6:
+                continue
+            cuts = sorted({k for c, f in sure if f == family for k in (c - 1, c, c + 1) if lo <= k < hi})
+            for a, b in zip([lo, *[c + 1 for c in cuts]], [*cuts, hi], strict=True):
+                if b - a > 1:
+                    some = set().union(*own[a - lo : b - lo])
+                    if sum(n for w, n in count.items() if w in some) >= confirm * size - 1e-6:
+                        spans.add((a, b))
+        for a, b in spans:
+            has = [0, *accumulate(k in set(marks[bisect_left(marks, a) : bisect_left(marks, b)]) for k in range(a, b))]
+            upto = [0, *accumulate(len(words(k)) for k in range(a, b))]
+            for i in range(a, b - 1):
+                n = 2
+                while True:
+                    j = min(i + n, b)
+                    if has[j - a] > has[i - a]:
+                        out.add((i, j))
+                    if j == b or upto[j - 1 - a] - upto[i - a] >= LONGEST:
+                        break
+                    n += max(1, n // 4)
+    return sorted(out)
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
@@ -295,7 +345,7 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 family = model.families[best[k]]
                 near = closeness(flat[k], family)
                 found[whose[k]].append({"paragraph": int(k - first[whose[k]]), "family": family, "probability": float(p[k, best[k]]), "similarity": near, "confirmed": near >= confirm})
-        joined = [(d, i, j) for d, ps in enumerate(raw) for i, j in runs(ps, needed)]
+        joined = [(d, i, j) for d, ps in enumerate(raw) for i, j in runs(ps, needed, confirm, [(x["paragraph"], x["family"]) for x in found[d] if x["confirmed"]])]
         for at in range(0, len(joined), RUNS):
             some = joined[at : at + RUNS]
             wrapped = [" ".join(lines[d][i:j]) for d, i, j in some]
