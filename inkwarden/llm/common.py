@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
+import inspect
 import tempfile
-import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,30 +56,59 @@ def in_shards(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) ->
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)))
     name = f"shards_{uuid.uuid4().hex}"
     remove(spark, folder := f"{shared_folder(spark)}/{name}", now=False)
-    rows.repartition(buckets, "shard").write.bucketBy(buckets, "shard").option("path", folder).saveAsTable(name, format="parquet")
+    with freeing_shuffles(spark):
+        rows.repartition(buckets, "shard").write.bucketBy(buckets, "shard").option("path", folder).saveAsTable(name, format="parquet")
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
     return table, folder, total
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made within let go of their shuffle files when they have run."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into :func:`shared_folder`.
+    """``df.checkpoint()`` into :func:`shared_folder`; the shuffle files behind it go at once.
 
     The files are on storage that all executors share, so a lost executor
     costs nothing, and Spark's cleaner removes them with the last reference.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with freeing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, on which Spark's cleaner removes the shuffle files of steps that are over.
+def _give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library keep what a large batch needed, in every worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
-    The gateway lets go of what Python has dropped once a second, so the JVM is asked after that.
-    """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
+
+def tidily(f: Callable) -> Callable:
+    """A function for Arrow batches that leaves no freed memory with its worker, which stays for other tasks."""
+
+    def done(out: object) -> object:
+        _give_back()
+        return out
+
+    def generator(batches):
+        yield from f(batches)
+        _give_back()
+
+    # Spark looks at how many arguments a function has.
+    forms = {1: lambda a: done(f(a)), 2: lambda a, b: done(f(a, b)), 3: lambda a, b, c: done(f(a, b, c))}
+    return generator if inspect.isgeneratorfunction(f) else forms[len(inspect.signature(f).parameters)]
 
 
 def shuffle_parts(spark: SparkSession) -> int:

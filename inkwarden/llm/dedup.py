@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut_lineage, shuffle_parts, unboxed
+from .common import boxed, cut_lineage, shuffle_parts, tidily, unboxed
 
 HOT_SHARE = 10_000
 SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long"
@@ -128,6 +128,7 @@ def _rows(entries: list[list]) -> pa.RecordBatch:
 def fold(max_live: int, by_bucket: bool):
     """Arrow batches of SCHEMA to batches of SCHEMA with equal digests folded."""
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, bucket = CuckooIndex(), None
         for batch in batches:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut_lineage, in_shards, release, remove, shuffle_parts, small, unboxed
+from .common import boxed, cut_lineage, in_shards, remove, shuffle_parts, small, tidily, unboxed
 from .graph import components
 from .shingles import shingle_sets
 
@@ -94,6 +94,7 @@ def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_byt
     def known(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(_cut(np.concatenate(sets), width), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
+    @tidily
     def first(table: pa.Table) -> pa.Table:
         short, counts = known(_shard_sets(table, size))
         cut, s = ranges(short), table.column("shard")[0].as_py()
@@ -102,6 +103,7 @@ def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_byt
         n = [zlib.compress(np.minimum(counts[cut[k] : cut[k + 1]], 65535).astype(np.uint16).tobytes(), 1) for k in some]
         return pa.table([pa.array(some, pa.int64()), pa.array([s] * len(some), pa.int64()), pa.array(raw, pa.binary()), pa.array(n, pa.binary())], names=["part", "shard", "raw", "n"])
 
+    @tidily
     def level(table: pa.Table) -> pa.Table:
         shorts, sizes = [], []
         for raw in table.column("raw").to_pylist():
@@ -117,10 +119,9 @@ def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_byt
 
     met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, raw binary, n binary")
     levels = cut_lineage(met.groupBy("part").applyInArrow(level, "part long, shard long, levels binary"))
-    del met
-    release(texts.sparkSession)
     arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
+    @tidily
     def second(key, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
@@ -153,6 +154,7 @@ def whole_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """digest and set (sorted uint64) of each row."""
     arrow = pa.schema([("digest", pa.binary()), ("set", pa.binary())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _batches(batch, 0, size):
@@ -167,6 +169,7 @@ def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
     near = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
     both = pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -192,6 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, te
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -305,6 +309,7 @@ def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
         before = {r[3]: frozenset(t for t in r[7] if t < token) for r in run}
         return [(min(a, b), max(a, b)) for x, y in traverse(trees[0], trees[-1], num, den) for a, b in zip(x.tolist(), y.tolist(), strict=True) if before[a].isdisjoint(before[b])]
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
@@ -330,30 +335,24 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number of the group, null without words) and mark (a hash of the text)."""
     spark = docs.sparkSession
     texts, folder, total = in_shards(docs, id_col, text_col, shard_bytes)
-    release(spark)
     rows = cut_lineage(nodes(texts, total, size, num, den, shard_bytes).withColumn("uid", F.monotonically_increasing_id()))
     remove(spark, folder)
-    release(spark)
     first = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")))
     marks = rows.select("uid", "n", "bitmap")
     tokens = rows.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("tokens").alias("token"))
     buckets = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).filter("size > 1"))
     shared = cut_lineage(tokens.join(buckets, "token").select("token", "size", "pivot", "uid", "n"))
-    release(spark)
     pairs = shared.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
     pairs = cut_lineage(plausible(pairs, marks, num, den))
     links = cut_lineage(verified(pairs, docs, rows, id_col, text_col, size, num, den))
-    release(spark)
     comps = components(links)
     placed = shared.filter("size > 2").join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
     placed = cut_lineage(placed.select("token", "uid", "n", "comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     open_rows = cut_lineage(placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "uid", "n", "bitmap", "comp"))
     more = cut_lineage(candidates(open_rows, num, den, block).join(pairs, ["a", "b"], "left_anti"))
-    release(spark)
-    links = cut_lineage(links.unionByName(verified(more, docs, rows, id_col, text_col, size, num, den)))
-    release(spark)
-    comps = components(links)
+    if not more.isEmpty():
+        comps = components(cut_lineage(links.unionByName(verified(more, docs, rows, id_col, text_col, size, num, den))))
     members = first.join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     names = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = members.join(names, "component").select("digest", "component_id", "component")

@@ -46,9 +46,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, key_of, small
+from .common import cut_lineage, key_of, small, tidily
 
-MEMO = 1_000_000
+MEMO = 400_000
 MAX_QUEUES = 65_536
 QUANTUM, LONG = 16, 64 * 1024
 BROADCAST_ROWS = 200_000
@@ -68,54 +68,82 @@ class Pieces:
     """Token ids of pieces of text by their bytes: a hash table that whole arrays of pieces are looked up in.
 
     A piece of up to 16 bytes is compared by two words and its length; longer
-    ones, and those whose few places are taken, are kept in a dictionary.
+    ones, and those whose few places are taken, are kept in a dictionary. Beyond
+    ``most`` pieces those stay that came more than once since the last time.
     """
 
     PROBES = 4
+    KINDS = (("lo", np.uint64), ("hi", np.uint64), ("length", np.int32), ("start", np.int32), ("count", np.int32), ("uses", np.int32))
 
     def __init__(self, encode, most: int):
         self.encode, self.most = encode, most
         self.bits = max(8, (2 * most).bit_length())
-        self.clear()
+        self._start()
 
-    def clear(self) -> None:
+    def _start(self) -> None:
         self.table = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.lo, self.hi, self.length = (np.zeros(1024, dtype=t) for t in (np.uint64, np.uint64, np.int32))
-        self.start, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        for name, kind in self.KINDS:
+            setattr(self, name, np.zeros(1024, dtype=kind))
         self.ids, self.used, self.n = np.zeros(4096, dtype=np.uint32), 0, 0
         self.rest: dict[bytes, int] = {}
 
-    def add(self, pieces: list[bytes], lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> None:
-        """New pieces, with the words and places that :meth:`find` has made of them."""
-        ids = [self.encode(p) for p in pieces]
-        counts, length = np.array([len(x) for x in ids], dtype=np.int64), np.array([len(p) for p in pieces], dtype=np.int32)
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-        first = self.n
-        for name, new in (("lo", lo), ("hi", hi), ("length", length), ("start", self.used + np.cumsum(counts) - counts), ("count", counts)):
-            setattr(self, name, _put(getattr(self, name), first, new))
-        self.ids = _put(self.ids, self.used, flat)
-        self.used, self.n = self.used + len(flat), first + len(pieces)
-        left = np.flatnonzero(length <= 16)
-        long = np.flatnonzero(length > 16).tolist()
+    def _hash(self, lo: np.ndarray, hi: np.ndarray, length: np.ndarray) -> np.ndarray:
+        h = (lo ^ (hi * np.uint64(0x9E3779B97F4A7C15)) ^ length.astype(np.uint64)) * np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _place(self, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Put pieces where their hashes say; returns which of them found no place."""
+        left = np.arange(len(h))
         for r in range(self.PROBES):
             at = (h[left] + r) & ((1 << self.bits) - 1)
             free = np.flatnonzero(self.table[at] < 0)
-            self.table[at[free]] = first + left[free]
-            left = left[self.table[at] != first + left]
-        for k in long + left.tolist():
+            self.table[at[free]] = numbers[left[free]]
+            left = left[self.table[at] != numbers[left]]
+        return left
+
+    def _append(self, ids: np.ndarray, **columns: np.ndarray) -> int:
+        first, columns["start"] = self.n, self.used + np.cumsum(columns["count"]) - columns["count"]
+        for name, _ in self.KINDS:
+            setattr(self, name, _put(getattr(self, name), first, columns[name]))
+        self.ids = _put(self.ids, self.used, ids)
+        self.used, self.n = self.used + len(ids), first + len(columns["count"])
+        return first
+
+    def trim(self) -> None:
+        kept = np.flatnonzero(self.uses[: self.n] > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.most // 2]])
+        columns = {name: getattr(self, name)[kept] for name, _ in self.KINDS}
+        ids = self.ids[spread(columns["start"].astype(np.int64), columns["count"])]
+        number = np.full(self.n, -1)
+        number[kept] = np.arange(len(kept))
+        rest = {piece: int(number[k]) for piece, k in self.rest.items() if number[k] >= 0}
+        self._start()
+        self._append(ids, **columns | {"uses": np.zeros(len(kept), np.int32)})
+        self.rest, in_table = rest, np.ones(len(kept), dtype=bool)
+        in_table[list(rest.values())] = False
+        at = np.flatnonzero(in_table)
+        self._place(self._hash(columns["lo"][at], columns["hi"][at], columns["length"][at]), at)
+
+    def add(self, pieces: list[bytes], lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> None:
+        """New pieces, with the words and places that :meth:`find` has made of them."""
+        ids = [self.encode(p) for p in pieces]
+        count, length = np.array([len(x) for x in ids]), np.array([len(p) for p in pieces])
+        first = self._append(np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum())), lo=lo, hi=hi, length=length, count=count, uses=np.zeros(len(pieces)))
+        short = np.flatnonzero(length <= 16)
+        for k in np.concatenate([np.flatnonzero(length > 16), short[self._place(h[short], first + short)]]).tolist():
             self.rest[pieces[k]] = first + k
 
     def find(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each piece ``data[start:end]``, those that are new included; ``data`` ends in 16 bytes more."""
         if self.n > self.most:
-            self.clear()
+            self.trim()
         words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
         length = ends - starts
         lo = words[starts] & _MASKS[np.minimum(length, 8)]
         hi = words[np.minimum(starts + 8, len(words) - 1)] & _MASKS[np.clip(length - 8, 0, 8)]
-        h = (lo ^ (hi * np.uint64(0x9E3779B97F4A7C15)) ^ length.astype(np.uint64)) * np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(29)
-        h = ((h * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        h = self._hash(lo, hi, length)
         out = np.full(len(starts), -1, dtype=np.int64)
         left = np.flatnonzero(length <= 16)
         for r in range(self.PROBES):
@@ -137,13 +165,14 @@ class Pieces:
         for j in missing:
             piece = data[starts[j] : ends[j]]
             out[j] = self.rest[piece] if piece in self.rest else new[piece]
+        self.uses[: self.n] += np.bincount(out, minlength=self.n).astype(np.int32)
         return out
 
 
 def _put(old: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
     """``new`` written at ``at``, in a longer array if it must be."""
     if at + len(new) > len(old):
-        old = np.concatenate([old, np.zeros(max(len(old), at + len(new) - len(old)), dtype=old.dtype)])
+        old = np.concatenate([old, np.zeros(max(len(old) // 2, at + len(new) - len(old)), dtype=old.dtype)])
     old[at : at + len(new)] = new
     return old
 
@@ -206,7 +235,7 @@ class Encoder:
         full = np.flatnonzero(stops > starts)
         k = self.pieces.find(data, starts[full], stops[full])
         n = self.pieces.count[k]
-        ids = self.pieces.ids[spread(self.pieces.start[k], n)]
+        ids = self.pieces.ids[spread(self.pieces.start[k].astype(np.int64), n)]
         sizes = np.bincount(doc[full], weights=n, minlength=len(plain)).astype(np.int64)
         for k, own in zip(plain, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
             out[k] = own
@@ -224,6 +253,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, queue, end
     schema = "doc_id long, queue string, part int, before long, n long, ids binary"
     arrow = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, sent = encoder_of(path), TaskContext.get().partitionId(), {}
         narrow = np.uint16 if encoder.tok.get_vocab_size() <= 65536 and end_id < 65536 else np.uint32
@@ -239,10 +269,11 @@ def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str, queue, end
 
         some, weight = [], 0
         for batch in batches:
-            for doc, q, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                doc, q, text = (c[k].as_py() for c in batch.columns)
                 some.append((doc, q, text or ""))
                 weight += len(text or "")
-                if weight > FLUSH_BYTES // 2:
+                if weight > FLUSH_BYTES // 4:
                     yield encoded(some)
                     some, weight = [], 0
         if some:
@@ -413,6 +444,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, out, weight = Schedule(counts, shares, sequence), [], 0
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cut_lineage, key_of, small, unboxed
+from .common import boxed, cut_lineage, key_of, small, tidily, unboxed
 
 BROADCAST_PATHS = 100_000
 #: Characters counted as symbols.
@@ -57,8 +57,9 @@ def statistics(text: str) -> list[float]:
     return [*(math.log1p(200.0 * c / n) for c in (*counts, capitals)), math.log1p(n_words) / 2, math.log1p(len(text) / n_words), len(set(words)) / n_words * 4.0, len(set(lines)) / len(lines) * 2.0]
 
 
+@tidily
 def _measured(texts: pa.Array) -> np.ndarray:
-    rows = [statistics(t or "") for t in texts.to_pylist()]
+    rows = [statistics(t.as_py() or "") for t in texts]  # one at a time, as a batch may be long
     return np.array(rows).reshape(len(rows), N_STATISTICS)
 
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, tidily
 from .shingles import word_hashes
 
 BLOCK, AHEAD = 64, 4
@@ -88,6 +88,7 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         columns = (np.array(ids, np.int64)[order], np.array([len(w) for w in words], dtype=np.int32)[order], terms, counts, docs, freqs)
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], schema=arrow)
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words, size = [], [], 0
         for batch in batches:
@@ -188,6 +189,7 @@ class Shard:
 def packed(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrow = pa.schema([("id", pa.int64()), ("terms", pa.binary()), ("n", pa.int64())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = [np.unique(terms_of(t)) for t in batch.column(1).to_pylist()]
@@ -202,6 +204,7 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
     every = np.unique(terms)
     asked = sc.broadcast(every)
 
+    @tidily
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked.value), dtype=np.int64)
         for batch in batches:
@@ -231,6 +234,7 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
     slots = max(1, math.isqrt(shards.rdd.getNumPartitions()))
     arrow = pa.schema([("chunk", pa.int64()), ("slot", pa.int64()), ("query", pa.binary()), ("doc", pa.binary()), ("score", pa.binary())])
 
+    @tidily
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, cut, terms, weights, common = asked_of.value
         place = np.searchsorted(common, terms)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, in_shards, release
+from .common import cut_lineage, in_shards, tidily
 from .shingles import _BYTES, _mix
 
 LENGTH, GRAM = 50, 32
@@ -228,13 +228,13 @@ def _uncut(raw: bytes, width: int) -> np.ndarray:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
     rows, _, total = in_shards(docs, id_col, text_col, shard_bytes)
-    release(docs.sparkSession)
     parts = max(1, total // (4 * shard_bytes))
     width = 5
     while width < 8 and (total >> 3) > 1 << (8 * width - 8):
         width += 1
     hashes = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("several", pa.binary()), ("raw", pa.binary())])
 
+    @tidily
     def first(table: pa.Table) -> pa.Table:
         shard = _shard(table)
         short, several, _ = shard.short(width)
@@ -243,6 +243,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         some = [k for k in range(parts) if cut[k] < cut[k + 1]]
         return pa.table([[k for k in some], [s] * len(some), [np.packbits(several[cut[k] : cut[k + 1]]).tobytes() for k in some], [_cut(short[cut[k] : cut[k + 1]], width) for k in some]], schema=hashes)
 
+    @tidily
     def common(table: pa.Table) -> pa.Table:
         shorts = [_uncut(x, width) for x in table.column("raw").to_pylist()]
         sizes = [len(x) for x in shorts]
@@ -255,8 +256,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, several binary, raw binary")
     bits = cut_lineage(met.groupBy("part").applyInArrow(common, "part long, shard long, bits binary"))
-    del met
-    release(docs.sparkSession)
 
     def known(shard: Shard, bits: list[tuple[int, bytes]]) -> np.ndarray:
         """Which anchors are repeated, by the bits of each part."""
@@ -268,6 +267,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     sent = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("hashes", pa.binary()), ("columns", pa.binary()), ("ids", pa.binary())])
 
+    @tidily
     def second(key, table: pa.Table, bits: pa.Table) -> pa.Table:
         if not table.num_rows or not bits.num_rows:
             return sent.empty_table()
@@ -279,6 +279,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rows = [(k, key[0].as_py(), h[s].tobytes(), columns[:, s].tobytes(), least[s].tobytes()) for k, s in enumerate(some) if s.start < s.stop]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), sent, strict=True)], schema=sent) if rows else sent.empty_table()
 
+    @tidily
     def decide(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
@@ -298,11 +299,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     contexts = rows.groupBy("shard").cogroup(bits.groupBy("shard")).applyInArrow(second, "part long, shard long, hashes binary, columns binary, ids binary")
     masks = cut_lineage(contexts.groupBy("part").applyInArrow(decide, "part long, shard long, masks binary"))
-    del contexts
-    release(docs.sparkSession)
     told = bits.join(masks, ["part", "shard"], "left")
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
+    @tidily
     def last(key, table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()
