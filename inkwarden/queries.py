@@ -1,4 +1,4 @@
-"""The reference operators as named queries over the driver's tables, with their DuckDB SQL.
+"""The operators as named queries over the driver's tables, with their DuckDB SQL.
 
 The tables hold none of the texts the rules look for, so the queries plant
 payloads by a deterministic expression that both engines evaluate.
