@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, dedup, jaccard, langid, license, mixing, packing, quality, search, suffix_dedup, toxicity
+from . import align, collocations, dedup, jaccard, langid, license, mixing, packing, quality, search, suffix_dedup, toxicity
 from .common import boxed, cut_lineage, table
 
 
@@ -60,6 +60,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_topk_search": op2_topk_search,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -95,4 +100,26 @@ c AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.reps, p.goal - p.reps
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (reps * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM c""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, unnest(list_transform(range(1, len(w) + 1), lambda k: struct_pack(x := w[k], y := w[k + 1], z := w[k + 2]))) AS t FROM w),
+g AS (SELECT lang, t.x AS x, t.y AS y, t.z AS z FROM t),
+f1 AS (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING f >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+o AS (SELECT lang, x, y, max(f) AS most FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+c2 AS (SELECT f2.lang, x || ' ' || y AS phrase, f2.f AS a, p.f AS l, q.f AS r FROM f2
+       JOIN f1 p USING (lang, x) JOIN f1 q ON q.lang = f2.lang AND q.x = f2.y LEFT JOIN o USING (lang, x, y) WHERE most IS NULL OR 100 * most < 50 * f2.f),
+c3 AS (SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.f AS a, p.f AS fx, h.f AS fxy, t.f AS fyz, q.f AS fz FROM f3
+       JOIN f1 p ON p.lang = f3.lang AND p.x = f3.x JOIN f1 q ON q.lang = f3.lang AND q.x = f3.z
+       JOIN f2 h ON h.lang = f3.lang AND h.x = f3.x AND h.y = f3.y JOIN f2 t ON t.lang = f3.lang AND t.x = f3.y AND t.y = f3.z),
+s AS (SELECT lang, phrase, a, l, r, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM c2
+      UNION ALL SELECT lang, phrase, a, c.l, c.r, c.score FROM (SELECT lang, phrase, a, least(
+          struct_pack(score := (1000000::HUGEINT * a * a // (fx::HUGEINT * fyz))::BIGINT, k := 1, l := fx, r := fyz),
+          struct_pack(score := (1000000::HUGEINT * a * a // (fxy::HUGEINT * fz))::BIGINT, k := 2, l := fxy, r := fz)) AS c FROM c3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000""",
 }
