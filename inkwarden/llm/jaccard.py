@@ -17,14 +17,25 @@ least ``numerator / denominator``. No link is lost:
    largest possible overlap is too small for their smallest sizes, or which are
    one component already. The pairs left are tested on the whole sets.
 
+A linked pair that shares a rare shingle (under ``2 ** FREQUENT`` texts) meets in the
+bucket of one. In a bucket of a frequent shingle only pairs count that share nothing
+rare, so their overlap is at most the number of frequent shingles of either, f: the
+partner of a set of n has at most ``hi = f (1 + t) / t - n`` shingles. A row whose hi is
+below what its own size asks for leaves such a bucket, and rows whose hi is below
+their own n ("low") link with others than low ones only: a bucket without any goes
+whole, and blocks of low rows are never dealt to each other. Texts made from one
+template with parts of their own, too far apart to link, therefore cost a row each and
+not a pair for each two of them.
+
 Counts come from shards of texts: a shard sends its shingles' hashes by range
 and gets a level for each back.
 
 A bucket over ``block`` rows is split by size, so that a row meets its own class and
-the next ones only, and large classes into blocks; pairs of blocks are traversed by
-tasks of their own. A pair is given once, not in every bucket that it shares: each
+the next ones only, and by being low, and what is still large into blocks; pairs of
+blocks that may link are traversed by tasks of their own. A pair is given once, not in every bucket that it shares: each
 row carries its first ``EARLY`` open tokens, and a bucket passes over pairs that
-have an earlier one in common.
+have an earlier one in common; the commonest of those are bits of the tree's nodes, so
+that a bucket whose rows have all met before costs no pair.
 
 Cases: null or blank text has an empty set and links with nothing; fewer words
 than a shingle form one; a null id is its own row and never a component's name
@@ -37,7 +48,8 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +65,11 @@ SHARD_BYTES = 2_000_000
 BROADCAST_IDS = 200_000
 BROADCAST_BUCKETS = 10_000
 BITS = 1024
-LEAF, FAN = 16, 8
+LEAF, FAN = 64, 8
 EARLY = 32
+#: A shingle is frequent from 2 ** FREQUENT texts on.
+FREQUENT = 8
+NO_BOUND = 1 << 62
 
 
 def _batches(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -81,7 +96,7 @@ def _cut(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_bytes: int) -> DataFrame:
-    """doc_id, mark (of the text), n, digest, bitmap and tokens (those of the prefix that more than one text may have) of each row of :func:`in_shards`."""
+    """doc_id, mark (of the text), n, hi, digest, bitmap and tokens (those of the prefix that more than one text may have; negative ones are rare) of each row of :func:`in_shards`."""
     parts, width = max(1, total // (4 * shard_bytes)), 5
     while width < 8 and total > 1 << (8 * width - 6):
         width += 1
@@ -119,7 +134,7 @@ def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_byt
 
     met = rows.groupBy("shard").applyInArrow(first, "part long, shard long, raw binary, n binary")
     levels = cut_lineage(met.groupBy("part").applyInArrow(level, "part long, shard long, levels binary"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("digest", pa.binary()), ("bitmap", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     @tidily
     def second(key, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -130,14 +145,17 @@ def nodes(texts: DataFrame, total: int, size: int, num: int, den: int, shard_byt
         cut, of = ranges(short), np.zeros(len(short), dtype=np.uint8)
         for part, raw in zip(told.column("part").to_pylist(), told.column("levels").to_pylist(), strict=True):
             of[cut[part] : cut[part + 1]] = np.frombuffer(zlib.decompress(raw), np.uint8)
-        tokens = []
+        tokens, hi = [], []
         for s in sets:
             own = of[np.searchsorted(short, _cut(s, width))]
             first = np.lexsort((s, own))[: prefix_length(len(s), num, den) if len(s) else 0]
-            tokens.append(s[first[own[first] > 0]].view(np.int64))
-        return pa.table([table.column("doc_id"), table.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], schema=arrow)
+            first = first[own[first] > 0]
+            token = (s[first] >> np.uint64(1)).view(np.int64)
+            tokens.append(np.where(own[first] < FREQUENT, ~token, token))
+            hi.append(int((own >= FREQUENT).sum()) * (num + den) // num - len(s))
+        return pa.table([table.column("doc_id"), table.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], schema=arrow)
 
-    return rows.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(second, "doc_id long, mark long, n long, digest binary, bitmap binary, tokens array<long>")
+    return rows.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(second, "doc_id long, mark long, n long, hi long, digest binary, bitmap binary, tokens array<long>")
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -213,19 +231,21 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, te
 
 
 class SignatureTree:
-    """Rows of a bucket, by size, under nodes with OR-combined bitmaps, size ranges and components."""
+    """Rows of a bucket, by size, under nodes with OR-combined bitmaps, size ranges, components, the largest size of a partner, and what other buckets all rows have been seen in (bits)."""
 
-    def __init__(self, uid: np.ndarray, n: np.ndarray, bitmap: np.ndarray, comp: np.ndarray):
-        order = np.lexsort((uid, n, comp))
-        self.uid, self.n, self.comp = uid[order], n[order], comp[order]
+    def __init__(self, uid: np.ndarray, n: np.ndarray, bitmap: np.ndarray, comp: np.ndarray, hi: np.ndarray | None = None, seen: np.ndarray | None = None):
+        hi = np.full(len(uid), NO_BOUND) if hi is None else hi
+        seen = np.zeros(len(uid), np.uint64) if seen is None else seen
+        order = np.lexsort((uid, n, comp, hi < n, seen))
+        self.uid, self.n, self.comp, self.hi, self.seen = uid[order], n[order], comp[order], hi[order], seen[order]
         self.bits = np.ascontiguousarray(bitmap[order]).view(np.uint64)
         self.excess = self.n - np.bitwise_count(self.bits).sum(1).astype(np.int64)
         starts = np.arange(0, len(uid), LEAF)
-        level = (np.bitwise_or.reduceat(self.bits, starts), np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts), np.maximum.reduceat(self.excess, starts), np.minimum.reduceat(self.comp, starts), np.maximum.reduceat(self.comp, starts))
+        level = (np.bitwise_or.reduceat(self.bits, starts), np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts), np.maximum.reduceat(self.excess, starts), np.minimum.reduceat(self.comp, starts), np.maximum.reduceat(self.comp, starts), np.maximum.reduceat(self.hi, starts), np.bitwise_and.reduceat(self.seen, starts))
         self.levels = [level]
         while len(level[1]) > 1:
             starts = np.arange(0, len(level[1]), FAN)
-            level = tuple(f.reduceat(x, starts) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            level = tuple(f.reduceat(x, starts) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum, np.maximum, np.bitwise_and), level, strict=True))
             self.levels.append(level)
 
     def leaf(self, k: int) -> slice:
@@ -237,9 +257,9 @@ def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator
 
     def hopeless(lx: int, i: int, ly: int, j: int) -> bool:
         a, b = x.levels[lx], y.levels[ly]
-        if a[4][i] == a[5][i] == b[4][j] == b[5][j]:
+        if a[4][i] == a[5][i] == b[4][j] == b[5][j] or a[7][i] & b[7][j]:
             return True
-        if den * a[2][i] < num * b[1][j] or den * b[2][j] < num * a[1][i]:
+        if den * a[2][i] < num * b[1][j] or den * b[2][j] < num * a[1][i] or a[6][i] < b[1][j] or b[6][j] < a[1][i]:
             return True
         most = int(np.bitwise_count(a[0][i] & b[0][j]).sum()) + int(min(a[3][i], b[3][j]))
         return (num + den) * most < num * int(a[1][i] + b[1][j])
@@ -256,7 +276,7 @@ def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator
             inside = np.bitwise_count(x.bits[s, None] & y.bits[None, t]).sum(2).astype(np.int64)
             own, other = np.bitwise_count(x.bits[s]).sum(1).astype(np.int64)[:, None], np.bitwise_count(y.bits[t]).sum(1).astype(np.int64)[None]
             most = np.minimum(n - (own - inside), m - (other - inside))
-            ok = (x.comp[s, None] != y.comp[None, t]) & ((num + den) * most >= num * (n + m))
+            ok = (x.comp[s, None] != y.comp[None, t]) & (x.hi[s, None] >= m) & (y.hi[None, t] >= n) & (x.seen[s, None] & y.seen[None, t] == 0) & ((num + den) * most >= num * (n + m))
             if x is y and i == j:
                 ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
             a, b = np.nonzero(ok)
@@ -274,64 +294,81 @@ def traverse(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator
 
 def _classed(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Each row once for each pair of blocks of its bucket that it may find a partner in: token, i, j, mine, and its own columns."""
-    # Sets that link are of one class or of neighbouring ones.
+    # Sets that link are of one class or of neighbouring ones, and not both low.
     klass = F.floor(F.log("n") / math.log(den / num) * (1 - 1e-9)).cast("long") if num < den else F.col("n")
-    sizes = rows.withColumn("klass", klass).groupBy("token", "klass").agg(F.count("*").alias("k"))
+    kind = klass * 2 + (F.col("hi") < F.col("n")).cast("long")
+    sizes = rows.withColumn("kind", kind).groupBy("token", "kind").agg(F.count("*").alias("k"))
     few = rows.groupBy("token").agg(F.count("*").alias("all"))
     blocks = sizes.join(few.filter(F.col("all") > block), "token").withColumn("blocks", F.ceil(F.col("k") / block).cast("long"))
-    base = F.col("klass") * (1 << 20)
-    codes = blocks.groupBy("token").agg(F.flatten(F.collect_list(F.sequence(base, base + F.col("blocks") - 1))).alias("codes"), F.map_from_entries(F.collect_list(F.struct("klass", "blocks"))).alias("of"))
-    known = rows.withColumn("klass", klass).join(small(codes, BROADCAST_BUCKETS), "token", "left")
-    own = F.col("klass") * (1 << 20) + F.pmod(F.xxhash64("uid"), F.element_at("of", F.col("klass")))
-    near = F.filter("codes", lambda c: F.abs(F.shiftright(c, 20) - F.col("klass")) <= 1)
+    base = F.col("kind") * (1 << 20)
+    codes = blocks.groupBy("token").agg(F.flatten(F.collect_list(F.sequence(base, base + F.col("blocks") - 1))).alias("codes"), F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("of"))
+    known = rows.withColumn("kind", kind).join(small(codes, BROADCAST_BUCKETS), "token", "left")
+    own = F.col("kind") * (1 << 20) + F.pmod(F.xxhash64("uid"), F.element_at("of", F.col("kind")))
+    apart = lambda c: F.abs(F.shiftright(c, 21) - F.shiftright(F.col("kind"), 1))
+    near = F.filter("codes", lambda c: (apart(c) <= 1) & (F.shiftright(c, 20).bitwiseAND(1).bitwiseAND(F.col("kind")) == 0))
     dealt = known.withColumn("mine", F.coalesce(own, F.lit(0).cast("long"))).withColumn("other", F.explode(F.coalesce(near, F.array(F.lit(0).cast("long")))))
-    return dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "uid", "n", "bitmap", "comp", "early")
+    return dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "uid", "n", "bitmap", "comp", "hi", "early")
 
 
-def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (a < b) from rows (token, uid, n, bitmap, comp) of the buckets that hold several components."""
+def dealt(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """The rows (token, uid, n, bitmap, comp and maybe hi) with the first tokens of each, as tasks get them."""
+    rows = rows if "hi" in rows.columns else rows.withColumn("hi", F.lit(NO_BOUND))
     early = rows.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, EARLY).alias("early"))  # of one row's prefix
-    dealt = _classed(rows.join(early, "uid"), num, den, block)
-    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return _classed(rows.join(early, "uid"), num, den, block)
+
+
+def candidates(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs (a < b) from rows (token, uid, n, bitmap, comp and maybe hi) of the buckets that hold several components."""
+    placed = dealt(rows, num, den, block)
+    placed = placed.repartition(shuffle_parts(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(token: int, run: list[tuple]) -> list[tuple[int, int]]:
+    def join(token: int, run: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(run) < 2:
-            return []
+            return
         i, j = run[0][0], run[0][1]
+        earlier = Counter(t for r in run for t in r[8] if t < token)
+        bit = {t: 1 << k for k, (t, _) in enumerate(earlier.most_common(64))}
         trees = []
         for b in dict.fromkeys((i, j)):
             own = [r for r in run if r[2] == b]
             if own:
-                trees.append(SignatureTree(np.array([r[3] for r in own]), np.array([r[4] for r in own]), np.frombuffer(b"".join(r[5] for r in own), np.uint8).reshape(len(own), -1), np.array([r[6] for r in own])))
+                uid, n, bits, comp, hi, early = zip(*(r[3:9] for r in own), strict=True)
+                seen = np.array([sum(bit.get(t, 0) for t in e) for e in early], dtype=np.uint64)
+                trees.append(SignatureTree(np.array(uid), np.array(n), np.frombuffer(b"".join(bits), np.uint8).reshape(len(own), -1), np.array(comp), np.array(hi), seen))
         if len(trees) < (1 if i == j else 2):
-            return []
-        before = {r[3]: frozenset(t for t in r[7] if t < token) for r in run}
-        return [(min(a, b), max(a, b)) for x, y in traverse(trees[0], trees[-1], num, den) for a, b in zip(x.tolist(), y.tolist(), strict=True) if before[a].isdisjoint(before[b])]
-
-    @tidily
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            return
+        before = {r[3]: frozenset(t for t in r[8] if t < token) for r in run} if len(earlier) > len(bit) else defaultdict(frozenset)
+        for x, y in traverse(trees[0], trees[-1], num, den):
+            found = [(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True) if before[a].isdisjoint(before[b])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=arrow)
 
+    return placed.mapInArrow(in_runs(join), "a long, b long").distinct()
+
+
+def in_runs(join: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for Arrow batches that gives ``join`` the rows with equal first three columns together, without the first of them."""
+
+    @tidily
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, some = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(9)]
+            cols = [c.to_pylist() for c in batch.columns]
             for k in range(batch.num_rows):
                 now = cols[0][k], cols[1][k], cols[2][k]
                 if now != key and some:
-                    yield from out(join(key[0], some))
+                    yield from join(key[0], some)
                     some = []
                 key = now
                 some.append(tuple(c[k] for c in cols[1:]))
         if some:
-            yield from out(join(key[0], some))
+            yield from join(key[0], some)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 500, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, block: int = 32_768, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, component (a number of the group, null without words) and mark (a hash of the text)."""
     spark = docs.sparkSession
     texts, folder, total = in_shards(docs, id_col, text_col, shard_bytes)
@@ -339,17 +376,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     remove(spark, folder)
     first = cut_lineage(rows.filter("n > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least_id")))
     marks = rows.select("uid", "n", "bitmap")
-    tokens = rows.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("tokens").alias("token"))
-    buckets = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).filter("size > 1"))
-    shared = cut_lineage(tokens.join(buckets, "token").select("token", "size", "pivot", "uid", "n"))
+    tokens = rows.join(first.select("uid"), "uid", "left_semi").select("uid", "n", F.explode("tokens").alias("token"), "hi")
+    tokens = tokens.withColumn("hi", F.when(F.col("token") < 0, F.lit(NO_BOUND)).otherwise(F.col("hi"))).filter(F.col("hi") >= F.ceil(F.col("n") * num / den) - 1)
+    pivot = F.min(F.struct((F.col("hi") < F.col("n")).alias("low"), F.col("uid"))).alias("pivot")
+    buckets = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("size"), pivot).filter("size > 1 AND NOT pivot.low").withColumn("pivot", F.col("pivot.uid")))
+    shared = cut_lineage(tokens.join(buckets, "token").select("token", "size", "pivot", "uid", "n", "hi"))
     pairs = shared.filter("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
     pairs = cut_lineage(plausible(pairs, marks, num, den))
     links = cut_lineage(verified(pairs, docs, rows, id_col, text_col, size, num, den))
     comps = components(links)
     placed = shared.filter("size > 2").join(comps.withColumnRenamed("node", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid"))
-    placed = cut_lineage(placed.select("token", "uid", "n", "comp"))
+    placed = cut_lineage(placed.select("token", "uid", "n", "hi", "comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    open_rows = cut_lineage(placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "uid", "n", "bitmap", "comp"))
+    open_rows = cut_lineage(placed.join(mixed, "token", "left_semi").join(marks.select("uid", "bitmap"), "uid").select("token", "uid", "n", "bitmap", "comp", "hi"))
     more = cut_lineage(candidates(open_rows, num, den, block).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         comps = components(cut_lineage(links.unionByName(verified(more, docs, rows, id_col, text_col, size, num, den))))
