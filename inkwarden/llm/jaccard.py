@@ -205,9 +205,10 @@ def plausible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; the sets are made anew, for the texts that have a pair."""
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = cut_lineage(rows.select("uid", "doc_id", "digest").join(wanted, "uid", "left_semi"))
-    ids = small(wanted.select(F.col("doc_id").alias("_wid")).distinct(), BROADCAST_IDS)
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).join(ids, F.col("_id").eqNullSafe(F.col("_wid")), "left_semi")
+    wanted = cut_lineage(rows.select("uid", "doc_id", "mark", "digest").join(wanted, "uid", "left_semi"))
+    ids = small(wanted.select(F.col("doc_id").alias("_wid"), F.col("mark").alias("_wmark")).distinct(), BROADCAST_IDS)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")).withColumn("_mark", F.xxhash64(F.coalesce(F.col("_t"), F.lit(""))))
+    texts = texts.join(ids, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_mark") == F.col("_wmark")), "left_semi")
     sets = cut_lineage(whole_sets(texts, "_t", size).join(wanted.select("digest", "uid"), "digest").dropDuplicates(["uid"]).select("uid", "set"))
     of = lambda side: sets.select(F.col("uid").alias(side), F.col("set").alias(f"set_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b")
