@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, collocations, dedup, jaccard, langid, license, mixing, packing, quality, search, suffix_dedup, toxicity
+from . import align, collocations, dedup, jaccard, langid, license, mixing, packing, quality, search, sketches, suffix_dedup, toxicity
 from .common import boxed, cut_lineage, table
 
 
@@ -64,6 +64,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_copies(table(spark, sf_dir, "documents"), size=4, num=80, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_topk_search": op2_topk_search,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_token_alignment": op11_token_alignment,
     "op12_collocations": op12_collocations,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 SQL: dict[str, str] = {
