@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -286,6 +286,9 @@ def runs(lines: list[str], needed: set[str], confirm: float, sure: list[tuple[in
             else:
                 regions.append([lo, hi])
     out: set[tuple[int, int]] = set()
+    marked, done = set(marks), {}
+    for k, family in sorted(sure):
+        done.setdefault(family, []).append(k)
     for lo, hi in regions:
         own = [_VOCABULARY.intersection(words(k)) for k in range(lo, hi)]
         every = set().union(*own)
@@ -293,14 +296,16 @@ def runs(lines: list[str], needed: set[str], confirm: float, sure: list[tuple[in
         for family, count, size in _COUNTS:
             if sum(n for w, n in count.items() if w in every) < confirm * size - 1e-6:
                 continue
-            cuts = sorted({k for c, f in sure if f == family for k in (c - 1, c, c + 1) if lo <= k < hi})
+            lines_of = done.get(family, [])
+            near_by = lines_of[bisect_left(lines_of, lo - 1) : bisect_left(lines_of, hi + 1)]
+            cuts = sorted({k for c in near_by for k in (c - 1, c, c + 1) if lo <= k < hi})
             for a, b in zip([lo, *[c + 1 for c in cuts]], [*cuts, hi], strict=True):
                 if b - a > 1:
                     some = set().union(*own[a - lo : b - lo])
                     if sum(n for w, n in count.items() if w in some) >= confirm * size - 1e-6:
                         spans.add((a, b))
         for a, b in spans:
-            has = [0, *accumulate(k in set(marks[bisect_left(marks, a) : bisect_left(marks, b)]) for k in range(a, b))]
+            has = [0, *accumulate(k in marked for k in range(a, b))]
             upto = [0, *accumulate(len(words(k)) for k in range(a, b))]
             for i in range(a, b - 1):
                 n = 2
@@ -357,10 +362,17 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 if near >= confirm:
                     sure[d].append((-near, j - i, i, j, model.families[best[k]], float(p[k, best[k]])))
         for d, candidates in enumerate(sure):
-            taken = [(x["paragraph"], x["paragraph"] + 1, x["family"]) for x in found[d] if x["confirmed"]]
+            # Starts and ends of what is taken, by family; both rise, so the last that starts up to j is the one that may touch.
+            taken: dict[str, tuple[list[int], list[int]]] = {}
+            for k, family in sorted((x["paragraph"], x["family"]) for x in found[d] if x["confirmed"]):
+                for x, own in zip((k, k + 1), taken.setdefault(family, ([], [])), strict=True):
+                    own.append(x)
             for near, _, i, j, family, probability in sorted(candidates):
-                if all(f != family or j < a or i > b for a, b, f in taken):
-                    taken.append((i, j, family))
+                starts, ends = taken.setdefault(family, ([], []))
+                at = bisect_right(starts, j)
+                if not at or ends[at - 1] < i:
+                    starts.insert(at, i)
+                    ends.insert(at, j)
                     found[d].append({"paragraph": i, "family": family, "probability": probability, "similarity": -near, "confirmed": True})
             found[d].sort(key=lambda x: (x["paragraph"], x["family"]))
         return [len(ps) for ps in lines], found
