@@ -49,12 +49,14 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_cha
     if not counts:
         return {}
     each = max(1000, sample_chars // len(counts))
-    place = F.pmod(F.xxhash64(F.lit(10), F.col(id_col)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit(10), F.col(id_col), F.col(text_col)), F.lit(1 << 30))
     some = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, sample_docs / n) * (1 << 30))))])
     # Of a long document the training sample has a part only; scoring reads whole texts.
-    rows = known.filter(place < some[F.col(lang_col)]).select(lang_col, F.substring(text_col, 1, each).alias("t"), place.alias("p"), id_col).collect()
+    rows = known.filter(place < some[F.col(lang_col)]).select(lang_col, F.substring(text_col, 1, each).alias("t"), place.alias("p"), id_col)
+    # Rows that are repeated have one place: with many copies of one the sample stops here.
+    rows = rows.orderBy("p", id_col, "t").limit(4 * sample_docs * len(counts)).collect()
     texts: dict[str, str] = dict.fromkeys(counts, "")
-    for lang, t, _, _ in sorted(rows, key=lambda r: (r[2], r[3] is None, r[3])):
+    for lang, t, _, _ in sorted(rows, key=lambda r: (r[2], r[3] is None, r[3], r[1])):
         if len(texts[lang]) < each:
             texts[lang] += t[: each - len(texts[lang])].lower() + "\n"
     return {k: v for k, v in sorted(texts.items()) if v}

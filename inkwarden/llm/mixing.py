@@ -15,7 +15,7 @@ the one bucket on the cut, whatever a source's share of the corpus is.
 
 Cases: null text or text without a word has size 0 and takes 0; a very long text
 is a document like any other, and may lie on the cut; a null source is a source
-of its own, last in order; null ids are ordered as ''; an empty table gives an
+of its own, last in order; null ids are ordered as '', and by size among themselves; an empty table gives an
 empty result; a repeated row is a document like any other, and rows with one id
 and size may stand for each other; columns of ``docs`` are boxed, so their names
 clash with nothing.
@@ -23,6 +23,7 @@ clash with nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,10 +56,17 @@ def _place(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
+def _bucket(id_col: str, seed: int, u: Column, size: Column) -> Column:
+    """One of 4096 parts of the order; rows without an id, which have one place, are parts by their size."""
+    nowhere = hashlib.md5(f"{seed}|".encode(), usedforsecurity=False).hexdigest()
+    side = F.when(F.col(id_col).isNull(), F.concat(F.lit("0"), F.lpad(size.cast("string"), 19, "0"))).when(u < nowhere, " ").otherwise("~")
+    return F.concat(F.substring(u, 1, 3), F.when(F.substring(u, 1, 3) == nowhere[:3], side).otherwise(""))
+
+
 def measured(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """_row (what is carried along), _src, _key, _size, _u (place in the seeded order) and _b (its bucket) for each row of ``docs``."""
-    rows = docs.select(row.alias("_row"), F.col(source_col).alias("_src"), key_of(source_col).alias("_key"), n_words(F.col(text_col)).alias("_size"), _place(id_col, seed).alias("_u"))
-    return rows.withColumn("_b", F.substring("_u", 1, 3))
+    rows = docs.select(row.alias("_row"), F.col(source_col).alias("_src"), key_of(source_col).alias("_key"), n_words(F.col(text_col)).alias("_size"), _place(id_col, seed).alias("_u"), F.col(id_col).alias("_id"))
+    return rows.withColumn("_b", _bucket("_id", seed, F.col("_u"), F.col("_size"))).drop("_id")
 
 
 def _plan(rows: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
@@ -95,7 +103,8 @@ def repeated(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: in
     Words are counted once, for the plan; after that only the rows of cut buckets are counted again.
     """
     counted = cut_lineage(measured(docs, F.lit(None).cast("string"), id_col, text_col, source_col, seed).drop("_row", "_u"))
-    rows = docs.select(boxed(docs), key_of(source_col).alias("_key"), F.col(text_col).alias("_text"), _place(id_col, seed).alias("_u")).withColumn("_b", F.substring("_u", 1, 3))
+    rows = docs.select(boxed(docs), key_of(source_col).alias("_key"), F.col(text_col).alias("_text"), _place(id_col, seed).alias("_u"), F.col(id_col).alias("_id"))
+    rows = rows.withColumn("_b", _bucket("_id", seed, F.col("_u"), n_words(F.col("_text")))).drop("_id")
     rows = rows.filter(F.rlike("_text", F.lit(WORD))).join(_plan(counted, weights, max_epochs), "_key")
     sure = rows.filter("_cut IS NULL OR _b <> _cut").withColumn("_more", F.expr("CASE WHEN _b < _cut THEN 1 ELSE 0 END"))
     edge = _edge(rows.filter("_b = _cut").withColumn("_size", n_words(F.col("_text")))).withColumn("_more", F.when(F.col("_extra") * 2 >= F.col("_size"), 1).otherwise(0))

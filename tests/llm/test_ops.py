@@ -667,3 +667,43 @@ def test_shingles():
         assert len(shingles.shingle_sets([t], 3)[0]) == want
     a, b = shingles.shingle_sets(["A B C d", "a b c d"], 3)
     assert (a == b).all() and len(shingles.word_hashes(b"ab ba a b")) == 4 and len(set(shingles.word_hashes(b"ab ba a b").tolist())) == 4
+
+
+def test_license_runs_in_long_texts():
+    """Twice the lines take about twice the time, with confirmed lines or without."""
+    import time
+
+    needed = sorted(license.needed_words(0.6))
+    family = license._COUNTS[0][0]
+
+    def seconds(n):
+        lines = [f"line {k} {needed[k % len(needed)]}" for k in range(n)]
+        began = time.process_time()
+        found = license.runs(lines, set(needed), 0.6, [(k, family) for k in range(0, n, 9)])
+        return time.process_time() - began, len(found)
+
+    (short, few), (long, many) = seconds(15_000), seconds(30_000)
+    assert many < 2.2 * few and long < 3 * short + 0.5
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """They have one place in the order and are parts by their size; the mix is that of the plain order."""
+    rows = [(None if k % 3 else k, "w " * (k % 40), "a" if k % 2 else "b") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    counted = mixing.measured(docs, boxed(docs))
+    assert counted.filter("_row.doc_id IS NULL").select("_b").distinct().count() == 40
+    mixed = mixing.mix(counted)
+    got = mixed.groupBy("_row.source").agg(F.sum(F.col("_repeats") * F.col("_size") + F.col("_extra")).alias("taken"), F.max("_target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in got)
+    rest = mixed.filter("_size > 0").orderBy("_row.source", "_u", "_size").select("_row.source", "_size", "_extra").collect()
+    for source in "ab":
+        whole = [r._extra / r._size for r in rest if r.source == source]
+        assert whole == sorted(whole, reverse=True)
+
+
+def test_language_training_sample_is_bounded(spark):
+    """Rows without ids, and copies of one row, don't all come to the driver."""
+    rows = [(None, f"text number {k} of this language here") for k in range(3000)] + [(7, "the same row again")] * 3000
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    learned = langid.learn(docs, "doc_id", "text", "lang", 5000, sample_docs=20)
+    assert set(learned) == {"en"} and 0 < len(learned["en"]) <= 6000
