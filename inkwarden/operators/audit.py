@@ -8,9 +8,11 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ordered
+
 GENESIS = "0" * 64
 #: Events that move a component through its life.
 LIFECYCLE = ("DISCOVERED", "VERSION_CHANGED", "SOURCE_UNAVAILABLE", "APPROVED", "REVOKED", "QUARANTINED")
@@ -72,9 +74,8 @@ def suffix(log: DataFrame, sequence: int) -> DataFrame:
 
 
 def gaps(log: DataFrame, chain_col: str = "chain") -> DataFrame:
-    """Rows whose sequence isn't their place in the chain."""
-    place = F.row_number().over(Window.partitionBy(chain_col).orderBy("sequence"))
-    return log.withColumn("expected", place).filter("sequence <> expected")
+    """Rows whose sequence isn't their place in the chain; one long chain is several tasks."""
+    return ordered.running(log, [chain_col], ["sequence"]).withColumn("expected", F.col("place").cast("int")).drop("place").filter("sequence <> expected")
 
 
 def latest(log: DataFrame, key: str, types: tuple[str, ...] = LIFECYCLE, kept: tuple[str, ...] = ("event_type",)) -> DataFrame:
@@ -84,15 +85,19 @@ def latest(log: DataFrame, key: str, types: tuple[str, ...] = LIFECYCLE, kept: t
 
 
 def versions(log: DataFrame, key: str) -> DataFrame:
-    """version and previous_version by the order of a key's events."""
-    w = Window.partitionBy(key).orderBy("sequence")
-    return log.withColumn("version", F.row_number().over(w)).withColumn("previous_version", F.when(F.col("version") > 1, F.col("version") - 1))
+    """version and previous_version by the order of a key's events; a key with many is several tasks."""
+    placed = ordered.running(log, [key], ["sequence"]).withColumn("version", F.col("place").cast("int")).drop("place")
+    return placed.withColumn("previous_version", F.when(F.col("version") > 1, F.col("version") - 1))
 
 
 def calls_within(log: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """How many calls a key made in the ``seconds`` up to each call."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0)
-    return log.withColumn("calls", F.count("*").over(w))
+    """How many calls a key made in the ``seconds`` up to each call, refused ones as well."""
+    return ordered.calls_within(log, key, ts, seconds)
+
+
+def accepted_calls(log: DataFrame, key: str, ts: str, order: list[str], most: int = ordered.MOST_CALLS, seconds: int = ordered.CALL_SECONDS) -> DataFrame:
+    """``log`` with ``accepted``: whether a limiter that forgets refused calls lets each call through."""
+    return ordered.accepted(log, [key], ts, order, most, seconds)
 
 
 def tail(log: DataFrame, n: int = 100_000) -> DataFrame:

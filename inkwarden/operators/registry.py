@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.policy import VERDICTS, rank, severity_of
+from . import ordered
 
 SEARCHED = ("filename", "source_path", "sha256")
 LONGEST_QUERY = 300
@@ -113,8 +114,8 @@ def search_components(components: DataFrame, state: str = "ALL", query: str = ""
 
 
 def latency(samples: DataFrame, value: str) -> DataFrame:
-    """Median, 95th percentile by nearest rank, least and most."""
-    return samples.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
+    """Median, 95th percentile by nearest rank, least and most, by passes that count bins and keep no values."""
+    return ordered.as_row(samples.sparkSession, ordered.percentiles(samples, value, {"p50": 0.5, "p95": 0.95, "least": 0.0, "most": 1.0}))
 
 
 #: Columns of a report that may be shown to whoever asks.
@@ -151,6 +152,39 @@ def manifest(files: DataFrame, by: str, entry: Column) -> DataFrame:
     return buckets.groupBy(by).agg(F.sum("_n").alias("entries"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_x"))), lambda x: F.concat(x["_b"], x["_x"])), "\n"), 256).alias("fingerprint"))
 
 
+#: Entries of a leaf, and children of a node, of a manifest's tree.
+LEAF, FAN_BITS = 64, 4
+
+
+def tree_depth(entries: Column) -> Column:
+    """How many hexadecimal digits part the entries so that a leaf has about ``LEAF`` of them."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(entries / LEAF) / FAN_BITS - 1e-9)).cast("int")
+
+
+def manifest_tree(files: DataFrame, by: list[str], entry: Column) -> DataFrame:
+    """entries and root of each group: a Merkle tree over the ranges of the entries' hashes, whatever their order.
+
+    A leaf is the hash of its entries' hashes in order, a node that of its children's first digits and
+    hashes; the depth follows from the number of entries alone. Levels combine upwards, so that no list has more than
+    16 children or the entries of one leaf, and a group with all entries is as many tasks as it has leaves.
+    Repeated entries count as often as they come; null entries are left out, as are groups without any other.
+    """
+    rows = files.select(*by, F.sha2(entry, 256).alias("_h")).filter("_h IS NOT NULL")
+    counts = rows.groupBy(*by).agg(F.count("*").alias("entries"))
+    deepest = counts.agg(F.max(tree_depth(F.col("entries")))).first()[0] or 0
+    known = counts.select(*[F.col(c).alias(f"_k_{c}") for c in by], "entries", tree_depth(F.col("entries")).alias("_depth"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    placed = rows.join(known, same).select(*by, "entries", "_depth", F.expr("substring(_h, 1, _depth)").alias("_at"), "_h")
+    nodes = placed.groupBy(*by, "entries", "_depth", "_at").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("_x"))
+    for level in range(deepest, 0, -1):
+        children = nodes.filter(F.length("_at") == level).groupBy(*by, "entries", "_depth", F.expr(f"substring(_at, 1, {level - 1})").alias("_at"))
+        parents = children.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("_at", level, 1).alias("d"), "_x"))), lambda c: F.concat(c["d"], c["_x"])), "\n"), 256).alias("_x"))
+        nodes = nodes.filter(F.length("_at") < level).unionByName(parents)
+    return nodes.select(*by, "entries", F.col("_x").alias("root"))
+
+
 def byte_budget(files: DataFrame, by: str, length: Column, most: int) -> DataFrame:
-    """Total bytes of each group and whether they are within ``most``."""
+    """Total bytes of each group and whether they are within ``most``, after the fact; :func:`ordered.within_budget` stops at the row that goes beyond."""
     return files.groupBy(by).agg(F.sum(length).cast("long").alias("bytes")).withColumn("within", F.col("bytes") <= most)

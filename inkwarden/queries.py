@@ -715,4 +715,5 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latency(table(spark, sf_dir, "events"), "value")
 
 
-from . import queries_records as _more  # noqa: E402,F401  registers more queries under the same names
+from . import queries_flow as _flow  # noqa: E402,F401  both register more queries under the same names
+from . import queries_records as _more  # noqa: E402,F401

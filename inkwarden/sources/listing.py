@@ -18,8 +18,8 @@ planned is kept in the small file ``cursor`` beside it. What a batch is, the che
 offsets decide: a batch that has to be done again has the same places, whatever the file says.
 
 Files over ``largest`` bytes are listed without content, with an error, and so are those
-that can't be read or are no longer what was listed when they have been read. Links, and what
-is neither file nor folder, are passed over. A folder that can't be listed is a row with an
+that can't be read or are no longer what was listed when they have been read. Links, what
+is neither file nor folder, and hidden names are passed over. A folder that can't be listed is a row with an
 error. Paths are those of a file system that pyarrow knows and executors see.
 
 Cases: an empty tree gives no rows, and COMPLETE; a place whose file is gone is still a
@@ -45,6 +45,8 @@ from .extract import MAX_BYTES
 MAX_ENTRIES, PASS_BYTES, MAX_DEPTH = 2000, 128 * 1024 * 1024, 64
 SCHEMA = "path string, length long, modified timestamp, content binary, error string, walk long, number long, status string"
 ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("content", pa.binary()), ("error", pa.string()), ("walk", pa.int64()), ("number", pa.int64()), ("status", pa.string())])
+#: Names that begin so are passed over, as by Spark's own file sources.
+HIDDEN = (".", "_")
 FLUSH_BYTES = 16 * 1024 * 1024
 
 
@@ -79,7 +81,7 @@ def walk(files: fs.FileSystem, folder: str, after: str | None, depth: int = MAX_
         yield Entry(folder, error=f"DIRECTORY_UNREADABLE: {type(e).__name__}")
         return
     for info in sorted(found, key=lambda i: i.base_name):
-        if isinstance(files, fs.LocalFileSystem) and os.path.islink(info.path):
+        if info.base_name.startswith(HIDDEN) or (isinstance(files, fs.LocalFileSystem) and os.path.islink(info.path)):
             continue
         parts = info.path.split("/")
         behind = place is None or parts > place
