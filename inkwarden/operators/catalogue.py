@@ -1,9 +1,9 @@
-"""The stored catalogue of components: discovery, refresh, approvals and revocations as commits.
+"""The stored catalogue of components: discovery, refresh, approvals, revocations and policies as commits.
 
-A commit writes the new state, the versions and the events under its number and
-then puts that number into place by renaming one small file. Readers see commits
-up to that number only, so that one that fails half way leaves nothing behind
-that anybody sees. One writer at a time.
+A commit has the components that change, the events that say so and, for a policy, its
+version, in one number of a :class:`deltas.Deltas` store: an approval writes one row, and one
+that fails half way leaves nothing behind that anybody sees. A second writer of the same
+number is refused.
 """
 
 from __future__ import annotations
@@ -15,58 +15,40 @@ from pyspark.sql import functions as F
 
 from ..plans import policy as pl
 from . import trust
+from .deltas import Conflict, Deltas, Table
 
 HASHES = ("raw_hash", "canonical_hash", "semantic_fingerprint")
 STATE = "component_id string, name string, kind string, source_path string, raw_hash string, canonical_hash string, semantic_fingerprint string, content string, state string, version int, source_valid boolean, action string, approval_id string"
 EVENT = "component_id string, event_type string, sequence long, version int, raw_hash string, canonical_hash string, semantic_fingerprint string, approval_id string, reason string"
+POLICY = "version int, policy string, timestamp string"
+TABLES = {"state": Table(STATE, ("component_id",)), "events": Table(EVENT), "policies": Table(POLICY, ("version",))}
 #: Events by what a reconciliation shows.
 EVENTS = {"NEW": "DISCOVERED", "CHANGED": "VERSION_CHANGED", "VANISHED": "SOURCE_UNAVAILABLE"}
 
 
 class Catalogue:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.spark, self.store = spark, Deltas(spark, path, TABLES)
 
     def head(self) -> int:
         """The number of the last commit, 0 before the first."""
-        path, fs = self._file("head")
-        if not fs.exists(path):
-            return 0
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["commit"]
-        finally:
-            stream.close()
-
-    def _read(self, name: str, schema: str, last: int, first: int = 1) -> DataFrame:
-        folders = [f"{self.path}/{name}/{k}" for k in range(first, last + 1)]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.store.head()
 
     def current(self) -> DataFrame:
         """The components as they are now."""
-        return self._read("state", STATE, head := self.head(), head) if self.head() else self.spark.createDataFrame([], STATE)
+        return self.store.read("state")
 
     def events(self) -> DataFrame:
-        return self._read("events", EVENT, self.head())
-
-    def _commit(self, state: DataFrame, events: DataFrame) -> int:
-        number = self.head() + 1
-        named = lambda df, schema: df.select(*[F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")])
-        named(state, STATE).write.mode("overwrite").parquet(f"{self.path}/state/{number}")
-        named(events.withColumn("sequence", F.lit(number)), EVENT).write.mode("overwrite").parquet(f"{self.path}/events/{number}")
-        fresh, fs = self._file(f"head.{number}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"commit": number}).encode()))
-        out.close()
-        path, _ = self._file("head")
-        if not fs.rename(fresh, path):
-            fs.delete(path, False)
-            fs.rename(fresh, path)
-        return number
+        return self.store.read("events")
+
+    def policies(self) -> DataFrame:
+        """All versions of the policy; the current one is the largest."""
+        return self.store.read("policies")
+
+    def _commit(self, state: DataFrame, events: DataFrame, **more: DataFrame) -> int:
+        """``state`` has the components that change."""
+        at = self.head()
+        return self.store.commit({"state": state, "events": events.withColumn("sequence", F.lit(at + 1)), **more}, at)
 
     def discover(self, files: DataFrame, policy: dict = pl.POLICY, scope: Column | None = None) -> int:
         """Take in files (path, content): new and changed components get versions, those that are gone lose their approval.
@@ -86,7 +68,7 @@ class Catalogue:
         names = [x.split()[0] for x in STATE.split(", ")]
         kind = F.element_at(F.create_map(*[F.lit(x) for pair in EVENTS.items() for x in pair]), F.col("outcome"))
         events = rows.filter(~same).select("component_id", kind.alias("event_type"), "version", *HASHES, F.lit(None).cast("string").alias("approval_id"), F.col("change_type").alias("reason"))
-        return self._commit(rows.select(*names).unionByName(now.filter(~inside).select(*names)), events)
+        return self._commit(rows.select(*names).subtract(old.select(*names)), events)
 
     def refresh(self, path: str, files: DataFrame, policy: dict = pl.POLICY) -> int:
         """:meth:`discover` for one source."""
@@ -95,17 +77,33 @@ class Catalogue:
     def approve(self, component_id: str, canonical_hash: str, version: int, approver: str, approval_id: str, timestamp: str) -> int:
         """Approve exactly this content and version; anything else is refused."""
         approval, state = trust.approve(self.current(), component_id, canonical_hash, version, approver, approval_id, timestamp)
-        return self._commit(state, approval.select("component_id", F.lit("APPROVED").alias("event_type"), "version", *HASHES, "approval_id", F.lit(None).cast("string").alias("reason")))
+        mine = state.filter(F.col("component_id") == component_id)
+        return self._commit(mine, approval.select("component_id", F.lit("APPROVED").alias("event_type"), "version", *HASHES, "approval_id", F.lit(None).cast("string").alias("reason")))
 
     def withdraw(self, component_id: str, state: str, reason: str) -> int:
         """REVOKED or QUARANTINED, with the reason."""
         now = trust.set_state(self.current(), component_id, state, reason)
         mine = now.filter(F.col("component_id") == component_id)
-        return self._commit(now, mine.select("component_id", F.lit(state).alias("event_type"), "version", *HASHES, F.lit(None).cast("string").alias("approval_id"), F.lit(reason).alias("reason")))
+        return self._commit(mine, mine.select("component_id", F.lit(state).alias("event_type"), "version", *HASHES, F.lit(None).cast("string").alias("approval_id"), F.lit(reason).alias("reason")))
 
-    def new_policy(self) -> int:
-        """Take every approval back, as a policy change does."""
-        return self._commit(trust.under_new_policy(self.current()), self.spark.createDataFrame([], EVENT))
+    def new_policy(self, policy: dict = pl.POLICY, timestamp: str = "") -> int:
+        """Store the next version of the policy, take every approval back and say so in the log, in one commit.
+
+        What ``policy`` doesn't name stays as it is; if it names the version that it was made from, that must be the current one.
+        """
+        history = self.policies()
+        last = trust.current_policy(history).first()
+        if last and policy.get("version", last["version"]) != last["version"] and policy is not pl.POLICY:
+            raise Conflict("the policy has changed")
+        row = trust.next_policy(history, (json.loads(last["policy"]) if last else {}) | policy, timestamp)
+        none = F.lit(None).cast("string")
+        told = row.select(none.alias("component_id"), F.lit("POLICY_CHANGED").alias("event_type"), "version", *[none.alias(h) for h in HASHES], none.alias("approval_id"), F.col("policy").alias("reason"))
+        return self._commit(trust.under_new_policy(self.current().filter("state = 'APPROVED'")), told, policies=row)
+
+    def policy_violations(self) -> DataFrame:
+        """Versions of the policy that the log doesn't tell of, or tells of otherwise."""
+        told = self.events().filter("event_type = 'POLICY_CHANGED'").select("version", F.col("reason").alias("policy"))
+        return trust.policy_violations(self.policies(), told)
 
     def violations(self) -> DataFrame:
         """Components that aren't what their last event says."""

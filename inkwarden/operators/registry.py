@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.policy import VERDICTS, rank, severity_of
 from . import ordered
+from .deltas import Deltas, Table
 
 SEARCHED = ("filename", "source_path", "sha256")
 LONGEST_QUERY = 300
@@ -31,6 +32,30 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/events").drop("batch")
 
 
+class ContentStore:
+    """Reports of which each content has one, whatever batches it comes in: known digests are left out by an anti-join inside the commit.
+
+    Of one batch's rows with one content the smallest id's stays. Digests and reports are one
+    commit of :class:`deltas.Deltas`; digests lie in folders by hash, of which a small batch reads its own.
+    Null contents are one content.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, content: str = "sha256", order: str = "id"):
+        kind = dict(x.strip().split(None, 1) for x in schema.split(","))[content]
+        self.content, self.order = content, order
+        self.store = Deltas(spark, path, {"reports": Table(schema), "digests": Table(f"{content} {kind}", (content,), True)})
+
+    def append(self, reports: DataFrame) -> int:
+        at = self.store.head()
+        one = reports.groupBy(self.content).agg(F.min_by(F.struct(*reports.columns), self.order).alias("_r"))
+        known = self.store.lookup("digests", one.select(self.content)).select(F.col(self.content).alias("_known"))
+        new = one.join(known, F.col(self.content).eqNullSafe(F.col("_known")), "left_anti").select("_r.*")
+        return self.store.commit({"reports": new, "digests": new.select(self.content)}, at)
+
+    def reports(self) -> DataFrame:
+        return self.store.read("reports")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case for A to Z only, as the registry's search folds."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -95,12 +95,18 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.with_hits(docs, tx.normalise_udf(planted(docs)))
 
 
-_STORES: dict[tuple[str, str], registry.Store] = {}
+_STORES: dict[tuple[str, str, str], registry.Store] = {}
+
+
+def _written(spark: SparkSession, path: str) -> str:
+    """A number that changes with the names, lengths or times of a table's files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.xxhash64("path", "length", "modificationTime").alias("x"))
+    return files.agg(F.coalesce(F.sum(F.col("x").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("x")).first()[0]
 
 
 def _store(spark: SparkSession, sf_dir: str) -> registry.Store:
     """The registry of a folder's documents: scanned and stored by the first query of a session that asks, and read by all."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, _written(spark, f"{sf_dir}/documents.parquet")
     if key not in _STORES:
         name = F.concat(F.lit("doc_"), F.pmod("doc_id", F.lit(50)).cast("string"), F.when(F.pmod("doc_id", F.lit(3)) == 0, "%.txt").otherwise(".md"))
         place = F.concat(F.lit("/in/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))

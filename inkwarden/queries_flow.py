@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, ordered, registry
+from .operators import audit, closure, ordered, registry, trust
+from .operators.catalogue import HASHES, Catalogue
+from .operators.deltas import Deltas, Table
 from .queries import query, table
 from .sources.listing import Listing
 from .sources.scratch import shared_folder
@@ -123,3 +125,79 @@ SELECT source, n AS entries, x AS root FROM v0""")
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Merkle root of each source's documents."""
     return registry.manifest_tree(table(spark, sf_dir, "documents"), ["source"], F.concat_ws(" ", F.col("doc_id").cast("string"), F.sha2("text", 256)))
+
+
+# ---- stores ------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256('changed ' || text) ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version
+FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0""")
+def delta_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored, every third changed, every fifth deleted and some of those put back, compacted between: four commits and what is left."""
+    store = Deltas(spark, shared_folder(spark), {"texts": Table("doc_id long, sha256 string, version long", ("doc_id",), True)})
+    docs = table(spark, sf_dir, "documents")
+    new, third = F.sha2("text", 256), F.pmod("doc_id", F.lit(3)) == 0
+    rows = docs.select("doc_id", new.alias("sha256"), F.lit(1).alias("version"))
+    changed = docs.select("doc_id", F.when(third, F.sha2(F.concat(F.lit("changed "), "text"), 256)).otherwise(new).alias("sha256"), F.when(third, 2).otherwise(1).alias("version"))
+    store.commit({"texts": rows})
+    store.commit({"texts": changed.filter(third)})
+    store.compact()
+    store.commit({"texts": changed.filter("doc_id % 5 = 0").withColumn("_gone", F.lit(True))})
+    store.commit({"texts": changed.filter("doc_id % 35 = 0")})
+    return store.read("texts")
+
+
+@query("""WITH d AS (SELECT doc_id AS id, sha256(text) AS sha256, doc_id % 2 AS batch FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY batch, id) AS k FROM d)
+SELECT id, sha256 FROM f WHERE k = 1""")
+def content_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of even documents, of odd ones, and of all once more: each content has the one that came first."""
+    store = registry.ContentStore(spark, shared_folder(spark), "id long, sha256 string")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha256"))
+    for batch in (docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"), docs):
+        store.append(batch)
+    return store.reports()
+
+
+@query("""WITH s AS (SELECT count(DISTINCT source) AS n FROM documents)
+SELECT doc_id::VARCHAR AS component_id, CASE WHEN doc_id % 3 = 0 THEN 'REAPPROVAL_REQUIRED' ELSE 'BLOCKED' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'REQUIRE_REAPPROVAL' ELSE 'BLOCK' END AS action, NULL::VARCHAR AS approval_id,
+       2 AS policy_version, (1 + n % 50)::INT AS flag_score, 2::BIGINT AS told, 0::BIGINT AS violations FROM documents, s""")
+def policy_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components for documents, a third of them approved; two policies, the second with a score from the table. Version, demotions and event are one commit."""
+    catalogue = Catalogue(spark, shared_folder(spark))
+    docs = table(spark, sf_dir, "documents")
+    approved = F.pmod("doc_id", F.lit(3)) == 0
+    none, n = F.lit(None).cast("string"), F.col("doc_id").cast("string")
+    rows = docs.select(
+        n.alias("component_id"), n.alias("name"), F.lit("server").alias("kind"), F.concat(F.lit("/c/"), n).alias("source_path"), *[F.sha2("text", 256).alias(h) for h in HASHES], none.alias("content"),
+        F.when(approved, "APPROVED").otherwise("BLOCKED").alias("state"), F.lit(1).alias("version"), F.lit(True).alias("source_valid"), F.when(approved, "ALLOW").otherwise("BLOCK").alias("action"), F.when(approved, n).alias("approval_id"),
+    )
+    catalogue.new_policy({}, "first")
+    at = catalogue.head()
+    catalogue.store.commit({"state": rows}, at)
+    sources = docs.select(F.count_distinct("source")).first()[0]
+    catalogue.new_policy({"scan_flag_score": 1 + sources % 50}, "second")
+    last = trust.current_policy(catalogue.policies()).select(F.col("version").alias("policy_version"), F.get_json_object("policy", "$.scan_flag_score").cast("int").alias("flag_score"))
+    told = catalogue.events().filter("event_type = 'POLICY_CHANGED'").agg(F.count("*").alias("told"))
+    wrong = catalogue.policy_violations().agg(F.count("*").alias("violations"))
+    # One row each.
+    return catalogue.current().select("component_id", "state", "action", "approval_id").join(F.broadcast(last)).join(F.broadcast(told)).join(F.broadcast(wrong))
+
+
+# ---- packages ----------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE w AS (SELECT doc_id AS package, ('w' || k) AS part, k, len(ws) AS n, doc_id % 4 AS kind FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS ws FROM documents), (SELECT unnest(range(6)) AS k) WHERE k < len(ws)),
+e AS (SELECT package, part AS source, 'w' || (k + 1) AS target FROM w WHERE NOT (kind = 1 AND k = 2) AND k + 1 < least(6, n) + CASE WHEN kind = 2 THEN 1 ELSE 0 END UNION SELECT package, part, 'w0' FROM w WHERE kind = 3),
+r AS (SELECT package, part FROM w WHERE k = 0 UNION SELECT e.package, e.target FROM r JOIN e ON e.package = r.package AND e.source = r.part),
+d AS (SELECT package, 1 AS missing, 0 AS unreferenced FROM (SELECT * FROM r EXCEPT SELECT package, part FROM w) UNION ALL SELECT package, 0, 1 FROM (SELECT package, part FROM w EXCEPT SELECT * FROM r))
+SELECT p.package, CASE WHEN count(d.package) = 0 THEN 'VALID' ELSE 'INVALID' END AS status, coalesce(sum(missing), 0)::BIGINT AS missing, coalesce(sum(unreferenced), 0)::BIGINT AS unreferenced FROM (SELECT DISTINCT package FROM w) p LEFT JOIN d USING (package) GROUP BY p.package""")
+def package_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packages whose first words refer to each other in a row: some rows are broken, some lead beyond what is there, some go round."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("package"), F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n"), F.pmod("doc_id", F.lit(4)).alias("kind"))
+    words = docs.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(6), F.col("n")) - 1)).alias("k"))
+    name = lambda c: F.concat(F.lit("w"), c.cast("string"))
+    parts = words.select("package", name(F.col("k")).alias("part"))
+    beyond = F.least(F.lit(6), F.col("n")) + F.when(F.col("kind") == 2, 1).otherwise(0)
+    on = words.filter(~((F.col("kind") == 1) & (F.col("k") == 2)) & (F.col("k") + 1 < beyond)).select("package", name(F.col("k")).alias("source"), name(F.col("k") + 1).alias("target"))
+    back = words.filter("kind = 3").select("package", name(F.col("k")).alias("source"), F.lit("w0").alias("target"))
+    return closure.closed(parts, on.unionByName(back), parts.filter("part = 'w0'"))

@@ -11,6 +11,7 @@ from .functions import config as cf
 from .functions import text as tx
 from .functions.rules import from_rows
 from .operators import audit, registry, sanitize, scan, trust
+from .operators.catalogue import Catalogue
 from .plans import policy as pl
 from .queries import SQL_REPORTS, query, reports, table
 from .sources import files
@@ -144,21 +145,21 @@ def unchanged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unchanged(listing, listing.withColumn("modified", F.when(F.pmod("path", F.lit(3)) == 0, 2).otherwise(1))).select("path")
 
 
-@query("SELECT count(*)::BIGINT AS lines, (65 * count(*))::BIGINT AS bytes FROM documents")
+@query("SELECT sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS lines, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents")
 def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest a line, written as text files and read back as whole files with their content."""
+    """Whole texts, written as text files of some thousand rows and read back as whole files with their content."""
     folder = shared_folder(spark)
-    _docs(spark, sf_dir).select(F.sha2(F.coalesce("text", F.lit("")), 256)).repartition(3).write.text(folder)
+    _docs(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder)
     read = files.read_files(spark, folder, glob="part-*")
     return read.agg(F.coalesce(F.sum(F.regexp_count(F.col("content").cast("string"), F.lit("\n"))), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
-@query("SELECT 0::BIGINT AS read_bytes, (65 * count(*))::BIGINT AS listed_bytes FROM documents")
+@query("SELECT 0::BIGINT AS read_bytes, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS listed_bytes FROM documents")
 def files_over_the_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files over the size limit are listed and never read."""
     folder = shared_folder(spark)
-    _docs(spark, sf_dir).select(F.sha2(F.coalesce("text", F.lit("")), 256)).repartition(2).write.text(folder)
-    read = files.read_files(spark, folder, most_bytes=64, glob="part-*")
+    _docs(spark, sf_dir).select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1000).text(folder)
+    read = files.read_files(spark, folder, most_bytes=0, glob="part-*")
     return read.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("read_bytes"), F.coalesce(F.sum("length"), F.lit(0)).alias("listed_bytes"))
 
 
@@ -182,11 +183,11 @@ def config_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REFUSED = (("a.json", '{"a":1,"a":2}'), ("b.json", '{"a":NaN}'), ("c.json", '"x"'), ("d.json", "[" * 70 + "]" * 70), ("e.yaml", "a: &x 1\nb: *x"), ("f.yaml", "a: 1\na: 2"), ("g.toml", "a="), (".env", "9=1"), ("h.ini", "x"), ("i.json5", "{a:1 b:2}"), ("j.json", '{"é":1,"é":2}'))
 
 
-@query("SELECT doc_id, f.name AS path, true AS refused, true AS unhashed FROM documents, (SELECT unnest([" + ", ".join(f"{{'name': '{n}'}}" for n, _ in _REFUSED) + "]) AS f) WHERE doc_id % 10 = 0")
+@query("SELECT doc_id, f.name AS path, true AS refused, true AS unhashed FROM documents, (SELECT unnest([" + ", ".join(f"{{'name': '{n}'}}" for n, _ in _REFUSED) + "]) AS f)")
 def config_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubled keys, numbers that aren't, bare values, depth, aliases and syntax: none has a canonical form."""
     bad = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("content")) for n, c in _REFUSED]))
-    rows = _docs(spark, sf_dir).filter("doc_id % 10 = 0").select("doc_id", bad.alias("b")).select(F.concat_ws("/", _text("doc_id"), "b.name").alias("path"), "b.content")
+    rows = _docs(spark, sf_dir).select("doc_id", bad.alias("b")).select(F.concat_ws("/", _text("doc_id"), "b.name").alias("path"), "b.content")
     found = trust.parsed(rows)
     return found.select(F.element_at(F.split("path", "/"), 1).cast("long").alias("doc_id"), F.element_at(F.split("path", "/"), 2).alias("path"), F.col("error").isNotNull().alias("refused"), F.col("canonical_hash").isNull().alias("unhashed"))
 
@@ -282,16 +283,22 @@ def revoked_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.set_state(comps, "4", "REVOKED", "no longer used").select(F.col("component_id").cast("long").alias("component_id"), "state", "action", "approval_id")
 
 
-@query("SELECT 3 AS version, 30 AS flag_score, true AS current, 0::BIGINT AS violations, 1::BIGINT AS forged")
+@query("""WITH d AS (SELECT coalesce(lang, '') AS lang, (10 + count(*) % 40)::INT AS flag FROM documents GROUP BY 1), v AS (SELECT row_number() OVER (ORDER BY lang) AS version, flag FROM d)
+SELECT version::INT AS version, flag AS flag_score, version = max(version) OVER () AS current, 0::BIGINT AS violations, (version % 2 = 0)::BIGINT AS forged FROM v""")
 def policy_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three policies appended one behind another, each told of by an event; a rewritten one is noticed."""
-    history = spark.createDataFrame([], "version int, policy string, timestamp string")
-    for flag in (10, 20, 30):
-        history = spark.createDataFrame(history.unionByName(trust.next_policy(history, {"scan_flag_score": flag}, "now")).collect(), history.schema)
-    events = history.select("version", "policy")
-    now = trust.current_policy(history)
-    forged = history.withColumn("policy", F.when(F.col("version") == 2, "{}").otherwise(F.col("policy")))
-    return now.select("version", F.get_json_object("policy", "$.scan_flag_score").cast("int").alias("flag_score"), F.lit(True).alias("current"), F.lit(trust.policy_violations(history, events).count()).cast("long").alias("violations"), F.lit(trust.policy_violations(forged, events).count()).cast("long").alias("forged"))
+    """A policy for each language, with a score from its number of documents, stored one behind another and told of by events; rewritten ones are noticed."""
+    catalogue = Catalogue(spark, shared_folder(spark))
+    # A row for each language.
+    for r in _docs(spark, sf_dir).groupBy(F.coalesce("lang", F.lit("")).alias("lang")).count().orderBy("lang").collect():
+        catalogue.new_policy({"scan_flag_score": 10 + r["count"] % 40}, "now")
+    history = catalogue.policies()
+    told = catalogue.events().filter("event_type = 'POLICY_CHANGED'").select("version", F.col("reason").alias("policy"))
+    forged = history.withColumn("policy", F.when(F.col("version") % 2 == 0, "{}").otherwise(F.col("policy")))
+    counted = lambda bad, name: bad.groupBy("version").agg(F.count("*").alias(name))
+    last = trust.current_policy(history).select("version", F.lit(True).alias("_last"))
+    rows = history.join(counted(catalogue.policy_violations(), "violations"), "version", "left").join(counted(trust.policy_violations(forged, told), "forged"), "version", "left").join(last, "version", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("version", F.get_json_object("policy", "$.scan_flag_score").cast("int").alias("flag_score"), F.coalesce("_last", F.lit(False)).alias("current"), zero("violations"), zero("forged"))
 
 
 # ---- copies, styles and rules ------------------------------------------------------------------
@@ -347,17 +354,22 @@ def analysed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- logs, stores and passes -------------------------------------------------------------------
 
 
-@query("SELECT true AS valid, 3::BIGINT AS checked, 'hash or signature' AS forged_error, 3::BIGINT AS exported")
+@query("""SELECT row_number() OVER (ORDER BY day, event_type) AS sequence, event_type, day AS component_id, '{"events": ' || n || '}' AS details, true AS log_valid, (count(*) OVER ())::BIGINT AS log_checked, 'hash or signature' AS forged_error
+FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)""")
 def signed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signed log that is appended to, verified and exported with its verification; another key finds it forged."""
+    """A signed log of how many events of each type a week's days had, appended week by week, verified and exported with its verification; another key finds it forged."""
     folder = shared_folder(spark)
     log = audit.Writer(spark, f"{folder}/log", b"key")
-    log.append([("DISCOVERED", "c", {"v": 1}), ("APPROVED", "c", {})], "2020-01-01T00:00:00.000Z")
-    log.append([("REVOKED", "c", {"why": "é"})], "2020-01-01T00:00:01.000Z")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    # A row for each day and type.
+    rows = table(spark, sf_dir, "events").groupBy(day.alias("day"), "event_type").count().orderBy("day", "event_type").collect()
+    weeks = sorted({r["day"] for r in rows})[::7]
+    for first, end in zip(weeks, [*weeks[1:], "~"], strict=True):
+        log.append([(r["event_type"], r["day"], {"events": r["count"]}) for r in rows if first <= r["day"] < end], f"{first}T00:00:00.000Z")
     whole, forged = log.verify(), audit.Writer(spark, f"{folder}/log", b"other").verify()
     audit.export(log.log(), f"{folder}/export", verification=whole)
     told = spark.read.json(f"{folder}/export")
-    return told.filter("log_valid AND log_checked = 3").agg(F.lit(whole["valid"]).alias("valid"), F.lit(whole["checked"]).cast("long").alias("checked"), F.lit(forged["error"]).alias("forged_error"), F.count("*").alias("exported"))
+    return told.select("sequence", "event_type", "component_id", "details", "log_valid", "log_checked", F.lit(forged["error"]).alias("forged_error"))
 
 
 @query("SELECT count(*) AS reports, count(*) AS events FROM documents")
@@ -391,7 +403,6 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, CASE WHEN gone THEN 'BLOCKED' WHEN k = 0 THEN 'BLOCKED' WHEN k = 1 THEN 'REAPPROVAL_REQUIRED' ELSE 'PENDING_APPROVAL' END AS state, CASE WHEN NOT gone AND k < 2 THEN 2 ELSE 1 END AS version, NOT gone AS source_valid, count(*) AS n, 0::BIGINT AS violations FROM c GROUP BY ALL""")
 def catalogue_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A configuration for each document, discovered twice, the second time with changes and without a fifth of the files."""
-    from .operators.catalogue import Catalogue
     from .queries import _config
 
     docs = _docs(spark, sf_dir)
