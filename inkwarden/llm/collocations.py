@@ -49,6 +49,8 @@ from .wire import packed, packed_rising, unpacked, unpacked_rising
 SHARD_BYTES = 4_000_000
 #: Positions in a block of a bitmap.
 BITS = 16
+#: Parts of a language that are ranked apart before all are.
+SALTS = 64
 #: Pairs of blocks that are ANDed at once.
 STEP = 2_000_000
 _SIGN = re.compile("[.,;:!?\x0a-\x0d]")
@@ -384,6 +386,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     three = triples.join(head, ["one", "two"]).join(tail, ["two", "three"]).join(word("one"), "one").join(word("two"), "two").join(word("three"), "three")
     cut = F.least(F.struct(F.expr(_score("f", "f_one", "f_tail")).alias("score"), F.lit(1).alias("k"), F.col("f_one").alias("l"), F.col("f_tail").alias("r")), F.struct(F.expr(_score("f", "f_head", "f_three")).alias("score"), F.lit(2).alias("k"), F.col("f_head").alias("l"), F.col("f_three").alias("r")))
     three = three.withColumn("cut", cut).select("lang", F.concat_ws(" ", "word_one", "word_two", "word_three").alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # The best of each of ``SALTS`` parts of a language first: its best are among them, and no task gets more than those.
+    some = two.unionByName(three).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("rank") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
