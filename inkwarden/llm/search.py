@@ -8,14 +8,14 @@ into the exact best k.
 
 In a shard documents stand by their most frequent word and length, so that those
 of a block of ``BLOCK`` are alike, and a term's largest contribution in a block is
-near all of them. As in WAND, a query's terms are taken by their reach: those of
-few documents are followed through their postings; those that one document in
-``COMMON`` has (at most ``MOST_COMMON``) reach everywhere, and count by their
-largest contribution in each block until a block is needed. A block is pivot for
-a query if what its documents have from the rare terms, and this bound for the
-common ones, can reach the k-th best score so far. Pivot blocks are scored in
-full, the most promising ones first, which sets the threshold for the rest; all
-other blocks are passed over. The threshold goes on to the task's next shards. A
+near all of them. A term's postings are a list of such blocks, each with its
+largest contribution and the place where it begins; terms that one document in
+``COMMON`` has (at most ``MOST_COMMON``) have a row in every block. As in WAND,
+a block is pivot for a query if the sum of its terms' largest contributions there can
+reach the k-th best score so far. The lists are moved on to pivot blocks only, and
+the postings there are scored; those of all other blocks, of rare terms and of common
+ones, are skipped without being read. The most promising blocks come first, which
+sets the threshold for the rest, and it goes on to the task's next shards. A
 chunk of queries is judged together, block by block. A query's terms count once;
 ties go to the smaller id.
 
@@ -33,7 +33,7 @@ of ``docs`` other than the two named are not read, so their names don't matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ BLOCK, AHEAD = 64, 4
 SHARD_CHARS, SHARD_DOCS = 24_000_000, 16_000
 SET_TERMS = 3_000_000
 K1, B = 1.2, 0.75
-CHUNK, CHUNK_SCORES = 256, 4_000_000
+CHUNK, CHUNK_TERMS = 256, 200_000
 COMMON, MOST_COMMON = 16, 512
 NO_ID, MOST_ID = -(2**63), 2**63 - 1
 #: ASCII characters that are not letters or digits part words.
@@ -132,7 +132,7 @@ class Best:
 
 
 class Shard:
-    """A shard's postings; those of the terms in ``common`` as dense blocks (blocks by terms by documents) with their largest in each block."""
+    """A shard's postings as lists of blocks; those of the terms in ``common`` as dense blocks (blocks by terms by documents) with their largest in each block."""
 
     def __init__(self, ids: bytes, lengths: bytes, terms: bytes, counts: bytes, docs: bytes, freqs: bytes, average: float, common: np.ndarray):
         self.ids, self.terms = np.frombuffer(ids, np.int64), np.frombuffer(terms, np.uint64)
@@ -141,16 +141,26 @@ class Shard:
         self.impact = freqs * (K1 + 1) / (freqs + K1 * (1 - B + B * relative))
         self.ends = np.concatenate([[0], np.cumsum(counts)])
         self.n_blocks = max(1, -(-len(self.ids) // BLOCK))
+        # A term's documents rise: its postings in a block follow each other.
+        block = self.docs // BLOCK
+        new = np.ones(len(block), dtype=bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.ends[:-1][counts > 0]] = True
+        self.begin = np.append(np.flatnonzero(new), len(block))
+        self.block = block[self.begin[:-1]]
+        self.largest = np.maximum.reduceat(self.impact, self.begin[:-1]) if len(block) else np.zeros(0)
+        self.of_term = np.searchsorted(self.begin, self.ends)
         self.dense = np.zeros((self.n_blocks, len(common), BLOCK))
         for row, at in enumerate(np.searchsorted(self.terms, common)):
             if at < len(self.terms) and self.terms[at] == common[row]:
                 d = self.docs[self.ends[at] : self.ends[at + 1]]
                 self.dense[d // BLOCK, row, d % BLOCK] = self.impact[self.ends[at] : self.ends[at + 1]]
         self.most = self.dense.max(2) if len(common) else np.zeros((self.n_blocks, 0))
-        self.scored = 0  # pairs of a query and a block that were scored in full
+        # Pairs of a query and a block that were scored; postings of the queries' rare terms, and those that were read.
+        self.scored = self.listed = self.read = 0
 
     def rare_scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What each document has from a query's rare terms."""
+        """What each document has from some terms, all of their postings read."""
         n = self.n_blocks * BLOCK
         at = np.searchsorted(self.terms, terms)
         known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
@@ -161,14 +171,46 @@ class Shard:
 
     def search(self, rare: np.ndarray, weights: np.ndarray, best: Best, first: int) -> None:
         """Queries ``first``.. of ``best``, with what documents have from their rare terms and their weights of the common ones (a row for each query)."""
-        at = slice(first, first + len(rare))
         rare = rare.reshape(len(rare), self.n_blocks, BLOCK)
-        bound = (rare.max(2) + weights @ self.most.T) * (1 + 1e-9) + 1e-8
+        self._pivots(rare.max(2), weights, lambda q, b: rare[q, b], best, first)
+
+    def follow(self, owner: np.ndarray, terms: np.ndarray, worth: np.ndarray, weights: np.ndarray, best: Best, first: int) -> None:
+        """Queries ``first``.. of ``best``, with their rare terms (the query's number among these, the term and its weight) and their weights of the common ones."""
+        at = np.searchsorted(self.terms, terms)
+        known = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
+        at = at[known]
+        sizes = self.of_term[at + 1] - self.of_term[at]
+        cells = spread(self.of_term[at], sizes)
+        query, worth = np.repeat(owner[known], sizes), np.repeat(worth[known], sizes)
+        bound = np.bincount(query * self.n_blocks + self.block[cells], weights=worth * self.largest[cells], minlength=len(weights) * self.n_blocks).reshape(len(weights), -1)
+        by_block = np.argsort(self.block[cells], kind="stable")
+        cells, query, worth = cells[by_block], query[by_block], worth[by_block]
+        of_block = np.searchsorted(self.block[cells], np.arange(self.n_blocks + 1))
+        self.listed += int((self.begin[cells + 1] - self.begin[cells]).sum())
+        row = np.full(len(weights), -1)
+
+        def scores(asked: np.ndarray, b: int) -> np.ndarray:
+            row[asked] = np.arange(len(asked))
+            own = slice(of_block[b], of_block[b + 1])
+            mine = np.flatnonzero(row[query[own]] >= 0) + of_block[b]
+            n = self.begin[cells[mine] + 1] - self.begin[cells[mine]]
+            places = spread(self.begin[cells[mine]], n)
+            self.read += len(places)
+            out = np.bincount(np.repeat(row[query[mine]] * BLOCK, n) + self.docs[places] % BLOCK, weights=self.impact[places] * np.repeat(worth[mine], n), minlength=len(asked) * BLOCK)
+            row[asked] = -1
+            return out.reshape(len(asked), BLOCK)
+
+        self._pivots(bound, weights, scores, best, first)
+
+    def _pivots(self, rare: np.ndarray, weights: np.ndarray, scores_of: Callable[[np.ndarray, int], np.ndarray], best: Best, first: int) -> None:
+        """Score the blocks that are pivot for some queries, given the most that their rare terms add to a document of each block."""
+        at = slice(first, first + len(rare))
+        bound = (rare + weights @ self.most.T) * (1 + 1e-9) + 1e-8
         done = np.zeros(bound.shape, dtype=bool)
         ahead = np.argsort(-bound, axis=1, kind="stable")[:, :AHEAD]
         now = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(now, ahead, True, axis=1)
-        for wave in range(2):
+        for _ in range(2):
             pivot = now & (bound >= best.least(at)[:, None]) & (bound > 1e-8)
             for b in np.flatnonzero(pivot.any(0)):
                 least = best.least(at)
@@ -176,7 +218,10 @@ class Shard:
                 if not len(q):
                     continue
                 self.scored += len(q)
-                scores = np.round(rare[q, b] + weights[q] @ self.dense[b], 9)  # equal texts score alike, in whatever order their parts are added
+                raw = scores_of(q, b) + weights[q] @ self.dense[b]
+                # Equal texts score alike, in whatever order their parts are added; what is too small for that isn't lost.
+                scores = np.round(raw, 9)
+                scores = np.where(scores > 0, scores, raw)
                 hit, d = np.nonzero((scores > 0) & (scores >= least[q, None] - 1e-8))
                 real = d + b * BLOCK < len(self.ids)
                 hit, d = hit[real], d[real]
@@ -244,17 +289,16 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
         for batch in batches:
             for r in range(batch.num_rows):
                 shard = Shard(*(batch.column(c)[r].as_py() for c in range(6)), average, common)
-                size = max(1, min(CHUNK, CHUNK_SCORES // (shard.n_blocks * BLOCK)))
-                for first in range(0, len(ids), size):
-                    last = min(len(ids), first + size)
+                first = 0
+                while first < len(ids):
+                    # As many queries as have CHUNK_TERMS terms, and one at least.
+                    last = min(len(ids), first + CHUNK, max(first + 1, int(np.searchsorted(cut, cut[first] + CHUNK_TERMS, side="right")) - 1))
                     w = np.zeros((last - first, len(common)))
                     on = np.flatnonzero(is_common[cut[first] : cut[last]]) + cut[first]
                     w[owner[on] - first, place[on]] = weights[on]
-                    scores = []
-                    for q in range(first, last):
-                        few = np.flatnonzero(~is_common[cut[q] : cut[q + 1]]) + cut[q]
-                        scores.append(shard.rare_scores(terms[few], weights[few]))
-                    shard.search(np.array(scores), w, best, first)
+                    few = np.flatnonzero(~is_common[cut[first] : cut[last]]) + cut[first]
+                    shard.follow(owner[few] - first, terms[few], weights[few], w, best, first)
+                    first = last
         slot = TaskContext.get().partitionId() % slots
         for first in range(0, len(ids), CHUNK):
             q, column = np.nonzero(best.scores[first : first + CHUNK] > 0)
@@ -285,8 +329,8 @@ def _search(shards: DataFrame, ids: np.ndarray, sizes: np.ndarray, terms: np.nda
     parts = shards.select("ids", "lengths", "terms", "counts", "docs", "freqs").mapInArrow(run, binary)
     halfway = parts.groupBy("chunk", "slot").applyInArrow(some, binary)
     out = cut_lineage(halfway.groupBy("chunk").applyInArrow(every_one, "query_id long, rank int, doc_id long, score double"))
-    asked.unpersist()
-    asked_of.unpersist()
+    asked.destroy()
+    asked_of.destroy()
     return out
 
 
