@@ -90,11 +90,16 @@ def redact(text: str) -> str:
     return masked(text)[:EVIDENCE_CHARS]
 
 
-def redact_col(text: Column) -> Column:
-    """:func:`redact` in built-in functions, but for the spelling out of invisible characters."""
+def masked_col(text: Column) -> Column:
+    """:func:`masked` in built-in functions, but for the spelling out of invisible characters."""
     for pattern, mask in REDACTIONS:
         text = F.regexp_replace(text, pattern, mask.replace("${1}", "$1"))
-    return F.substring(text, 1, EVIDENCE_CHARS)
+    return text
+
+
+def redact_col(text: Column) -> Column:
+    """:func:`redact` in built-in functions, but for the spelling out of invisible characters."""
+    return F.substring(masked_col(text), 1, EVIDENCE_CHARS)
 
 
 # ---- decodings ---------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST, BUCKETS = 16, 256
+MOST, BUCKETS = 16, 32
 BROADCAST_ROWS = 100_000
 GONE = "_gone"
 
@@ -95,7 +95,7 @@ class Deltas:
     # ---- reading
 
     def _bucket(self, t: Table) -> Column:
-        return F.conv(F.substring(F.sha2(F.to_json(F.array(*[F.col(k).cast("string") for k in t.keys])), 256), 1, 2), 16, 10).cast("int")
+        return F.pmod(F.xxhash64(F.to_json(F.array(*[F.col(k).cast("string") for k in t.keys]))), F.lit(BUCKETS)).cast("int")
 
     def _folders(self, t: Table, folders: list[str], buckets: list[int] | None, gone: bool) -> DataFrame:
         schema = t.schema + (f", {GONE} boolean, _commit long" if gone else "") + (", _bucket int" if t.bucketed else "")
@@ -141,7 +141,8 @@ class Deltas:
 
     def _write(self, t: Table, rows: DataFrame, folder: str) -> None:
         if t.bucketed:
-            rows = rows.withColumn("_bucket", self._bucket(t)).repartition("_bucket")
+            # Small folders have a file each, large ones as many as they need.
+            rows = rows.withColumn("_bucket", self._bucket(t)).hint("rebalance", F.col("_bucket"))
             rows.write.mode("overwrite").partitionBy("_bucket").parquet(folder)
         else:
             rows.write.mode("overwrite").parquet(folder)

@@ -73,7 +73,7 @@ def test_lookup_reads_the_folders_of_its_keys(spark, tmp_path):
     store.commit({"b": rows(spark, [(str(k), k) for k in range(500)])})
     wanted = rows(spark, [("7", 0), ("400", 0), ("nowhere", 0)])
     found = store.lookup("b", wanted)
-    assert {"7", "400"} <= {r.k for r in found.collect()} and found.count() < 30
+    assert {"7", "400"} <= {r.k for r in found.collect()} and found.count() < 100
     assert store.lookup("b", wanted, few=1).count() == 500
 
 
