@@ -71,16 +71,15 @@ def discovered(files: DataFrame, path_col: str = "path", content_col: str = "con
     return files.select(F.col(path_col), F.col(content_col).cast("binary")).mapInPandas(run, COMPONENT)
 
 
-def differences(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """``pairs`` with ``changes`` between two canonical texts (none where either is null)."""
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("path", "old", "new", "severity", "category", "operation")])))
+def _changes(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([cf.differences(json.loads(a), json.loads(z)) if isinstance(a, str) and isinstance(z, str) else [] for a, z in zip(old, new, strict=True)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["changes"] = [cf.differences(json.loads(a), json.loads(z)) if isinstance(a, str) and isinstance(z, str) else [] for a, z in zip(b[old], b[new], strict=True)]
-            yield b
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInPandas(run, f"{schema}, changes {CHANGE}")
+def differences(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """``pairs`` with ``changes`` between two canonical texts (none where either is null); equal texts, and all other columns, don't go to Python."""
+    apart = F.col(old) != F.col(new)
+    return pairs.withColumn("changes", _changes(F.when(apart, F.col(old)), F.when(apart, F.col(new))))
 
 
 def risks(components: DataFrame, content: str = "content") -> DataFrame:
