@@ -119,9 +119,10 @@ def event_types(log: DataFrame) -> DataFrame:
 class Writer:
     """Appends events to a single chain kept as Parquet, with a signed head; one writer at a time.
 
-    The head says where the chain ends, so that an append reads no log but what a
-    crash may have left behind the head. A batch (what one operation logs) is chained
-    on the driver, appended, and the head renamed into place.
+    The head says where the chain ends, and a batch lies in a folder named by its first
+    sequence, so that an append looks for one folder, which is there only if a
+    crash has left a batch behind the head, and reads and lists nothing else, however long the log is. A batch (what one
+    operation logs) is chained on the driver, appended, and the head renamed into place.
     """
 
     SCHEMA = "sequence long, timestamp string, event_type string, component_id string, details string, previous_hash string, hash string, signature string"
@@ -138,7 +139,7 @@ class Writer:
 
     def log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/events")
+            return self.spark.read.schema(f"{self.SCHEMA}, first long").parquet(f"{self.path}/events").drop("first")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return self.spark.createDataFrame([], self.SCHEMA)
@@ -162,8 +163,14 @@ class Writer:
         """Where the chain ends: the signed head, or beyond it what was appended when the head couldn't be replaced."""
         stored = self.stored_head()
         sequence, digest = (stored["sequence"], stored["head_hash"]) if stored and self.is_signed(stored) else (0, GENESIS)
-        beyond = self.log().filter(F.col("sequence") > sequence).orderBy(F.col("sequence").desc()).select("sequence", "hash").first()
-        return (beyond[0], beyond[1]) if beyond else (sequence, digest)
+        while True:
+            path, fs = self._files(f"events/first={sequence + 1}")
+            if not fs.exists(path):
+                return sequence, digest
+            last = self.spark.read.schema(self.SCHEMA).parquet(path.toString()).orderBy(F.col("sequence").desc()).select("sequence", "hash").first()
+            if last is None:  # a folder that a crash left empty
+                return sequence, digest
+            sequence, digest = last
 
     def _put_head(self, sequence: int, digest: str) -> None:
         head = {"sequence": sequence, "head_hash": digest}
@@ -178,14 +185,14 @@ class Writer:
 
     def append(self, events: list[tuple[str, str | None, dict]], timestamp: str) -> tuple[int, str]:
         sequence, previous = self.head()
-        rows = []
+        first, rows = sequence + 1, []
         for event_type, component_id, details in events:
             sequence += 1
             values = (sequence, timestamp, event_type, component_id, json.dumps(details, sort_keys=True), previous)
             digest = hashlib.sha256(json.dumps(dict(zip(PAYLOAD, values, strict=True)), sort_keys=True, ensure_ascii=False).encode()).hexdigest()
             rows.append((*values, digest, self._sign({"hash": digest, "sequence": sequence})))
             previous = digest
-        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/events/first={first}")
         self._put_head(sequence, previous)
         return sequence, previous
 

@@ -185,3 +185,18 @@ def test_frontmatter_column(spark):
     texts = ["---\na: 1\n---\nx", "+++\na=1\n+++", "---\nno end", "---\n" + "a\n" * 4097 + "---\n", "---\n" + "a" * 70_000 + "\n---\n", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", files.frontmatter_col(F.col("t")).alias("f"), files.frontmatter_refusal(F.col("t")).alias("r")).orderBy("k").collect()
     assert [(r.f, r.r) for r in rows] == [("a: 1\n", None), ("a=1\n", None), (None, None), (None, "FRONTMATTER_LIMIT"), (None, "FRONTMATTER_LIMIT"), (None, None)]
+
+
+def test_an_append_reads_one_folder(spark, tmp_path, monkeypatch):
+    """However many batches the log has, and with a batch that a crash left behind the head."""
+    w = audit.Writer(spark, str(tmp_path / "log"), b"key")
+    for k in range(4):
+        w.append([("APPROVED", str(k), {}), ("REVOKED", str(k), {})], "t")
+    head = (tmp_path / "log" / "head").read_text()
+    w.append([("APPROVED", "x", {})], "t")
+    (tmp_path / "log" / "head").write_text(head)
+    (tmp_path / "log" / ".head.crc").unlink(missing_ok=True)
+    monkeypatch.setattr(audit.Writer, "log", lambda self: 1 / 0)
+    assert w.head()[0] == 9 and w.append([("REVOKED", "x", {})], "t")[0] == 10
+    monkeypatch.undo()
+    assert w.verify()["valid"] and w.verify()["checked"] == 10
