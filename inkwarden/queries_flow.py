@@ -12,6 +12,7 @@ from .queries import query, table
 from .sources.listing import Listing
 from .sources.scratch import shared_folder
 from .streaming import timers
+from .streaming.watched import WatchedTree
 
 # ---- streams -----------------------------------------------------------------------------------
 
@@ -74,6 +75,32 @@ def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("folder", "length", "sha256", "error", "walk")
 
 
+@query("""
+WITH f AS (SELECT hex(coalesce(source, '')) AS folder, doc_id // 5000 AS part, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n FROM documents GROUP BY ALL),
+g AS (SELECT * FROM f WHERE folder <> (SELECT min(folder) FROM f) UNION ALL SELECT 'late', doc_id // 5000, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
+SELECT 1::BIGINT AS walk, count(*) AS files, count(*) AS scanned, 0::BIGINT AS unchanged, 0::BIGINT AS failed, 0::BIGINT AS removed, sum(n)::BIGINT AS bytes FROM f
+UNION ALL SELECT 2, count(*), count(*) FILTER (folder = 'late'), count(*) FILTER (folder <> 'late'), 0, (SELECT count(*) FROM f WHERE folder = (SELECT min(folder) FROM f)), sum(n)::BIGINT FROM g""")
+def watched_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, walked twice in passes of a quarter of the bytes; between the walks a source's files go and others come."""
+    top = shared_folder(spark)
+    rows = table(spark, sf_dir, "documents").select(F.hex(F.coalesce("source", F.lit(""))).alias("folder"), F.expr("doc_id div 5000").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    size, first = rows.agg(F.sum(F.octet_length("value") + 1), F.min("folder")).first()
+
+    def put(some: DataFrame, mode: str) -> None:
+        some.repartition("folder", "part").sortWithinPartitions("folder", "part", "doc_id").select("folder", "part", "value").write.mode(mode).partitionBy("folder", "part").text(f"{top}/in")
+
+    put(rows, "overwrite")
+    tree = WatchedTree(spark, f"{top}/in", f"{top}/watched", most_bytes=max(1, (size or 0) // 4))
+    for walk in (1, 2):
+        if walk == 2:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/in/folder={first}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            put(rows.filter("doc_id % 2 = 0").withColumn("folder", F.lit("late")), "append")
+        while tree.run() != "COMPLETE":
+            pass
+    return tree.passes().groupBy("walk").agg(*[F.sum(c).cast("long").alias(c) for c in ("files", "scanned", "unchanged", "failed", "removed", "bytes")])
+
+
 # ---- orders ------------------------------------------------------------------------------------
 
 

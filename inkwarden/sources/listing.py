@@ -22,6 +22,9 @@ that can't be read or are no longer what was listed when they have been read. Li
 is neither file nor folder, and hidden names are passed over. A folder that can't be listed is a row with an
 error. Paths are those of a file system that pyarrow knows and executors see.
 
+With ``mark`` a pass has one row more, of the root, with its status and neither length nor
+error, so that a pass without files is told of, too.
+
 Cases: an empty tree gives no rows, and COMPLETE; a place whose file is gone is still a
 place; files that come behind the place are in the same walk, those before it in the next;
 names sort by their parts, so a folder's files stay together.
@@ -98,6 +101,7 @@ class ListingReader(DataSourceStreamReader):
         self.root, self.cursor = options["path"], options.get("cursor")
         self.entries, self.bytes = int(options.get("entries", MAX_ENTRIES)), int(options.get("bytes", PASS_BYTES))
         self.largest, self.slices = int(options.get("largest", MAX_BYTES)), int(options.get("slices", 8))
+        self.mark = options.get("mark", "false") == "true"
         self.at, self.planned = None, None
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -154,6 +158,8 @@ class ListingReader(DataSourceStreamReader):
                     break
                 if e.length is not None or e.error:
                     rows.append(e)
+        if self.mark:
+            rows = [*rows, Entry(opened(self.root)[1])]
         self.at = end
         self._keep(end)
         return [Slice(rows[k :: self.slices], end) for k in range(min(self.slices, len(rows)))]
@@ -167,9 +173,9 @@ class ListingReader(DataSourceStreamReader):
 
         for e in partition.entries:
             content, error = None, e.error
-            if error is None and e.length > self.largest:
+            if error is None and e.length is not None and e.length > self.largest:
                 error = "INPUT_SIZE_LIMIT"
-            elif error is None:
+            elif error is None and e.length is not None:
                 try:
                     with files.open_input_stream(e.path) as f:
                         content = f.read()
