@@ -388,6 +388,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     three = three.withColumn("cut", cut).select("lang", F.concat_ws(" ", "word_one", "word_two", "word_three").alias("phrase"), F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
     best = [F.desc("score"), F.desc("a"), "phrase"]
     # The best of each of ``SALTS`` parts of a language first: its best are among them, and no task gets more than those.
-    some = two.unionByName(three).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("rank") <= top)
+    dealt = two.unionByName(three).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).repartition("lang", "salt")  # else one deal by language serves both
+    some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*best))).filter(F.col("rank") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
