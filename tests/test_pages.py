@@ -38,7 +38,7 @@ DEEP = "<!-- ad 7 --><article>" + '<p><b>some words<br><a href="/the">the</a>' *
 MANY = "<article>" + '<a href="/of">of</a>' * (ex.MAX_SEGMENTS + 5) + "</article>"
 
 
-@pytest.mark.parametrize("name", ["html_attributes", "html_comments"])
+@pytest.mark.parametrize("name", ["html_attributes", "html_comments", "html_source"])
 def test_deep_pages_and_those_with_many_segments_are_read(differs, name):
     assert differs(name, *pages("<p>a</p>", DEEP, MANY)) == ([], [], 0)
 
