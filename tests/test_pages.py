@@ -43,6 +43,17 @@ def test_deep_pages_and_those_with_many_segments_are_read(differs, name):
     assert differs(name, *pages("<p>a</p>", DEEP, MANY)) == ([], [], 0)
 
 
+#: Titles are cut in the middle of a name.
+CUT = [f"<h1>the {x}</h1><p>{x} of {x};</p><!-- {x} --><script>a {x} b</script>" for x in ("&quot", "&lt", "&gt", "&copy", "&amp", "&am", "&quo", "& amp", "&amp;lt", "&&", "&")]
+
+
+def test_names_of_characters_without_a_semicolon(differs):
+    assert differs("html_rendered_text", *pages(*CUT, DEEP, title="token = &quot")) == ([], [], 0)
+    told = lambda page, bare: "|".join(x for e in markup.read(page, True, bare)[0][1:] for x in (e.name, *(v for _, v in e.attrs)))
+    for page, loose, strict in (("a &quot b &#65 c &amp d", 'a " b A c & d', "a &quot b A c & d"), ('<a b="&lt">', "a|<", "a|&lt"), ("\U000f0000 &gt \U000f0001", "\U000f0000 > \U000f0001", "\U000f0000 &gt \U000f0001")):
+        assert (told("<p>" + page, True), told("<p>" + page, False)) == (loose, strict)
+
+
 def test_other_files_keep_their_limits():
     for page in (DEEP, MANY):
         with pytest.raises(ex.Refused):
