@@ -43,6 +43,20 @@ def test_a_catalogue_of_ones_own_sees_capitals(differs):
     assert differs("rules_from_table", *documents("Der ungenung", "DER ÜBUNG", "der Übung war", "WATER", "der\x0bxung", "der\fxung wa\x0b", "K\u0130wa\u212a wa\u017f", "derxung", "", None)) == ([], [], 0)
 
 
+OWN = ("y y y y y", "a%20b %FF %De", "&lt; &amp &#65; &", "caf\\u00e9 \\x41", "'a' + 'b' \"+", "61 " * 9 + "61", "61" * 12, "aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ", "vtaber rot13", "a b c d", "1" * 140_000, "\U0001f600 é y y y y y", "", None)
+
+
+def test_a_texts_own_passages_stay(differs):
+    """Each text before each of the nine passages."""
+    assert differs("text_variants", *documents(*[t for t in OWN for _ in range(9)])) == ([], [], 0)
+
+
+def test_passages_from_a_place_on():
+    own = "y y y y y %41 &lt; \\x41 'a'+'b' " + "68656c6c6f20776f726c64"
+    assert not [x for x in tx.decodings(own, len(own))] and len(list(tx.decodings(own))) == 7
+    assert {tuple(x) for x in tx.decodings(f"{own}\n%42", len(own))} == {(f"{own}\nB", "url"), (f"{own}\nB", "url-form")}
+
+
 #: Elements that are never closed lie in each other.
 DEEP = "<!-- ad 7 --><article>" + '<p><b>some words<br><a href="/the">the</a>' * 200 + "</article>"
 MANY = "<article>" + '<a href="/of">of</a>' * (ex.MAX_SEGMENTS + 5) + "</article>"
