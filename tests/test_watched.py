@@ -62,3 +62,15 @@ def test_an_empty_tree(spark, tmp_path):
     (tmp_path / "in").mkdir()
     tree = watched.WatchedTree(spark, str(tmp_path / "in"), str(tmp_path / "w"))
     assert tree.run() == "COMPLETE" and tree.index().count() == 0 and tree.passes().first()["files"] == 0
+
+
+def test_contents_stay_where_they_were_read(spark, tmp_path, monkeypatch):
+    """Shuffled for the join with the index, they were inspected in as few tasks as their compressed size asks for."""
+    plans, scan_files = [], watched.scan_files
+    monkeypatch.setattr(watched, "scan_files", lambda files, *a, **k: plans.append(files._jdf.queryExecution().executedPlan().toString()) or scan_files(files, *a, **k))
+    (tmp_path / "in").mkdir()
+    tree = watched.WatchedTree(spark, str(tmp_path / "in"), str(tmp_path / "w"))
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"words {k}")
+        assert tree.run() == "COMPLETE"
+    assert len(plans) == 2 and not [p for p in plans if "hashpartitioning" in p] and tree.reports().count() == 2
